@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from velograph.llm.op05_simhash import op5_simhash_dedup
+from velograph.llm.op07_suffix import op7_suffix_dedup
+from velograph.llm.op09_extend import op9_passage_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_simhash_dedup,)}
+    return {f.__name__: f for f in (op5_simhash_dedup, op7_suffix_dedup, op9_passage_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
