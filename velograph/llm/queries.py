@@ -1,4 +1,4 @@
-"""The queries of this subpackage, by name."""
+"""The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from velograph.llm.op02_tokens import op2_token_counts
+from velograph.llm.op03_mixing import OP3_SQL, op3_source_mix
 from velograph.llm.op05_simhash import op5_simhash_dedup
 from velograph.llm.op07_suffix import op7_suffix_dedup
+from velograph.llm.op08_decontaminate import OP8_SQL, op8_decontamination
 from velograph.llm.op09_extend import op9_passage_dedup
 
+_ALL = (op2_token_counts, op3_source_mix, op5_simhash_dedup, op7_suffix_dedup, op8_decontamination, op9_passage_dedup)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_simhash_dedup, op7_suffix_dedup, op9_passage_dedup)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {op3_source_mix.__name__: OP3_SQL, op8_decontamination.__name__: OP8_SQL}
