@@ -1,7 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
-Each token of a text gives a hashed word and hashed character n-grams (with its ends marked).  The text is the average
-of their learned vectors, and a softmax over two classes on top of it is the score.  Vectors and softmax are fitted
+Each token of a text gives a hashed word and hashed character n-grams (with its ends marked), each token that repeats
+the one before it gives a feature of word pairs, and each text a number of padding features, which hold back the
+scores of very short texts.  The text is the average of their learned vectors, and a softmax over two classes on top of it is the score.  Vectors and softmax are fitted
 together by stochastic gradient descent in numpy, on a bounded sample of labelled documents.
 
 After fitting, the model is linear in the average: a vector matters only through its product with the difference of
@@ -23,6 +24,9 @@ from velograph.llm.tables import crc_remainder, table
 from velograph.llm.token_sums import TokenSums, codes_of, grams
 
 BUCKETS, WIDTH, SIZES = 1 << 16, 12, (2, 3, 4)
+#: Two features behind the buckets: a repeated token (how often it counts) and padding (how many a text has).
+PAIR, PADDING = BUCKETS, BUCKETS + 1
+PAIR_TIMES, PADDING_TIMES = 8, 60
 #: Labelled documents of a class that are learned from, at most.
 PER_CLASS = 2_500
 EPOCHS, RATE, SEED = 12, 0.5, 4
@@ -49,14 +53,20 @@ def hash_word(token: str) -> int:
     return xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass"))
 
 
+def repeats(tokens: list[str]) -> int:
+    """Tokens that are the same as the one before."""
+    return sum(map(str.__eq__, tokens, tokens[1:]))
+
+
 def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, counts) of a text's features."""
-    counts = np.zeros(BUCKETS)
+    counts = np.zeros(BUCKETS + 2)
     tokens = (text or "").split()
     for at in range(0, len(tokens), 20_000):
         distinct, times = np.unique(np.array(tokens[at : at + 20_000], object), return_counts=True)
         buckets, owner = features(distinct.tolist())
-        counts += np.bincount(buckets, times[owner], BUCKETS)
+        counts += np.bincount(buckets, times[owner], BUCKETS + 2)
+    counts[PAIR], counts[PADDING] = PAIR_TIMES * repeats(tokens), PADDING_TIMES
     found = np.flatnonzero(counts)
     return found, counts[found]
 
@@ -64,14 +74,13 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float) -> Model:
     """Vectors and softmax from bags of features; ``prior`` is the share of class 1 that the scores should reflect."""
     rng = np.random.default_rng(SEED)
-    vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH))
+    vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS + 2, WIDTH))
     top, bias = rng.normal(0, 0.1, (WIDTH, 2)), np.zeros(2)
     if not len(labels):
-        return Model(np.zeros(BUCKETS), 0.0)
+        return Model(np.zeros(BUCKETS + 2), 0.0)
     counts = np.bincount(labels, minlength=2)
     weight = np.array([1 - prior, prior]) / np.maximum(counts, 1) * len(labels)
-    shares = [(b, (c / c.sum())[:, None]) for b, c in bags if len(b)]
-    known = labels[[i for i, (b, _) in enumerate(bags) if len(b)]]
+    shares = [(b, (c / c.sum())[:, None]) for b, c in bags]
     steps, done = EPOCHS * max(1, len(shares)), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(shares)):
@@ -80,8 +89,8 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: fl
             z = mean @ top + bias
             p = np.exp(z - z.max())
             p /= p.sum()
-            p[known[i]] -= 1
-            g = p * weight[known[i]] * RATE * (1 - done / steps)
+            p[labels[i]] -= 1
+            g = p * weight[labels[i]] * RATE * (1 - done / steps)
             done += 1
             back = top @ g
             top -= np.outer(mean, g)
@@ -107,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs`` (doc_id, text).
 
-    Null, empty and blank texts have no feature and score by the bias alone.  Ids may be null (hashed as the empty
+    Null, empty and blank texts have padding as their only feature.  Ids may be null (hashed as the empty
     string) or repeated.  Without labels to learn from, all scores are 0.5.  An empty table gives an empty result.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class))
@@ -121,8 +130,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
 
         own = TokenSums(make, 2)
         for batch in batches:
-            total, count = own.sums(batch["text"].tolist()).T
-            score = 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + bias, -500, 500)))
+            texts = batch["text"].tolist()
+            total, count = own.sums(texts).T
+            pairs = PAIR_TIMES * np.array([repeats(t.split()) if t else 0 for t in texts])
+            total, count = total + pairs * weights[PAIR] + PADDING_TIMES * weights[PADDING], count + pairs + PADDING_TIMES
+            score = 1 / (1 + np.exp(-np.clip(total / count + bias, -500, 500)))
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "score": score, "predicted": (score >= threshold).astype("int32")})
 
     doc_id = F.col("doc_id").cast("long")
