@@ -32,7 +32,7 @@ def _hashes(symbols: bytes) -> np.ndarray:
     return _OCTETS[np.frombuffer(symbols, np.uint8)]
 
 
-def byte_unit(window: int = WINDOW, k: int = 32) -> Unit:
+def byte_unit(window: int = WINDOW, k: int = 64) -> Unit:
     return Unit(window, k, 1, _encode, _hashes)
 
 

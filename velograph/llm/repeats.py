@@ -2,7 +2,8 @@
 
 1. Every text is cut into runs of windows by content-chosen anchors (``winnow_kernel``).  Equal windows have equal
    anchors, so a run whose anchor occurs nowhere else holds no repeat and is done with.
-2. Runs of equal content are grouped by a 128-bit hash, map-side first: exact copies of any number become one row.
+2. Runs of equal content are grouped by anchor and a 64-bit hash of the content, map-side first: exact copies of any
+   number become one row.  Two contents are confused only if 64 bits agree by chance among the contents of one anchor.
 3. Anchors shared by *different* contents are left.  One occurrence of each content is read from the texts again and
    handed, in shards of whole anchors, to the operator's own search; an anchor with more contents than a task should
    hold is resolved by hashing each of its windows instead, a fixed number of rows for each content.
@@ -38,7 +39,7 @@ class Unit(NamedTuple):
 #: (contents, anchors) to, for each content, a mask of its window starts whose window also starts elsewhere in them.
 Search = Callable[[list[bytes], np.ndarray], list[np.ndarray]]
 
-RUNS = "d long, h long, m long, c1 long, c2 long, p int, n int"
+RUNS = "d long, h long, m long, c long, p int, n int"
 SPANS = "d long, h long, s int, e int"
 #: Contents of one anchor that one task compares; further ones go the way of single windows.
 ANCHOR_LIMIT = 10_000
@@ -92,9 +93,9 @@ def _runs(src: DataFrame, unit: Unit) -> DataFrame:
                 size = unit.itemsize
                 begins = (found.first * size).tolist()
                 ends = ((found.first + found.count + unit.window - 1) * size).tolist()
-                digests = np.frombuffer(b"".join([_digest(symbols[b:e]) for b, e in zip(begins, ends, strict=True)]), "<i8").reshape(-1, 2)
+                hashes = np.array([xxhash.xxh3_64_intdigest(symbols[b:e]) for b, e in zip(begins, ends, strict=True)], np.uint64).view(np.int64)
                 rows = row[found.doc]
-                yield pd.DataFrame({"d": d.iloc[rows].array, "h": h[rows], "m": found.anchor, "c1": digests[:, 0], "c2": digests[:, 1], "p": (found.first - base[found.doc] + offset[found.doc]).astype("int32"), "n": found.count.astype("int32")})
+                yield pd.DataFrame({"d": d.iloc[rows].array, "h": h[rows], "m": found.anchor, "c": hashes, "p": (found.first - base[found.doc] + offset[found.doc]).astype("int32"), "n": found.count.astype("int32")})
 
     return src.mapInPandas(run, RUNS)
 
@@ -111,26 +112,33 @@ def repeated_spans(docs: DataFrame, unit: Unit, search: Search, *, anchor_limit:
     window, size = unit.window, unit.itemsize
     src = keyed(docs)
     runs = materialize(_runs(src, unit), "runs")
-    shared = runs.groupBy("m").agg(F.count("*").alias("_n")).where("_n > 1").select("m")
+    # written, so that the join below has an exchange on either side and a very frequent anchor can be dealt out
+    shared = materialize(runs.groupBy("m").agg(F.count("*").alias("_n")).where("_n > 1").select("m"), "anchors")
     live = materialize(runs.join(shared, "m", "left_semi"), "runs-shared")
-    kinds = materialize(live.groupBy("m", "c1", "c2").agg(F.count("*").alias("copies"), F.min(F.struct("d", "h", "p", "n")).alias("one")), "contents")
-    copied = live.join(kinds.where("copies > 1").select("m", "c1", "c2"), ["m", "c1", "c2"], "left_semi")
+    kinds = materialize(live.groupBy("m", "c").agg(F.count("*").alias("copies"), F.min(F.struct("d", "h", "p", "n")).alias("one")), "contents")
+    copied = live.join(kinds.where("copies > 1").select("m", "c"), ["m", "c"], "left_semi")
     whole = copied.select("d", "h", F.col("p").alias("s"), (F.col("p") + F.col("n") + (window - 1)).alias("e"))
 
     variants = kinds.groupBy("m").agg(F.count("*").alias("v")).where("v > 1")
     pieces = materialize(kinds.join(variants, "m").select("m", "copies", "v", "one.*"), "pieces")
-    shards = max(1, -(-pieces.count() // SHARD_CONTENTS))
-    wanted = pieces.groupBy("d", "h").agg(F.collect_list(F.struct("m", "copies", "v", "p", "n")).alias("want"))
-    found = src.withColumnsRenamed({"d": "_d", "h": "_h"}).join(wanted, F.col("_d").eqNullSafe(F.col("d")) & F.col("_h").eqNullSafe(F.col("h")))
+    count, most = pieces.agg(F.count("*"), F.max("v")).first()
+    shards = max(1, -(-count // SHARD_CONTENTS))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for d, h, text, want in zip(batch["d"].astype("Int64"), batch["h"], batch["text"], batch["want"], strict=True):
+            rows, contents = [], []
+            for row, (text, first, count) in enumerate(zip(batch["text"], batch["p"], batch["n"], strict=True)):
                 symbols = unit.encode(text)
-                out = [(d, h, w["m"], w["copies"], w["v"] > anchor_limit, w["p"], symbols[w["p"] * size : (w["p"] + w["n"] + window - 1) * size]) for w in want]
-                yield pd.DataFrame(out, columns=["d", "h", "m", "copies", "many", "p", "content"]).astype({"d": "Int64"})
+                contents += [symbols[b : b + n] for b, n in zip((first * size).tolist(), ((count + (window - 1)) * size).tolist(), strict=True)]
+                rows.append(np.full(len(first), row))
+            at = np.concatenate(rows) if rows else np.empty(0, np.int64)
+            flat = {c: np.concatenate(batch[c].tolist()) if len(batch) else [] for c in ("m", "copies", "p")}
+            yield pd.DataFrame({"d": batch["d"].astype("Int64").iloc[at].array, "h": batch["h"].to_numpy()[at], **flat, "content": contents})
 
-    texts = found.select("d", "h", "text", "want").mapInPandas(read, "d long, h long, m long, copies long, many boolean, p int, content binary")
+    def texts_of(some: DataFrame) -> DataFrame:
+        wanted = some.groupBy("d", "h").agg(F.collect_list(F.struct("m", "copies", "p", "n")).alias("want"))
+        found = src.withColumnsRenamed({"d": "_d", "h": "_h"}).join(wanted, F.col("_d").eqNullSafe(F.col("d")) & F.col("_h").eqNullSafe(F.col("h")))
+        return found.select("d", "h", "text", "want.m", "want.copies", "want.p", "want.n").mapInPandas(read, "d long, h long, m long, copies long, p int, content binary")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         # repeated rows of a document give the same pieces again, and a piece is wanted once
@@ -139,8 +147,10 @@ def repeated_spans(docs: DataFrame, unit: Unit, search: Search, *, anchor_limit:
         out = [(d, h, s, e) for d, h, p, copies, mask in zip(group["d"].astype("Int64"), group["h"], group["p"], group["copies"], masks, strict=True) if copies == 1 for s, e in _ranges(mask, p, window)]
         return pd.DataFrame(out, columns=["d", "h", "s", "e"]).astype({"d": "Int64"})
 
-    few = texts.where("not many").withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards)))
-    near = few.groupBy("shard").applyInPandas(compare, SPANS)
+    few = texts_of(pieces.where(F.col("v") <= anchor_limit)).withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards)))
+    near = whole.union(few.groupBy("shard").applyInPandas(compare, SPANS))
+    if (most or 0) <= anchor_limit:
+        return src, near
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -149,10 +159,11 @@ def repeated_spans(docs: DataFrame, unit: Unit, search: Search, *, anchor_limit:
                 digests = np.frombuffer(b"".join([_digest(content[i * size : (i + window) * size]) for i in range(count)]), "<i8").reshape(-1, 2)
                 yield pd.DataFrame({"d": pd.array([d] * count, "Int64"), "h": h, "m": m, "copies": copies, "c1": digests[:, 0], "c2": digests[:, 1], "s": np.arange(p, p + count, dtype="int32")})
 
-    single = texts.where("many").dropDuplicates(["d", "h", "m", "p"]).mapInPandas(windows, "d long, h long, m long, copies long, c1 long, c2 long, s int")
+    many = texts_of(pieces.where(F.col("v") > anchor_limit)).dropDuplicates(["d", "h", "m", "p"])
+    single = many.mapInPandas(windows, "d long, h long, m long, copies long, c1 long, c2 long, s int")
     again = single.groupBy("c1", "c2").agg(F.count("*").alias("_n")).where("_n > 1").select("c1", "c2")
     far = single.where("copies = 1").join(again, ["c1", "c2"], "left_semi").select("d", "h", "s", (F.col("s") + window).alias("e"))
-    return src, whole.union(near).union(far)
+    return src, near.union(far)
 
 
 def with_spans(src: DataFrame, spans: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """Suffix arrays by induced sorting, and permuted longest common prefixes.
 
 The suffixes are classified as smaller or larger than their right neighbour.  The leftmost smaller ones (LMS) are
-sorted by their substrings, which are named and sorted recursively where names repeat; the order of all suffixes is
-then induced from them in two linear passes.  The passes over byte strings go bucket by bucket, so that numpy moves
-all entries of a bucket at once; the recursion, whose alphabet is large, works on plain lists.
+sorted by their substrings, which get names; where names repeat, the string of names is sorted recursively, a name for
+each pair of names in turn.  The order of all suffixes is then induced from the LMS suffixes in two linear passes,
+which go bucket by bucket, so that numpy moves all entries of a bucket at once.
 """
 
 from __future__ import annotations
@@ -111,68 +111,36 @@ def suffix_array(text: np.ndarray, k: int) -> np.ndarray:
     order = rough[is_lms[rough]]
     names, count = _names(text, smaller, order, lms)
     if count < len(lms):
-        order = lms[np.array(_suffix_array_list(names.tolist(), count), np.int64)]
+        order = lms[_order_of_names(names)]
     return _induce(text, smaller, order, k)
 
 
-def _suffix_array_list(s: list[int], k: int) -> list[int]:
-    """The same for a large alphabet."""
-    n = len(s)
-    if k == n:
-        out = [0] * n
-        for i, x in enumerate(s):
-            out[x] = i
-        return out
-    small = [False] * n
-    for i in range(n - 2, -1, -1):
-        small[i] = s[i] < s[i + 1] or (s[i] == s[i + 1] and small[i + 1])
-    size = [0] * (k + 1)
-    for x in s:
-        size[x + 1] += 1
-    for c in range(k):
-        size[c + 1] += size[c]
-    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
-
-    def induce(seeds: list[int]) -> list[int]:
-        sa = [-1] * n
-        tail = size[1:]
-        for i in reversed(seeds):
-            c = s[i]
-            tail[c] -= 1
-            sa[tail[c]] = i
-        head = size[:-1]
-        c = s[n - 1]
-        sa[head[c]] = n - 1
-        head[c] += 1
-        for at in range(n):
-            j = sa[at] - 1
-            if j >= 0 and not small[j]:
-                c = s[j]
-                sa[head[c]] = j
-                head[c] += 1
-        tail = size[1:]
-        for at in range(n - 1, -1, -1):
-            j = sa[at] - 1
-            if j >= 0 and small[j]:
-                c = s[j]
-                tail[c] -= 1
-                sa[tail[c]] = j
-        return sa
-
-    if not lms:
-        return induce([])
-    following = dict(zip(lms, [*lms[1:], n], strict=True))
-    rough = induce(lms)
-    name, last, count = {}, -1, -1
-    for i in rough:
-        if i not in following:
-            continue
-        e = following[i]
-        if last < 0 or e == n or following[last] == n or s[i : e + 1] != s[last : following[last] + 1]:
-            count += 1
-        name[i], last = count, i
-    inner = _suffix_array_list([name[i] for i in lms], count + 1)
-    return induce([lms[i] for i in inner])
+def _order_of_names(names: np.ndarray) -> np.ndarray:
+    """The order of the suffixes of a string of names.
+
+    Names are named again in pairs, then in pairs of pairs, each time only where they still tie, until none does.
+    """
+    n = len(names)
+    order = np.argsort(names, kind="stable")
+    ranked = names[order]
+    heads = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+    sizes = np.diff(np.r_[heads, n])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.repeat(heads, sizes)
+    tied, step = np.flatnonzero(np.repeat(sizes, sizes) > 1), 1
+    while len(tied):
+        places = order[tied]
+        beyond = places + step
+        second = np.where(beyond < n, rank[np.minimum(beyond, n - 1)] + 1, 0)
+        first = rank[places]
+        by = np.lexsort((second, first))
+        places, first, second = places[by], first[by], second[by]
+        order[tied] = places
+        heads = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
+        sizes = np.diff(np.r_[heads, len(places)])
+        rank[places] = np.repeat(tied[heads], sizes)
+        tied, step = tied[np.repeat(sizes, sizes) > 1], step * 2
+    return order
 
 
 def permuted_lcp(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
