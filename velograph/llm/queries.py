@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from velograph.llm.op01_forest import op1_prefix_forest
 from velograph.llm.op02_tokens import op2_token_counts
 from velograph.llm.op03_mixing import OP3_SQL, op3_source_mix
 from velograph.llm.op04_quality import op4_quality
@@ -16,7 +17,7 @@ from velograph.llm.op08_decontaminate import OP8_SQL, op8_decontamination
 from velograph.llm.op09_extend import op9_passage_dedup
 from velograph.llm.op10_language import op10_language_id
 
-_ALL = (op2_token_counts, op3_source_mix, op4_quality, op5_simhash_dedup, op6_toxicity, op7_suffix_dedup, op8_decontamination, op9_passage_dedup, op10_language_id)
+_ALL = (op1_prefix_forest, op2_token_counts, op3_source_mix, op4_quality, op5_simhash_dedup, op6_toxicity, op7_suffix_dedup, op8_decontamination, op9_passage_dedup, op10_language_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
