@@ -16,8 +16,8 @@ from velograph.plans.materialize import materialize
 
 #: A document is rejected as toxic from this score on.
 TOXIC = 0.5
-#: Shingles of five words here; fingerprints link as in the operator.
-SHINGLE_WORDS = 5
+#: Words of a shingle; with it fingerprints link as the query of the operator links them.
+SHINGLE_WORDS = 4
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
