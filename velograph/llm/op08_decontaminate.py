@@ -21,8 +21,8 @@ from velograph.llm.tables import table
 WINDOW, SUBSTITUTED = 13, 2
 SHORTEST = 9
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 4, 6, 7, 8))
-#: Tokens of the benchmark up to which its seeds are broadcast (each seed carries at most 2 * WINDOW hashes, so these
-#: are at most 2 * 26 * 8 bytes a token, about 100 MB); a larger benchmark is joined by shuffling the seeds of both sides.
+#: Tokens of the benchmark up to which its seeds are broadcast (each seed carries at most 25 hashes, so these
+#: are at most 2 * 25 * 8 bytes a token, about 100 MB); a larger benchmark is joined by shuffling the seeds of both sides.
 BROADCAST_TOKENS = 250_000
 
 
@@ -32,22 +32,28 @@ def tokens(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(rows: DataFrame, *kept: str) -> DataFrame:
-    """(mask, seed, pos, t, kept) for each place of the tokens ``t`` where a mask fits.
+def _seeds(rows: DataFrame, kept: str) -> DataFrame:
+    """(kept, mask, seed, pos, size, around) for each place of the tokens ``t`` where a mask fits.
 
-    The tokens are hashed once for each row; places, masks and seeds are then made inside generated code.
+    ``around`` holds the tokens from ``pos - WINDOW + 1`` on, 3 * WINDOW - 2 in all, with nulls before the first one.
+    Tokens are hashed once for each row; places, masks, seeds and ``around`` are made inside generated code, and
+    ``around`` only for what passes a join behind it.  (The outer form keeps Spark from hashing the tokens a second
+    time in a filter for rows without any.)
     """
     at = lambda i: F.get("t", F.col("pos") + i)
-    places = rows.select(*kept, "t", F.posexplode("t").alias("pos", "_first")).where(F.col("pos") + MASKS[0][-1] < F.size("t"))
+    places = rows.select(kept, "t", F.posexplode_outer("t").alias("pos", "_first")).where(F.col("pos") + MASKS[0][-1] < F.size("t"))
     seeds = [F.struct(F.lit(k).alias("mask"), F.xxhash64(F.lit(k), *[at(i) for i in m]).alias("seed"), (F.col("pos") + m[-1] < F.size("t")).alias("fits")) for k, m in enumerate(MASKS)]
-    return places.select(*kept, "t", "pos", F.explode(F.array(*seeds)).alias("s")).where("s.fits").select(*kept, "t", "pos", "s.mask", "s.seed")
+    every = places.select(kept, "t", "pos", F.explode(F.array(*seeds)).alias("s")).where("s.fits")
+    missing = F.greatest(F.lit(0), F.lit(WINDOW - 1) - F.col("pos"))
+    inside = F.slice("t", F.greatest(F.lit(1), F.col("pos") - (WINDOW - 2)), F.lit(3 * WINDOW - 2) - missing)
+    around = F.concat(F.array_repeat(F.lit(None).cast("long"), missing), inside)
+    return every.select(kept, "s.mask", "s.seed", "pos", F.size("t").alias("size"), around.alias("around"))
 
 
-def _best(item: Column, doc: Column, length: Column) -> Column:
-    """The most equal tokens in any ``length`` consecutive tokens of two aligned stretches of equal length."""
+def _equal_tokens(item: Column, doc: Column, length: Column) -> Column:
+    """For each ``length`` consecutive tokens of the item's stretch, how many equal the document's beside them."""
     equal = F.zip_with(item, doc, lambda x, y: F.when(x == y, 1).otherwise(0))
-    sums = F.transform(F.sequence(F.lit(1), F.size(item) - length + 1), lambda i: F.aggregate(F.slice(equal, i, length), F.lit(0), lambda a, x: a + x))
-    return F.array_max(sums)
+    return F.transform(F.sequence(F.lit(1), F.size(item) - length + 1), lambda i: F.aggregate(F.slice(equal, i, length), F.lit(0), lambda a, x: a + x))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
@@ -58,21 +64,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, broadcast_tokens: int
     table on either side gives an empty result.  Other columns are ignored.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("t")).where(F.size("t") >= SHORTEST)
-    window = F.least(F.size("t"), F.lit(WINDOW))
-    # the item's tokens around a seed, whatever window holds it: up to WINDOW - 1 on either side of its first token
-    first = F.greatest(F.lit(0), F.col("pos") - (WINDOW - 1))
-    around = _seeds(items, "item_id").withColumn("first", first).withColumn("window", window)
-    around = around.select("mask", "seed", "item_id", "window", (F.col("pos") - F.col("first")).alias("lead"), F.slice("t", F.col("first") + 1, F.lit(2 * WINDOW - 1)).alias("it"))
+    # of an item, the tokens of every window that may hold the seed: at most WINDOW - 1 on either side of its first
+    lead = F.least(F.col("pos"), F.lit(WINDOW - 1))
+    stretch = F.slice("around", F.lit(WINDOW) - F.col("lead"), F.least(F.col("size") - F.col("pos"), F.lit(WINDOW)) + F.col("lead"))
+    known = _seeds(items, "item_id").withColumn("lead", lead).select("mask", "seed", "item_id", "lead", F.least("size", F.lit(WINDOW)).alias("window"), stretch.alias("it"))
     size = items.agg(F.sum(F.size("t"))).first()[0] or 0
-    known = F.broadcast(around) if size <= broadcast_tokens else around.hint("merge")
+    known = F.broadcast(known) if size <= broadcast_tokens else known.hint("merge")
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("t"))
-    hits = _seeds(own, "doc_id").join(known, ["mask", "seed"])
-    start = F.col("pos") - F.col("lead")  # where the item's stretch begins in the document; places outside it are null
-    stretch = F.transform(F.sequence(F.lit(0), F.size("it") - 1), lambda j: F.when((start + j >= 0) & (start + j < F.size("t")), F.get("t", (start + j).cast("int"))))
-    checked = hits.withColumn("matched", _best(F.col("it"), stretch, F.col("window")))
+    hits = _seeds(own, "doc_id").select("doc_id", "mask", "seed", "around").join(known, ["mask", "seed"])
+    lined = hits.select("doc_id", "item_id", "window", "it", F.slice("around", F.lit(WINDOW) - F.col("lead"), F.size("it")).alias("dt"))
+    # one row a window: its count comes out of a generator, so the test below stays behind the join
+    counted = lined.select("doc_id", "item_id", "window", F.explode(_equal_tokens(F.col("it"), F.col("dt"), F.col("window"))).alias("matched"))
     allowed = F.when(F.col("window") >= WINDOW, SUBSTITUTED).otherwise(1)
-    return checked.where(F.col("matched") >= F.col("window") - allowed).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("window").alias("window"))
+    return counted.where(F.col("matched") >= F.col("window") - allowed).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("window").alias("window"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
