@@ -51,16 +51,19 @@ def distance_to_polygon(x: Column, y: Column, polygon: Polygon) -> Column:
     return F.when(in_polygon(x, y, polygon), near).otherwise(-near)
 
 
-def segments_meet(px: Column, py: Column, qx: Column, qy: Column, a: tuple[float, float], b: tuple[float, float]) -> Column:
-    """Whether the segment from p to q meets the segment from a to b, ends included."""
-    side = lambda ax, ay, bx, by, cx, cy: F.signum((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
-    lit = [F.lit(float(v)) for v in (*a, *b)]
-    d1, d2 = side(px, py, qx, qy, lit[0], lit[1]), side(px, py, qx, qy, lit[2], lit[3])
-    d3, d4 = side(*lit, px, py), side(*lit, qx, qy)
-    cross = (d1 != d2) & (d3 != d4) & ((d1 != 0) | (d2 != 0)) & ((d3 != 0) | (d4 != 0))
-    within = lambda ax, ay, bx, by, cx, cy: cx.between(F.least(ax, bx), F.greatest(ax, bx)) & cy.between(F.least(ay, by), F.greatest(ay, by))
-    touch = ((d1 == 0) & within(px, py, qx, qy, lit[0], lit[1])) | ((d2 == 0) & within(px, py, qx, qy, lit[2], lit[3])) | ((d3 == 0) & within(*lit, px, py)) | ((d4 == 0) & within(*lit, qx, qy))
-    return cross | touch
+def segment_meets_box(x1: Column, y1: Column, x2: Column, y2: Column, a: tuple[float, float], b: tuple[float, float]) -> Column:
+    """Whether the segment from a to b has a point in the box: the stretches of it between the box's sides overlap."""
+    begins, ends, fixed = [F.lit(0.0)], [F.lit(1.0)], []
+    for low, high, p, q in ((x1, x2, a[0], b[0]), (y1, y2, a[1], b[1])):
+        step = float(q - p)
+        if step == 0:
+            fixed.append(F.lit(float(p)).between(low, high))
+        else:
+            first, last = (low - float(p)) / step, (high - float(p)) / step
+            begins.append(first if step > 0 else last)
+            ends.append(last if step > 0 else first)
+    overlap = (F.greatest(*begins) <= F.least(*ends)) if len(begins) > 1 else F.lit(True)
+    return reduce(lambda c, d: c & d, fixed, overlap)
 
 
 def touches_polygon_edge(b: Column, polygon: Polygon, margin: int = 0) -> Column:
@@ -71,11 +74,7 @@ def touches_polygon_edge(b: Column, polygon: Polygon, margin: int = 0) -> Column
         return F.lit(False)
     m = float(max(0, margin))
     x1, y1, x2, y2 = F.floor(b["x1"]) - m, F.floor(b["y1"]) - m, F.ceil(b["x2"]) + m, F.ceil(b["y2"]) + m
-    tests = [(F.lit(float(x)).between(x1, x2)) & (F.lit(float(y)).between(y1, y2)) for x, y in polygon]
-    corners = [(x1, y1), (x2, y1), (x2, y2), (x1, y2)]
-    for a, c in _edges(polygon):
-        for (px, py), (qx, qy) in zip(corners, [*corners[1:], corners[0]], strict=True):
-            tests.append(segments_meet(px, py, qx, qy, a, c))
+    tests = [segment_meets_box(x1, y1, x2, y2, a, c) for a, c in _edges(polygon)]  # a vertex in the box is on one
     if len(polygon) > 2:
         own = [(b["x1"], b["y1"]), (b["x2"], b["y1"]), (b["x2"], b["y2"]), (b["x1"], b["y2"])]
         tests += [distance_to_polygon(x, y, polygon) <= m if m else distance_to_polygon(x, y, polygon) < 0 for x, y in own]

@@ -19,20 +19,26 @@ def _sums(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
+def _stars(edges: DataFrame) -> DataFrame:
+    """(node, component) of edges (u, root), the roots included."""
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+
+
 def connected_components(edges: DataFrame, a: str | Column = "a", b: str | Column = "b", *, max_rounds: int = 64) -> DataFrame:
     """(node, component) for every node with an edge; component is the smallest node reachable.
 
     Alternates large-star and small-star rounds until the edges are stars around the smallest node.  The minimum of a
     node's neighbours is a partial aggregate and is joined back, so a node with very many neighbours is dealt out by
     adaptive skew-join handling instead of meeting in one task; each round's edges are written to the shared folder.
-    Self-loops, repeated edges and edges with a null end are dropped; nodes with no other edge do not appear.
+    Self-loops, repeated edges and edges with a null end are dropped; nodes with no other edge do not appear.  Nodes
+    may be of any ordered type.
     """
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
     ends = edges.select(a.alias("x"), b.alias("y")).where("x <> y")
     now = materialize(ends.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "edges")
     before = _sums(now)
     if before[0] == 0:
-        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        return _stars(now)
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_least(both), F.col("u") == F.col("node")).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
@@ -41,6 +47,6 @@ def connected_components(edges: DataFrame, a: str | Column = "a", b: str | Colum
         pulled = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("least").alias("v")), F.struct("u", F.col("least").alias("v")))).alias("e")).select("e.*")
         now = materialize(pulled.where("u <> v").distinct(), "edges")
         if (after := _sums(now)) == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return _stars(now)
         before = after
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -24,7 +24,7 @@ def link_pairs(ends: DataFrame, *, max_gap: float = 0.4, max_distance: float = 2
     pairs = pairs.withColumns({"gap": F.col("b_first.t") - F.col("a_last.t"), "dist": F.hypot(dx, dy), "lateral": F.abs(dx), "_dot": dx * F.col("a_vx") + dy * F.col("a_vy")})
     pairs = pairs.where((F.col("a_track_id") != F.col("b_track_id")) & ~F.isnan("dist") & (F.col("dist") > 0) & (F.col("dist") < float("inf")))
     free = F.col("a_vx").isNull() | F.col("a_vy").isNull() | (F.col("dist") < 1) | (F.hypot("a_vx", "a_vy") < 1)
-    passes = (F.col("gap") <= max_gap) & (F.col("dist") <= max_distance) & (F.col("lateral") <= max_lateral) & (F.col("dist") / F.col("gap") <= max_speed) & (free | (F.col("_dot") > 0))
+    passes = (F.col("gap") <= max_gap) & (F.col("dist") <= max_distance) & (F.col("lateral") <= max_lateral) & (F.col("dist") <= F.col("gap") * max_speed) & (free | (F.col("_dot") > 0))
     return pairs.withColumn("passes", F.coalesce(passes, F.lit(False))).drop("_dot")
 
 
@@ -39,8 +39,7 @@ def merged_vehicles(ends: DataFrame, links: DataFrame) -> DataFrame:
     group's earliest track that has one; groups without any are left out."""
     edges = links.where("accepted").select(F.struct("run_id", F.col("a_track_id").alias("track_id")).alias("a"), F.struct("run_id", F.col("b_track_id").alias("track_id")).alias("b"))
     parts = connected_components(edges).select(F.col("node.run_id").alias("run_id"), F.col("node.track_id").alias("track_id"), F.col("component.track_id").alias("component"))
-    roots = parts.select("run_id", F.col("component").alias("track_id"), "component").distinct()
-    members = ends.join(parts.union(roots).distinct(), ["run_id", "track_id"])
+    members = ends.join(parts, ["run_id", "track_id"])
     known = F.col("vehicle_index").isNotNull()
     rank = F.when(known, F.struct("first_frame", "track_id"))
     named = members.groupBy("run_id", "component").agg(F.min_by(F.when(known, F.col("vehicle_index")), rank).alias("vehicle_index"))
