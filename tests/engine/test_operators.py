@@ -219,3 +219,43 @@ def test_edge_filter(spark):
     rows = obs(spark, [(1, 0, 0.0, 100, 50), (2, 0, 0.0, 104, 50), (3, 0, 0.0, 300, 50), (-1, 0, 0.0, 300, 50)])
     kept = filters.drop_edge_observations(rows, rows.where("track_id = 1"), F.lit(False))
     assert [r.track_id for r in kept.collect()] == [3]
+
+
+DETECTIONS = "run_id string, frame_index long, pos long, x1 double, y1 double, x2 double, y2 double, confidence double, class_name string"
+
+
+def passing(gone=()):
+    return [("r", f, n, x, 0.0, x + 20, 40.0, 0.9, "car") for f in range(12) for n, x in enumerate([f * 5.0, 300.0 - f * 5.0]) if (f, n) not in gone]
+
+
+def test_lost_tracks_are_taken_over(spark):
+    d = spark.createDataFrame(passing({(f, 0) for f in range(4, 8)}) + [("r", 8, 2, 700.0, 0.0, 720.0, 40.0, 0.9, "car")], DETECTIONS).withColumn("bbox", boxes.box("x1", "y1", "x2", "y2"))
+    ids = {(r.frame_index, r.pos): r.track_id for r in tracker.associate(d, near=0.9, lost=60, rescue=20).collect()}
+    assert ids[11, 0] == ids[0, 0] and ids[8, 2] not in (ids[0, 0], ids[0, 1])
+
+
+def test_tracking_a_stream_equals_the_batch(spark, tmp_path):
+    table = spark.createDataFrame(passing({(5, 0), (6, 0)}), DETECTIONS)
+    for part in range(3):
+        table.where(F.floor(F.col("frame_index") / 4) == part).coalesce(1).write.json(f"{tmp_path}/in/{part}")
+    whole = lambda t: t.withColumn("bbox", boxes.box("x1", "y1", "x2", "y2"))
+    stream = whole(spark.readStream.schema(DETECTIONS).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in/*"))
+    tracker.associate_stream(stream).writeStream.format("memory").queryName("tracked").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination(120)
+    key = lambda rows: sorted((r.frame_index, r.pos, r.track_id) for r in rows)
+    assert key(spark.table("tracked").collect()) == key(tracker.associate(whole(table)).collect())
+
+
+def test_appearance_and_pixel_gate(spark):
+    v = spark.createDataFrame([("r", 1, i, [1.0, float(i)]) for i in range(20)], "run_id string, track_id long, frame_index long, vector array<double>")
+    q = spark.createDataFrame([("r", 1, 7, [1.0, 0.0]), ("r", 2, 8, [1.0, 0.0])], "run_id string, track_id long, query_id long, vector array<double>")
+    got = {r.query_id: r.cosine for r in tracker.best_similarity(v, q).collect()}
+    assert got == {7: pytest.approx(1 / 17**0.5), 8: None}
+    cases = spark.createDataFrame([(1, 0.5, 1.0, 10.0, 1.0, 0.9), (3, 0.5, 1.0, 10.0, 50.0, 0.9), (3, 0.5, 25.0, 10.0, 1.0, 0.9), (3, 0.5, 1.0, 10.0, 1.0, None), (3, 0.5, 19.0, 10.0, 1.0, 0.7)], "n int, gap double, d double, h double, v double, c double")
+    assert [r.why for r in cases.select(tracker.pixel_reason(*[F.col(c) for c in ("n", "gap", "d", "h", "v", "c")]).alias("why")).collect()] == ["history", "speed", "distance", "appearance", None]
+
+
+def test_cells_of_a_composite(spark):
+    cell = boxes.box(F.lit(100.0), F.lit(0.0), F.lit(200.0), F.lit(100.0))
+    placed = boxes.fitted_into(F.lit(400.0), F.lit(200.0), cell)
+    r = spark.range(1).select(placed.alias("p"), boxes.out_of_cell(boxes.box(F.lit(125.0), F.lit(25.0), F.lit(300.0), F.lit(50.0)), placed, F.lit(400.0), F.lit(200.0)).alias("o"), report.request({"b": 1, "a": "x"}, F.lit("i.jpg")).alias("q")).first()
+    assert tuple(r.p) == (100, 25, 200, 75) and tuple(r.o) == (100, 0, 400, 100) and r.q == '{"a":"x","b":1,"image":"i.jpg"}'

@@ -117,3 +117,20 @@ def touches_frame_edge(b: Column, left, top, right, bottom, margin: int = 0) ->
     bad = odd(b["x1"]) | odd(b["y1"]) | odd(b["x2"]) | odd(b["y2"]) | (b["x2"] <= b["x1"]) | (b["y2"] <= b["y1"])
     near = (F.floor(b["x1"]) <= _col(left) + m) | (F.floor(b["y1"]) <= _col(top) + m) | (F.ceil(b["x2"]) >= _col(right) - 1 - m) | (F.ceil(b["y2"]) >= _col(bottom) - 1 - m)
     return F.when(bad, True).otherwise(near)
+
+
+def fitted_into(source_width: Column, source_height: Column, cell: Column) -> Column:
+    """The box that an image takes in a cell of a composite: as large as its proportions allow, centered, whole pixels
+    (halves go to the even number)."""
+    scale = F.least(width(cell) / source_width, height(cell) / source_height)
+    w, h = F.greatest(F.bround(source_width * scale), F.lit(1.0)), F.greatest(F.bround(source_height * scale), F.lit(1.0))
+    x, y = cell["x1"] + F.floor((width(cell) - w) / 2), cell["y1"] + F.floor((height(cell) - h) / 2)
+    return box(x, y, x + w, y + h)
+
+
+def out_of_cell(found: Column, placed: Column, source_width: Column, source_height: Column) -> Column:
+    """A box found in a composite, in pixels of the image that was placed there; null if nothing of it is on it."""
+    x = lambda v: F.least(F.greatest((v - placed["x1"]) * source_width / width(placed), F.lit(0.0)), source_width)
+    y = lambda v: F.least(F.greatest((v - placed["y1"]) * source_height / height(placed), F.lit(0.0)), source_height)
+    out = box(x(found["x1"]), y(found["y1"]), x(found["x2"]), y(found["y2"]))
+    return F.when((out["x2"] > out["x1"]) & (out["y2"] > out["y1"]), out)

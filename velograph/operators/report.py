@@ -105,3 +105,14 @@ def with_dimensions(rows: DataFrame, countries: DataFrame, powertrains: DataFram
 def unclassified(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """(run_id, vehicle_index) with rows but no label."""
     return rows.where("vehicle_index is not null").select("run_id", "vehicle_index").distinct().join(labels.select("run_id", "vehicle_index"), ["run_id", "vehicle_index"], "left_anti")
+
+
+def request(settings: dict[str, str | int | float | bool], image: Column) -> Column:
+    """The JSON text of a recognition request: settings in order of name, then the image's name."""
+    fields = [F.lit(v).alias(k) for k, v in sorted(settings.items())]
+    return F.to_json(F.struct(*fields, image.alias("image")))
+
+
+def contract(settings: dict[str, str | int | float | bool], kept: tuple[str, ...]) -> Column:
+    """A digest of the settings on which an answer depends."""
+    return F.sha2(F.to_json(F.struct(*[F.lit(settings[k]).alias(k) for k in sorted(kept) if k in settings])), 256)
