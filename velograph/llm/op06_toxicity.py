@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from velograph.llm.boosting import Trees, calibrated, fit_isotonic, fit_trees, margins
 from velograph.llm.labelled import labelled_sample
 from velograph.llm.tables import crc_remainder, table
-from velograph.llm.token_sums import TokenSums
+from velograph.llm.token_sums import TokenSums, codes_of
 
 #: Labelled documents of a class that are learned from, at most; lexicon entries kept of each tier, at most.
 PER_CLASS, ENTRIES = 4_000, 400
@@ -40,8 +41,6 @@ MODULUS, HELD = 4, 2
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine euch ihr sie tu te toi ton ta vous votre vos tú ti usted ustedes vosotros".split())
 _WORD = re.compile(r"[^\W\d_]+")
 _DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": "", ".": "", "-": "", "_": ""})
-_MIXED = re.compile(r"[^\W\d_]+[\d@$!*._-]+[^\W\d_]+")
-_STRETCHED = re.compile(r"([^\W\d_])\1\1")
 #: Numbers of a token that add up: tier 1 and 2, tier 1 and 2 once undisguised, pronoun, letters, capitals, marks, ! or ?, obfuscated, stretched, one.
 _T1, _T2, _D1, _D2, _YOU, _LETTERS, _CAPITALS, _MARKS, _CALLS, _MIX, _LONG, _ONE = range(12)
 WIDTH = 12
@@ -85,18 +84,95 @@ def learn_lexicon(toxic: Counter, other: Counter, n_toxic: int, n_other: int) ->
     return Lexicon(frozenset(names[: min(cut, ENTRIES)]), frozenset(names[min(cut, ENTRIES) : min(cut, ENTRIES) + ENTRIES]))
 
 
-def token_numbers(tokens: list[str], lexicon: Lexicon) -> np.ndarray:
-    out = np.zeros((len(tokens), WIDTH))
-    for i, token in enumerate(tokens):
-        own = units(token)
-        plain = units(token.translate(_DISGUISE)) if _MIXED.search(token) else own
-        letters = sum(c.isalpha() for c in token)
-        marks = sum(not c.isalnum() for c in token)
-        out[i] = (
-            bool(own & lexicon.first), bool(own & lexicon.second), bool(plain & lexicon.first), bool(plain & lexicon.second),
-            not SECOND_PERSON.isdisjoint(own), letters, sum(c.isupper() for c in token), marks,
-            token.count("!") + token.count("?"), bool(_MIXED.search(token)), bool(_STRETCHED.search(token)), 1,
-        )
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Hashes:
+    """A lexicon as sorted hashes of words and of beginnings, to look up many at once."""
+
+    def __init__(self, lexicon: Lexicon):
+        self.tiers = [{n: self._of(tier, n) for n in (0, *STEMS)} for tier in lexicon]
+        self.you = self._of(SECOND_PERSON, 0)
+
+    @staticmethod
+    def _of(entries: frozenset[str], stem: int) -> np.ndarray:
+        own = [e[:-1] for e in entries if e.endswith("-") and len(e) == stem + 1] if stem else [e for e in entries if not e.endswith("-")]
+        if not own:
+            return np.empty(0, np.uint64)
+        codes, _ = codes_of(own)
+        return np.sort(runs_of_letters(codes)[2])
+
+    @staticmethod
+    def has(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        if not len(known):
+            return np.zeros(len(hashes), bool)
+        return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+
+
+def runs_of_letters(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, length, hash) of each run of codes other than zero; the array begins and ends with a zero."""
+    filled = codes != 0
+    begin = np.flatnonzero(filled[1:] & ~filled[:-1]) + 1
+    length = np.flatnonzero(filled[:-1] & ~filled[1:]) + 1 - begin
+    return begin, length, _hash(codes, begin, length)
+
+
+def _hash(codes: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A polynomial hash of the codes from ``begin`` on; words longer than 64 letters count as their first 64."""
+    out = np.zeros(len(begin), np.uint64)
+    length = np.minimum(length, 64)
+    with np.errstate(over="ignore"):
+        for j in range(int(length.max(initial=0))):
+            live = np.flatnonzero(length > j) if j else slice(None)
+            out[live] = (out[live] + codes[begin[live] + j].astype(np.uint64)) * _BASE
+        return out ^ (out >> np.uint64(29))
+
+
+@lru_cache(maxsize=1)
+def kinds() -> dict[str, np.ndarray]:
+    """What each code point is."""
+    every = [chr(c) for c in range(0x110000)]
+    letter, upper = np.array([c.isalpha() for c in every]), np.array([c.isupper() for c in every])
+    return {"letter": letter, "upper": upper, "mark": np.array([not c.isalnum() for c in every]), "hides": np.array([c.isdecimal() or c in "@$!*._-" for c in every])}
+
+
+def _tiers(codes: np.ndarray, owner: np.ndarray, begin: np.ndarray, length: np.ndarray, whole: np.ndarray, known: Hashes, n: int) -> list[np.ndarray]:
+    """For each tier, which of ``n`` tokens hold an entry."""
+    stems = {s: _hash(codes, begin, np.minimum(length, s)) for s in STEMS}
+    out = []
+    for tier in known.tiers:
+        hit = Hashes.has(tier[0], whole)
+        for s in STEMS:
+            hit |= (length >= s) & Hashes.has(tier[s], stems[s])
+        out.append(np.bincount(owner[begin], hit, n) > 0)
+    return out
+
+
+def token_numbers(tokens: list[str], known: Hashes) -> np.ndarray:
+    n, kind = len(tokens), kinds()
+    out = np.zeros((n, WIDTH))
+    count = lambda owner, what: np.bincount(owner, what, n)
+    # lower case: words and their beginnings
+    codes, owner = codes_of([t.lower() for t in tokens], kind["letter"])
+    begin, length, whole = runs_of_letters(codes)
+    out[:, _T1], out[:, _T2] = _tiers(codes, owner, begin, length, whole, known, n)
+    out[:, _YOU] = count(owner[begin], Hashes.has(known.you, whole)) > 0
+    # as written: kinds of characters; the zero before each token is of no kind
+    codes, owner = codes_of(tokens)
+    real = codes != 0
+    letter, hides = kind["letter"][codes], kind["hides"][codes] & real
+    out[:, _LETTERS], out[:, _CAPITALS], out[:, _MARKS] = (count(owner, x) for x in (letter, kind["upper"][codes], kind["mark"][codes] & real))
+    out[:, _CALLS], out[:, _ONE] = count(owner, (codes == 33) | (codes == 63)), 1
+    out[:, _LONG] = count(owner[1:-1], letter[1:-1] & (codes[1:-1] == codes[:-2]) & (codes[1:-1] == codes[2:])) > 0
+    first = np.flatnonzero(hides[1:] & letter[:-1]) + 1  # runs of digits and signs between letters
+    last = np.flatnonzero(hides[:-1] & ~hides[1:])
+    after = last[np.searchsorted(last, first)] + 1 if len(first) else first
+    out[:, _MIX] = count(owner[first], letter[after]) > 0 if len(first) else 0
+    out[:, _D1], out[:, _D2] = out[:, _T1], out[:, _T2]
+    hidden = np.flatnonzero(out[:, _MIX])
+    if len(hidden):
+        shown, own = codes_of([tokens[i].translate(_DISGUISE).lower() for i in hidden], kind["letter"])
+        out[hidden, _D1], out[hidden, _D2] = _tiers(shown, own, *runs_of_letters(shown), known, len(hidden))
     return out
 
 
@@ -104,7 +180,8 @@ class Features:
     """Dense features of texts for one lexicon."""
 
     def __init__(self, lexicon: Lexicon):
-        self.own = TokenSums(lambda tokens: token_numbers(tokens, lexicon), WIDTH)
+        known = Hashes(lexicon)
+        self.own = TokenSums(lambda tokens: token_numbers(tokens, known), WIDTH)
 
     def near(self, text: str | None) -> float:
         """Tokens with an entry that have a second-person pronoun within ``NEAR`` tokens."""
@@ -112,9 +189,11 @@ class Features:
         count, step = 0.0, 50_000
         for at in range(0, len(tokens), step):
             first = max(0, at - NEAR)
-            rows = self.own.rows_of(tokens[first : at + step + NEAR])
-            you = np.convolve(rows[:, _YOU], np.ones(2 * NEAR + 1), "same") if len(rows) > 2 * NEAR else np.full(len(rows), rows[:, _YOU].sum())
-            hit = (rows[:, _D1] + rows[:, _D2] > 0) & (you > 0)
+            columns = self.own.columns_of(tokens[first : at + step + NEAR])
+            said = np.r_[0, np.cumsum(columns[_YOU])]
+            place = np.arange(len(said) - 1)
+            you = said[np.minimum(place + NEAR + 1, len(place))] - said[np.maximum(place - NEAR, 0)]
+            hit = (columns[_D1] + columns[_D2] > 0) & (you > 0)
             count += hit[at - first : at - first + min(step, len(tokens) - at)].sum()
         return count
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Tokens kept, and the characters they may have in all.
-KEPT_TOKENS, KEPT_CHARS = 300_000, 6_000_000
+KEPT_TOKENS, KEPT_CHARS = 400_000, 8_000_000
 #: Characters of text looked at together.
 STEP_CHARS = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -25,10 +25,10 @@ class TokenSums:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.rows, self.chars = np.zeros((0, self.width)), 0
+        self.columns, self.chars = np.zeros((self.width, 1024)), 0
 
-    def rows_of(self, tokens: list[str]) -> np.ndarray:
-        """The numbers of each token, a row for each."""
+    def columns_of(self, tokens: list[str]) -> np.ndarray:
+        """The numbers of each token, a column for each."""
         known = self.known
         new = list({t for t in tokens if t not in known})
         if new:
@@ -37,10 +37,14 @@ class TokenSums:
                 self._forget()
                 known, new = self.known, list(set(tokens))
                 self.chars = sum(map(len, new))
-            at = len(known)
-            known.update(zip(new, range(at, at + len(new)), strict=True))
-            self.rows = np.concatenate([self.rows[:at], self.make(new)])
-        return self.rows[np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))]
+            at, end = len(known), len(known) + len(new)
+            known.update(zip(new, range(at, end), strict=True))
+            if end > self.columns.shape[1]:
+                wider = np.zeros((self.width, 2 * end))
+                wider[:, :at] = self.columns[:, :at]
+                self.columns = wider
+            self.columns[:, at:end] = self.make(new).T
+        return self.columns[:, np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))]
 
     def sums(self, texts: list[str | None]) -> np.ndarray:
         """For each text, the sums over its tokens; zeros for texts without any."""
@@ -50,7 +54,8 @@ class TokenSums:
 
         def flush() -> None:
             if held:
-                out[owners] += np.add.reduceat(self.rows_of(held), starts, axis=0)
+                for k, column in enumerate(self.columns_of(held)):
+                    np.add.at(out[:, k], owners, np.add.reduceat(column, starts))
 
         for i, text in enumerate(texts):
             tokens = text.split() if text else []
