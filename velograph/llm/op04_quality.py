@@ -100,17 +100,29 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: fl
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """A model of ``labels.quality``, from at most ``per_class`` documents a class whose ids are not held out."""
+    """A model of ``labels.quality``, from at most ``per_class`` documents a class whose ids are not held out.
+
+    Features are made where the texts are and the bounded sample is fitted in one task of an executor; the weights are
+    all that comes to the driver.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             bags = [bag(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"].astype("int32"), "b": [b.astype(np.int32) for b, _ in bags], "c": [c.astype(np.float32) for _, c in bags]})
+            yield pd.DataFrame({"sample": 0, "doc_id": batch["doc_id"], "label": batch["label"].astype("int32"), "b": [b.astype(np.int32) for b, _ in bags], "c": [c.astype(np.float32) for _, c in bags]})
+
+    rated = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_remainder(F.col("doc_id"), MODULUS) != HELD))
+    share = rated.agg(F.avg("quality")).first()[0]
+    prior = 0.5 if share is None else float(share)
+
+    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["doc_id", "label"], kind="stable")
+        model = fit(list(zip(rows["b"], rows["c"], strict=True)), rows["label"].to_numpy(np.int64), prior)
+        return pd.DataFrame({"weights": [model.weights.astype("<f8").tobytes()], "bias": [model.bias]})
 
-    rows = labelled_sample(docs, labels, "quality", MODULUS, HELD, per_class).mapInPandas(run, "doc_id long, label int, b array<int>, c array<float>").toPandas()
-    rows = rows.sort_values(["doc_id", "label"], kind="stable")
-    share = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_remainder(F.col("doc_id"), MODULUS) != HELD)).agg(F.avg("quality")).first()[0]
-    return fit([(np.asarray(b, np.int64), np.asarray(c, float)) for b, c in zip(rows["b"], rows["c"], strict=True)], rows["label"].to_numpy(np.int64), 0.5 if share is None else float(share))
+    sample = labelled_sample(docs, labels, "quality", MODULUS, HELD, per_class).mapInPandas(run, "sample int, doc_id long, label int, b array<int>, c array<float>")
+    found = sample.groupBy("sample").applyInPandas(learn, "weights binary, bias double").first()
+    return Model(np.frombuffer(found["weights"], "<f8"), found["bias"]) if found else fit([], np.empty(0, np.int64), prior)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
