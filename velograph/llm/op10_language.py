@@ -24,6 +24,9 @@ from velograph.llm.token_sums import TokenSums, codes_of, grams
 SIZES, SLOT_BITS, HASHES = (2, 3, 4), 19, 3
 #: Documents of a language that are learned from, n-grams of a language that are kept, documents that one must be in.
 PER_LANGUAGE, PER_FILTER, LEAST_DOCS = 500, 20_000, 3
+#: An n-gram is a language's if the share of its documents with it is so much of the largest share of any language;
+#: quotations, names and boilerplate of other languages stay out that way.
+PART = 0.5
 UNKNOWN = "und"
 MODULUS, HELD = 3, 1
 
@@ -86,7 +89,11 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, per_filter: int = P
                     yield pd.DataFrame({"lang": lang, "g": np.unique(token_grams(tokens)[0]).view(np.int64)})
 
     seen = sample.mapInPandas(run, "lang string, g long").groupBy("lang", "g").agg(F.count("*").alias("n"))
-    least = F.least(F.lit(least_docs), F.lit(1) + F.floor(F.element_at(F.create_map(*[x for name, n in counts.items() for x in (F.lit(name), F.lit(min(n, per_language)))]), F.col("lang")) / 20))
+    sampled = F.element_at(F.create_map(*[x for name, n in counts.items() for x in (F.lit(name), F.lit(float(min(n, per_language))))]), F.col("lang"))
+    seen = seen.withColumn("share", F.col("n") / sampled)
+    most = seen.groupBy("g").agg(F.max("share").alias("most"))
+    seen = seen.join(most, "g").where(F.col("share") >= PART * F.col("most"))
+    least = F.least(F.lit(least_docs), F.lit(1) + F.floor(sampled / 20))
     kept = seen.where(F.col("n") >= least).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "g"))).where(F.col("k") <= per_filter)
     rows = kept.select("lang", "g").toPandas()
     found = {name: part["g"].to_numpy(np.int64).view(np.uint64) for name, part in rows.groupby("lang")}
