@@ -92,3 +92,6 @@ def test_one_document_of_each_group_stays(spark):
     rows = [(1, "a b c d e f", "en", "s", 1, "k"), (2, "a b c d e f", "en", "s", 1, "k"), (2, "a b c d e f", "en", "s", 1, "k"), (3, "q r s t u v w x y z", "en", None, 1, "k"), (3, "q r s t u v w x y z", "en", None, 1, "k")]
     kept = drop_near_duplicates(spark.createDataFrame(rows, DOCS))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3] and kept.columns == [c.split()[0] for c in DOCS.split(", ")]
+    rows += [(None, t, "en", None, 1, "k") for t in ("a b c d e f", "h i j k l m n o p", "h i j k l m n o p", "one two three four five six")] + [(3, "another text with this id again", "en", None, 1, "k")]
+    kept = drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept))) == sorted(map(str, [(1, "a b c d e f"), (3, "q r s t u v w x y z"), (None, "h i j k l m n o p"), (None, "one two three four five six"), (3, "another text with this id again")]))

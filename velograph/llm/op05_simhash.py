@@ -44,13 +44,13 @@ def _signed(x: int) -> int:
 
 
 def with_fingerprint(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp): the SimHash of every text as a signed long."""
+    """(doc_id, h, fp): a hash of the whole text, and its SimHash, both as signed longs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fingerprints(batch["text"], width)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "h": batch["h"], "fp": fingerprints(batch["text"], width)})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text").mapInPandas(run, "doc_id long, h long, fp long")
 
 
 def _linked(members: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
@@ -102,6 +102,15 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, bucket_limit: int = 256)
     return links.union(large.join(least, ["t", "z"]).where("a <> fp").select("a", F.col("fp").alias("b")).distinct())
 
 
+def _rooted(docs: DataFrame, radius: int, width: int, bucket_limit: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, fp) of every row, and (fp, root, least) of every fingerprint: the smallest fingerprint it reaches and
+    the smallest doc_id that has it."""
+    own = materialize(with_fingerprint(docs, width), "simhash")
+    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    parts = connected_components(fingerprint_links(distinct.select("fp"), radius, bucket_limit))
+    return own, distinct.join(parts, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("root"), "least")
+
+
 def simhash_components(docs: DataFrame, radius: int = 4, width: int = 4, bucket_limit: int = 256) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -110,20 +119,24 @@ def simhash_components(docs: DataFrame, radius: int = 4, width: int = 4, bucket_
     row.  A null doc_id is kept and never becomes a component_id unless every member of the component is null.
     An empty table gives an empty result.
     """
-    own = materialize(with_fingerprint(docs, width), "simhash")
-    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    parts = connected_components(fingerprint_links(distinct.select("fp"), radius, bucket_limit))
-    root = distinct.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    own, root = _rooted(docs, radius, width, bucket_limit)
     smallest = root.groupBy("root").agg(F.min("least").alias("component_id"))
     named = root.join(smallest, "root").select("fp", "component_id")
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of each component, one row for each such id, all columns kept."""
-    keep = simhash_components(docs, radius, width).select(F.col("component_id").alias("_velograph_keep")).distinct()
-    kept = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(F.col("_velograph_keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+def drop_near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, bucket_limit: int = 256) -> DataFrame:
+    """One row of ``docs`` for each component, all columns kept: that of the smallest doc_id, null ids last.
+
+    A row is known by its doc_id and text, so ids that are null or repeated do not let rows of other components go; of
+    rows equal in both one stays.
+    """
+    own, root = _rooted(docs, radius, width, bucket_limit)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_velograph_d"), F.col("h").alias("_velograph_h")))
+    keep = own.join(root, "fp").groupBy("root").agg(first.alias("one")).select("one._velograph_d", "one._velograph_h")
+    marked = docs.withColumn("_velograph_own", F.xxhash64("text"))
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col("_velograph_d")) & F.col("_velograph_own").eqNullSafe(F.col("_velograph_h"))
+    return marked.join(keep, here, "left_semi").dropDuplicates(["doc_id", "_velograph_own"]).drop("_velograph_own")
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
