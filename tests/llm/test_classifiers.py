@@ -127,3 +127,15 @@ def test_trees_and_calibration():
     assert ((m > 0) == (y > 0)).mean() > 0.97
     places, levels = fit_isotonic(np.array([0.0, 1.0, 2.0, 3.0, 3.0]), np.array([0.0, 1.0, 0.0, 1.0, 0.0]), np.ones(5))
     assert (np.diff(levels) >= 0).all() and calibrated(np.array([-9.0, 9.0]), (places, levels)).tolist() == [0.0, 0.5]
+
+
+def test_samples_are_the_smallest_hashes(spark):
+    from pyspark.sql import functions as F
+
+    from velograph.llm.labelled import first_ids
+
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, 1).otherwise(0).alias("y"))
+    got = first_ids(rows, F.col("y"), 100).collect()
+    hashed = rows.withColumn("o", F.xxhash64("doc_id")).orderBy("o").collect()
+    want = {(r.doc_id, y) for y in (0, 1) for r in [h for h in hashed if h.y == y][:100]}
+    assert {(r.doc_id, r.label) for r in got} == want
