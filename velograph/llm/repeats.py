@@ -43,6 +43,8 @@ RUNS = "d long, h long, m long, c long, p int, n int"
 SPANS = "d long, h long, s int, e int"
 #: Contents of one anchor that one task compares; further ones go the way of single windows.
 ANCHOR_LIMIT = 10_000
+#: Keys with more than one in so many of all rows are broadcast; there are fewer than this of them.
+HEAVY = 5_000
 #: Contents that one shard aims at.
 SHARD_CONTENTS = 6_000
 
@@ -107,16 +109,26 @@ def _ranges(mask: np.ndarray, at: int, window: int) -> Iterator[tuple[int, int]]
         yield at + b, at + e - 1 + window
 
 
+def _held(rows: DataFrame, keys: DataFrame, by: list[str], count: str, total: int) -> DataFrame:
+    """``rows`` whose key is in ``keys``, which has the number of rows of each key.
+
+    Fewer than ``HEAVY`` keys can have more than one in ``HEAVY`` of all rows each, so those keys are broadcast and
+    their rows stay where they are; the others meet in a shuffle join in which no key is large.
+    """
+    heavy = F.broadcast(keys.where(F.col(count) > total / HEAVY).select(*by))
+    light = keys.where(F.col(count) <= total / HEAVY).select(*by)
+    return rows.join(heavy, by, "left_semi").union(rows.join(heavy, by, "left_anti").join(light, by, "left_semi"))
+
+
 def repeated_spans(docs: DataFrame, unit: Unit, search: Search, *, anchor_limit: int = ANCHOR_LIMIT) -> tuple[DataFrame, DataFrame]:
     """(src, spans): the keyed documents, and (d, h, s, e) spans of symbols that windows starting elsewhere too cover."""
     window, size = unit.window, unit.itemsize
     src = keyed(docs)
     runs = materialize(_runs(src, unit), "runs")
-    # written, so that the join below has an exchange on either side and a very frequent anchor can be dealt out
-    shared = materialize(runs.groupBy("m").agg(F.count("*").alias("_n")).where("_n > 1").select("m"), "anchors")
-    live = materialize(runs.join(shared, "m", "left_semi"), "runs-shared")
+    shared = materialize(runs.groupBy("m").agg(F.count("*").alias("_n")).where("_n > 1"), "anchors")
+    live = materialize(_held(runs, shared, ["m"], "_n", runs.count()), "runs-shared")
     kinds = materialize(live.groupBy("m", "c").agg(F.count("*").alias("copies"), F.min(F.struct("d", "h", "p", "n")).alias("one")), "contents")
-    copied = live.join(kinds.where("copies > 1").select("m", "c"), ["m", "c"], "left_semi")
+    copied = _held(live, kinds.where("copies > 1"), ["m", "c"], "copies", live.count())
     whole = copied.select("d", "h", F.col("p").alias("s"), (F.col("p") + F.col("n") + (window - 1)).alias("e"))
 
     variants = kinds.groupBy("m").agg(F.count("*").alias("v")).where("v > 1")
