@@ -132,9 +132,9 @@ def _spliced(long: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
     left = parts.where("more").select("d", "h", (F.col("i") + 1).alias("i"), F.col("n").alias("ln"), "tp", "tc")
     right = parts.where("i > 0").select(F.col("d").alias("_d"), F.col("h").alias("_h"), F.col("i").alias("_i"), "hp", "hc")
     at = F.array_min(F.array_intersect("tp", "hp"))
-    kept = lambda places, counts: F.element_at(counts, F.array_position(places, F.col("at")).cast("int"))
+    count_at = lambda places, counts: F.element_at(counts, F.array_position(places, F.col("at")).cast("int"))
     joint = left.join(right, F.col("d").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")) & (F.col("i") == F.col("_i"))).withColumn("at", at)
-    change = F.when(F.col("at").isNotNull(), kept("tp", "tc") - F.col("ln") - kept("hp", "hc"))
+    change = F.when(F.col("at").isNotNull(), count_at("tp", "tc") - F.col("ln") - count_at("hp", "hc"))
     whole = parts.select("d", "h", F.col("n").alias("change"), F.lit(False).alias("failed"))
     every = whole.union(joint.select("d", "h", F.coalesce(change, F.lit(0)).alias("change"), F.col("at").isNull().alias("failed")))
     return every.groupBy("d", "h").agg(F.sum("change").alias("n_tokens"), F.max("failed").alias("failed"))
