@@ -580,5 +580,63 @@ def interpolated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("track_id", "frame_index", r6("bbox.x1").alias("x1"))
 
 
+@query("""SELECT p_brand AS make, count(*) FILTER (WHERE p_size >= 20 AND p_type <> 'SMALL') AS accepted, count(*) FILTER (WHERE p_partkey % 3 <> 0 AND p_type <> 'SMALL' AND (p_partkey % 5 = 0 OR p_size >= 35)) AS eligible FROM part GROUP BY p_brand""")
+def accepted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = F.when(F.col("p_type") != "SMALL", F.col("p_type"))
+    sure = F.col("p_size") / 100.0
+    ok = filters.accepted(F.col("p_brand"), model, sure, 0.2)
+    able = filters.evidence_eligible(F.col("p_partkey") % 3 != 0, F.col("p_brand"), model, sure, F.col("p_partkey") % 5 == 0, 0.35)
+    return read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("make")).agg(F.count_if(ok).alias("accepted"), F.count_if(able).alias("eligible"))
+
+
+@query("""SELECT o_custkey % 10 AS run_id, count(*) FILTER (WHERE o_orderkey % 4 <> 0) AS imported, count(*) FILTER (WHERE o_orderkey % 4 = 0) AS skipped FROM orders GROUP BY 1""")
+def seed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "orders").select((F.col("o_custkey") % 10).alias("run_id"), F.col("o_orderkey").alias("record_id"))
+    return retrieval.seed_summary(rows, retrieval.seed(rows.where("record_id % 4 = 0"), rows))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 12 HOUR THEN 1 ELSE 0 END AS brk FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT user_id, ts, sum(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 12 HOUR AS session_end, count(*) AS n FROM s GROUP BY user_id, k""")
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.session_window(F.col("ts").cast("timestamp_ntz"), "12 hours")
+    rows = read(spark, sf_dir, "events").groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n"))
+    return rows.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
+
+
+@query(f"""WITH {_RECORDS},
+st AS (SELECT frame_index, t, lead(frame_index) OVER (ORDER BY frame_index) AS nf, lead(t) OVER (ORDER BY frame_index) AS nt FROM fr)
+SELECT frame_index + 1 AS frame_index FROM st WHERE nf - frame_index > 1 AND nt > t AND NOT (nt - t <= 0.5 AND EXISTS (SELECT 1 FROM rec p JOIN rec n ON n.track_id = p.track_id WHERE p.frame_index = st.frame_index AND n.frame_index = st.nf))""")
+def cleared_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, frames = _records(spark, sf_dir)
+    return smooth.interpolate_frames(rows, frames, 10.0, max_gap=0.5)[1].select("frame_index")
+
+
+@query("""SELECT p_partkey, sha256(p_name || '{"brand":"' || p_brand || '","size":' || p_size || '}') AS key, CAST(p_partkey % 256 AS INTEGER) AS blue, p_size AS red FROM part""")
+def content_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    colour = F.format_string("#%02X%02X%02X", "p_size", F.floor(F.col("p_partkey") / 256) % 256, F.col("p_partkey") % 256)
+    request = F.struct(F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))
+    return read(spark, sf_dir, "part").select("p_partkey", text.content_key(F.col("p_name"), request).alias("key"), text.hex_to_bgr(colour)[0].alias("blue"), text.hex_to_bgr(colour)[2].alias("red"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN p_brand ELSE p_brand || ' ' || p_type || chr(10) || CASE WHEN p_size % 2 = 0 THEN 'G' || p_size || chr(10) ELSE '' END || p_name END AS label FROM part""")
+def display_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = F.col("p_size") % 5 == 0
+    either = lambda c: F.when(old, F.lit("old")).otherwise(c)
+    generation = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("G"), F.col("p_size").cast("string")))
+    label = text.display_label(F.lit(None).cast("string"), F.col("p_brand"), either(F.col("p_type")), F.lit(""), either(generation), either(F.col("p_name")))
+    return read(spark, sf_dir, "part").select("p_partkey", label.alias("label"))
+
+
+@query(f"""WITH {OBSERVATIONS},
+l AS (SELECT track_id, frame_index, pos, fx, fy, lag(fx) OVER w AS px, lag(fy) OVER w AS py FROM feet WINDOW w AS ({ORDERED})),
+d AS (SELECT *, fy - py AS step FROM l)
+SELECT track_id, round(max(step), 6) AS down, round(min(step), 6) AS up, count(*) FILTER (WHERE px IS NULL) AS firsts FROM d GROUP BY track_id""")
+def steps_along_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = tracks.along()
+    rows = observations(spark, sf_dir).withColumns({"step": fy() - F.lag(fy()).over(w), "before": F.lag(fx()).over(w)})
+    return rows.groupBy("track_id").agg(r6(F.max("step")).alias("down"), r6(F.min("step")).alias("up"), F.count_if(F.col("before").isNull()).alias("firsts"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zone_counts(spark, sf_dir)
