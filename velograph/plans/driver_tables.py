@@ -68,3 +68,20 @@ def polygon_sql(x: str, y: str, polygon=ZONE) -> str:
         if ay != by:
             cross.append(f"CASE WHEN ({y} < {ay}) <> ({y} < {by}) AND {x} < ({y} - {ay}::DOUBLE) * ({bx - ax}::DOUBLE / {by - ay}::DOUBLE) + {ax}::DOUBLE THEN 1 ELSE 0 END")
     return f"({' OR '.join(touch)} OR ({' + '.join(cross)}) % 2 = 1)"
+
+
+def edge_sql(polygon=ZONE) -> str:
+    """Whether the box x1, y1, x2, y2, in whole pixels, meets an edge, or a corner of the box itself is outside."""
+    tests = []
+    for (ax, ay), (bx, by) in zip(polygon, [*polygon[1:], polygon[0]], strict=True):
+        begins, ends, fixed = ["0"], ["1"], []
+        for low, high, p, q in (("floor(x1)", "ceil(x2)", ax, bx), ("floor(y1)", "ceil(y2)", ay, by)):
+            if p == q:
+                fixed.append(f"{p} BETWEEN {low} AND {high}")
+            else:
+                first, last = (f"({side} - {p}::DOUBLE) / {q - p}::DOUBLE" for side in ((low, high) if q > p else (high, low)))
+                begins.append(first)
+                ends.append(last)
+        tests.append("(" + " AND ".join([f"greatest({', '.join(begins)}) <= least({', '.join(ends)})", *fixed]) + ")")
+    tests += [f"NOT {polygon_sql(x, y, polygon)}" for x in ("x1", "x2") for y in ("y1", "y2")]
+    return f"({' OR '.join(tests)})"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from velograph.functions import boxes, geometry, text, vectors
 from velograph.operators import aggregates, dedup, filters, joins, link, report, retrieval, smooth, tracker, tracks
-from velograph.plans.driver_tables import FRAGMENTS, HEIGHT, LINE, OBSERVATIONS, WIDTH, ZONE, fragments, observations, polygon_sql, read
+from velograph.plans.driver_tables import FRAGMENTS, HEIGHT, LINE, OBSERVATIONS, WIDTH, ZONE, edge_sql, fragments, observations, polygon_sql, read
 from velograph.sources.readers import sampled_frames
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -184,25 +184,31 @@ def linked_vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link.merged_vehicles(ends, _links(ends)).select("track_id", "component", "vehicle_index")
 
 
-@query(f"""WITH {OBSERVATIONS}, {FRAGMENTS},
+_DUPLICATES = f"""{FRAGMENTS},
 n AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY frame_index DESC, pos DESC) AS back, row_number() OVER ({ORDERED}) AS forth FROM frag),
 a AS (SELECT l.track_id, l.vehicle_index, l.t, l.class_name, l.x1, l.y1, l.x2, l.y2, p.t AS pt, p.x1 AS p1, p.y1 AS q1, p.x2 AS p2, p.y2 AS q2 FROM n l LEFT JOIN n p ON p.track_id = l.track_id AND p.back = 2 WHERE l.back = 1),
 b AS (SELECT track_id, vehicle_index, t, class_name, x1, y1, x2, y2 FROM n WHERE forth = 1),
 k AS (SELECT track_id, min(class_name) AS make FROM frag GROUP BY track_id),
-j AS (SELECT a.track_id AS a_track_id, b.track_id AS b_track_id, b.t - a.t AS gap, ka.make = kb.make AS identity_match, CASE WHEN a.pt < a.t THEN (b.t - a.t) / (a.t - a.pt) ELSE 0 END AS f,
+j AS (SELECT a.track_id AS a_track_id, b.track_id AS b_track_id, a.vehicle_index AS av, b.vehicle_index AS bv, b.t - a.t AS gap, ka.make = kb.make AS identity_match, CASE WHEN a.pt < a.t THEN (b.t - a.t) / (a.t - a.pt) ELSE 0 END AS f,
     a.x1, a.y1, a.x2, a.y2, coalesce(p1, a.x1) AS p1, coalesce(q1, a.y1) AS q1, coalesce(p2, a.x2) AS p2, coalesce(q2, a.y2) AS q2, b.x1 AS u1, b.y1 AS v1, b.x2 AS u2, b.y2 AS v2
   FROM a JOIN b ON b.t > a.t AND b.t <= a.t + 2 AND a.track_id <> b.track_id JOIN k ka ON ka.track_id = a.track_id JOIN k kb ON kb.track_id = b.track_id
   WHERE a.vehicle_index IS NOT NULL AND b.vehicle_index IS NOT NULL),
 g AS (SELECT *, (x1 + x2) / 2 + ((x1 + x2) / 2 - (p1 + p2) / 2) * f AS cx, (y1 + y2) / 2 + ((y1 + y2) / 2 - (q1 + q2) / 2) * f AS cy,
-    greatest((x2 - x1) + ((x2 - x1) - (p2 - p1)) * f, 0) AS w, greatest((y2 - y1) + ((y2 - y1) - (q2 - q1)) * f, 0) AS h FROM j)
+    greatest((x2 - x1) + ((x2 - x1) - (p2 - p1)) * f, 0) AS w, greatest((y2 - y1) + ((y2 - y1) - (q2 - q1)) * f, 0) AS h FROM j)"""
+
+
+def _duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fragments(observations(spark, sf_dir))
+    labels = rows.groupBy("run_id", "track_id").agg(F.max("vehicle_index").alias("vehicle_index"), F.min("class_name").alias("make")).withColumn("accepted", F.lit(True))
+    return dedup.duplicate_pairs(dedup.track_ends(rows), labels, max_gap=2.0, parts=["make"])
+
+
+@query(f"""WITH {OBSERVATIONS}, {_DUPLICATES}
 SELECT a_track_id, b_track_id, round(gap, 6) AS gap, identity_match,
   round(sqrt((cx - (u1 + u2) / 2) ** 2 + (cy - (v1 + v2) / 2) ** 2) / greatest(w, h, u2 - u1, v2 - v1), 6) AS error,
   round(least(w, u2 - u1) / greatest(w, u2 - u1), 6) AS width_ratio, round(least(h, v2 - v1) / greatest(h, v2 - v1), 6) AS height_ratio FROM g""")
 def duplicate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fragments(observations(spark, sf_dir))
-    labels = rows.groupBy("run_id", "track_id").agg(F.max("vehicle_index").alias("vehicle_index"), F.min("class_name").alias("make")).withColumn("accepted", F.lit(True))
-    pairs = dedup.duplicate_pairs(dedup.track_ends(rows), labels, max_gap=2.0, parts=["make"])
-    return pairs.select("a_track_id", "b_track_id", r6("gap").alias("gap"), "identity_match", r6("error").alias("error"), r6("width_ratio").alias("width_ratio"), r6("height_ratio").alias("height_ratio"))
+    return _duplicates(spark, sf_dir).select("a_track_id", "b_track_id", r6("gap").alias("gap"), "identity_match", r6("error").alias("error"), r6("width_ratio").alias("width_ratio"), r6("height_ratio").alias("height_ratio"))
 
 
 @query("""SELECT o_orderkey, o_custkey, CAST(event_id AS BIGINT) AS event_id, event_type FROM
@@ -638,5 +644,23 @@ def steps_along_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("track_id").agg(r6(F.max("step")).alias("down"), r6(F.min("step")).alias("up"), F.count_if(F.col("before").isNull()).alias("firsts"))
 
 
+@query(f"""WITH RECURSIVE {OBSERVATIONS}, {_DUPLICATES},
+o AS (SELECT *, greatest(least(cx + w / 2, u2) - greatest(cx - w / 2, u1), 0) * greatest(least(cy + h / 2, v2) - greatest(cy - h / 2, v1), 0) AS shared FROM g),
+r AS (SELECT av, bv, identity_match, sqrt((cx - (u1 + u2) / 2) ** 2 + (cy - (v1 + v2) / 2) ** 2) / greatest(w, h, u2 - u1, v2 - v1) AS error,
+    least(least(w, u2 - u1) / greatest(w, u2 - u1), least(h, v2 - v1) / greatest(h, v2 - v1)) AS ratio, shared / (w * h + (u2 - u1) * (v2 - v1) - shared) AS iou FROM o),
+e AS (SELECT av AS a, bv AS b FROM r WHERE av <> bv AND CASE WHEN identity_match THEN error <= 1 AND ratio >= 0.55::DOUBLE ELSE error <= 0.35::DOUBLE AND ratio >= 0.75::DOUBLE AND iou >= 0.1::DOUBLE END),
+edges AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, x.b FROM reach r JOIN edges x ON r.b = x.a)
+SELECT a AS vehicle_index, least(a, min(b)) AS canonical FROM reach GROUP BY a""")
+def merged_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.canonical_vehicles(_duplicates(spark, sf_dir)).select("vehicle_index", "canonical")
+
+
+@query(f"""WITH {OBSERVATIONS} SELECT class_name, count(*) FILTER (WHERE {edge_sql()}) AS touching, count(*) AS n FROM obs GROUP BY class_name""")
+def polygon_edge_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flag = geometry.touches_polygon_edge(F.col("bbox"), ZONE)
+    return observations(spark, sf_dir).groupBy("class_name").agg(F.count_if(flag).alias("touching"), F.count("*").alias("n"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zone_counts(spark, sf_dir)
