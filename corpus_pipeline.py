@@ -10,14 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velograph.llm import op03_mixing, op05_simhash, op06_toxicity, op07_suffix, op08_decontaminate
+from velograph.llm import near_copies, op03_mixing, op06_toxicity, op07_suffix, op08_decontaminate
 from velograph.llm.tables import table
 from velograph.plans.materialize import materialize
 
 #: A document is rejected as toxic from this score on.
 TOXIC = 0.5
-#: Words of a shingle; with it fingerprints link as the query of the operator links them.
-SHINGLE_WORDS = 4
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +24,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id."""
-    return op05_simhash.drop_near_duplicates(docs, width=SHINGLE_WORDS)
+    """One document of each group of near-duplicates (Jaccard 0.8 on five words), the one with the smallest doc_id."""
+    return near_copies.drop_near_copies(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

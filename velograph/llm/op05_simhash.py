@@ -125,20 +125,25 @@ def simhash_components(docs: DataFrame, radius: int = 4, width: int = 4, bucket_
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, bucket_limit: int = 256) -> DataFrame:
-    """One row of ``docs`` for each component, all columns kept: that of the smallest doc_id, null ids last.
+def one_of_each(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each root of ``rooted`` (doc_id, h, root), that of the smallest doc_id, null ids last.
 
     A row is known by its doc_id and text, so ids that are null or repeated do not let rows of other components go; of
     rows equal in both one stays.
     """
-    own, root = _rooted(docs, radius, width, bucket_limit)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_velograph_d"), F.col("h").alias("_velograph_h")))
-    keep = own.join(root, "fp").groupBy("root").agg(first.alias("one")).select("one._velograph_d", "one._velograph_h")
+    keep = rooted.groupBy("root").agg(first.alias("one")).select("one._velograph_d", "one._velograph_h")
     marked = docs.withColumn("_velograph_own", F.xxhash64("text"))
     here = F.col("doc_id").cast("long").eqNullSafe(F.col("_velograph_d")) & F.col("_velograph_own").eqNullSafe(F.col("_velograph_h"))
     return marked.join(keep, here, "left_semi").dropDuplicates(["doc_id", "_velograph_own"]).drop("_velograph_own")
 
 
+def drop_near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, bucket_limit: int = 256) -> DataFrame:
+    """One row of ``docs`` for each component, as ``one_of_each`` picks it."""
+    own, root = _rooted(docs, radius, width, bucket_limit)
+    return one_of_each(docs, own.join(root, "fp"))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
