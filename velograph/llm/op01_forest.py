@@ -10,7 +10,8 @@ Arrays are kept in shards by their first bits, a few bits above the level at whi
 shard of more than ``shard_rows`` strings is dealt out further by a hash, and its queries go to each part.  Equal
 vectors are one string with up to ``k + 1`` ids, however many rows they stand for, and equal queries are one search.
 
-The number of candidates has to grow with the data, as a power under one; ``wanted_of`` holds it.
+How many candidates are needed depends on the data, so it is measured: the nearest of ``PROBES`` sampled queries are found
+by brute force over all rows, and ``wanted`` grows from ``wanted_of`` until the search would find ``TARGET`` of them.
 """
 
 from __future__ import annotations
@@ -34,10 +35,12 @@ SAMPLE = 2_000
 LEVELS = 20
 SHARD_ROWS = 16_384
 EVERY = 100
+#: Queries whose recall is measured, and the recall that they need: 0.9 and a margin for the sample's error.
+PROBES, TARGET, GROWTH = 128, 0.93, 1.2
 
 
 def wanted_of(rows: int) -> int:
-    """Strings over all trees that a query looks at, at least.
+    """Strings over all trees that a query looks at, before recall is measured.
 
     4,096, or 14 * rows ** 0.69 if that is more: the exponent is that of sign hashing for neighbours at 0.78 of the
     distance of the rest, as nearest vectors in 64 even dimensions are.
@@ -101,6 +104,61 @@ def _shared_bits(sorted_: np.ndarray, own: int, level: int) -> tuple[int, int]:
     return int(np.searchsorted(sorted_, first)), int(np.searchsorted(sorted_, first + (1 << shift)))
 
 
+def _base(rows: int, trees: int, wanted: int) -> int:
+    """Bits of a shard's prefix."""
+    return max(0, min(BITS - LEVELS, floor(log2(max(1, rows * trees / wanted))) - 3))
+
+
+def _probed(index: DataFrame, asking: DataFrame, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each sampled query: strings that share at least so many bits with it, and the bits that its ``k`` nearest
+    share with it in their best tree."""
+    probes = asking.select("c1", "c2", "dim", "v", "hashes").orderBy("c1", "c2").limit(PROBES).toPandas()
+    sent = index.sparkSession.sparkContext.broadcast(probes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        probes = sent.value
+        shared = np.zeros((len(probes), BITS + 1), np.int64)
+        nearest_ = [(np.empty(0), np.empty(0, np.int64))] * len(probes)
+        for batch in batches:
+            for dim, part in batch.groupby("dim"):
+                v = np.frombuffer(b"".join(part["v"]), np.float64).reshape(len(part), -1)
+                hashes = np.stack(part["hashes"].tolist())
+                for i in np.flatnonzero(probes["dim"].to_numpy() == dim).tolist():
+                    x = hashes ^ np.asarray(probes["hashes"].iloc[i])
+                    # without the bit after each set one, rounding to a double cannot reach the next power of two
+                    bits = BITS - np.frexp((x & ~(x >> 1)).astype(np.float64))[1]
+                    shared[i] += np.bincount(bits.ravel(), minlength=BITS + 1)
+                    score = np.square(v - np.frombuffer(probes["v"].iloc[i], np.float64)).sum(axis=1)
+                    other = (part["c1"].to_numpy() != probes["c1"].iloc[i]) | (part["c2"].to_numpy() != probes["c2"].iloc[i])
+                    score, best = np.concatenate([nearest_[i][0], score[other]]), np.concatenate([nearest_[i][1], bits.max(axis=1)[other]])
+                    first = np.argsort(score, kind="stable")[:k]
+                    nearest_[i] = score[first], best[first]
+        yield pd.DataFrame({"q": range(len(probes)), "shared": list(shared), "score": [s for s, _ in nearest_], "bits": [b for _, b in nearest_]})
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        score, bits = np.concatenate(group["score"].tolist()), np.concatenate(group["bits"].tolist())
+        return pd.DataFrame({"shared": [np.sum(group["shared"].tolist(), axis=0)], "bits": [bits[np.argsort(score, kind="stable")[:k]]]})
+
+    partial = index.select("c1", "c2", "dim", "v", "hashes").mapInPandas(run, "q int, shared array<long>, score array<double>, bits array<long>")
+    found = partial.groupBy("q").applyInPandas(merge, "shared array<long>, bits array<long>").toPandas()
+    return [(np.cumsum(np.asarray(s)[::-1])[::-1], np.asarray(b)) for s, b in zip(found["shared"], found["bits"], strict=True)]
+
+
+def _enough(probed: list[tuple[np.ndarray, np.ndarray]], rows: int, trees: int) -> int:
+    """The least ``wanted`` from ``wanted_of`` on with which the probes' recall is ``TARGET``."""
+    wanted = wanted_of(rows)
+    while wanted < rows * trees:
+        base = _base(rows, trees, wanted)
+        hits = []
+        for shared, bits in probed:
+            level = max((i for i in range(base, base + LEVELS + 1) if shared[i] >= wanted), default=base)
+            hits += (bits >= level).tolist()
+        if not hits or np.mean(hits) >= TARGET:
+            return wanted
+        wanted = min(rows * trees, floor(wanted * GROWTH))
+    return wanted
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, *, trees: int = TREES, wanted: int | None = None, sample: int = SAMPLE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest found of each query row of ``vectors`` (vec_id, embedding).
 
@@ -112,11 +170,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, *, trees: int = T
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"), is_query.alias("asks")).where(F.col("vec_id").isNotNull() & valid(F.col("vector")))
     distinct = materialize(_distinct(rows, k + 1), "vectors")
     count = distinct.count()
-    wanted = wanted_of(count) if wanted is None else wanted
-    base = max(0, min(BITS - LEVELS, floor(log2(max(1, count * trees / wanted))) - 3))
     index = materialize(_hashed(distinct, _medians(distinct, sample, trees), trees), "strings")
     asked = rows.where("asks").select("vec_id", F.xxhash64("vector").alias("c1"), F.xxhash64(F.lit(1), "vector").alias("c2")).distinct()
     asking = materialize(index.join(asked.select("c1", "c2").distinct(), ["c1", "c2"], "left_semi"), "asking")
+    if wanted is None:
+        wanted = wanted_of(count)
+        if wanted < count * trees:
+            wanted = _enough(_probed(index, asking, k), count, trees)
+    base = _base(count, trees, wanted)
 
     def placed(some: DataFrame, *columns: str) -> DataFrame:
         every = some.select("dim", *columns, F.posexplode("hashes").alias("tree", "hash"))
