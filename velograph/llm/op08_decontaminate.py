@@ -81,9 +81,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, broadcast_tokens: int
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in no contaminated pair, all columns kept."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("_velograph_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("_velograph_bad")), "left_anti")
+    """The rows of ``docs`` whose text meets no item, all columns kept.
+
+    A row is known by a hash of its text, which alone decides, so null or repeated ids take no other row along.
+    """
+    bad = contaminated(docs.select(F.xxhash64("text").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_velograph_bad")).distinct()
+    return docs.join(bad, F.xxhash64(docs["text"]) == F.col("_velograph_bad"), "left_anti")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
