@@ -14,8 +14,8 @@ from velograph.llm import near_copies, op03_mixing, op06_toxicity, op07_suffix,
 from velograph.llm.tables import table
 from velograph.plans.materialize import materialize
 
-#: A document is rejected as toxic from this score on.
-TOXIC = 0.5
+#: A document is rejected as toxic from this score on, as the operator predicts.
+TOXIC = op06_toxicity.THRESHOLD
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
