@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velograph.plans.materialize import materialize
+from velograph.operators.joins import join_by_share
+from velograph.plans.materialize import materialize, release
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """(node, least) where least is the smallest of a node and its neighbours in ``edges`` (u, v)."""
-    return edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("least"))
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """``edges`` (u, v) with ``least``, the smallest of u and its neighbours; nodes with a large share are broadcast."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("u", "m").alias("least"), "degree")
+    return join_by_share(edges, least, ["u"], "degree", total)
 
 
 def _sums(edges: DataFrame) -> tuple:
@@ -24,14 +26,15 @@ def _stars(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
-def connected_components(edges: DataFrame, a: str | Column = "a", b: str | Column = "b", *, max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame, a: str | Column = "a", b: str | Column = "b") -> DataFrame:
     """(node, component) for every node with an edge; component is the smallest node reachable.
 
     Alternates large-star and small-star rounds until the edges are stars around the smallest node.  The minimum of a
-    node's neighbours is a partial aggregate and is joined back, so a node with very many neighbours is dealt out by
-    adaptive skew-join handling instead of meeting in one task; each round's edges are written to the shared folder.
-    Self-loops, repeated edges and edges with a null end are dropped; nodes with no other edge do not appear.  Nodes
-    may be of any ordered type.
+    node's neighbours is a partial aggregate and is joined back; nodes with a large share of the edges are broadcast to
+    them, so none of these meets its neighbours in one task.  Each round's edges are written to the shared folder and
+    those before them deleted.  A round that changes an edge lowers an end of it, so rounds end by themselves; they
+    number about the logarithm of the nodes.  Self-loops, repeated edges and edges with a null end are dropped; nodes
+    with no other edge do not appear.  Nodes may be of any ordered type.
     """
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
     ends = edges.select(a.alias("x"), b.alias("y")).where("x <> y")
@@ -39,14 +42,14 @@ def connected_components(edges: DataFrame, a: str | Column = "a", b: str | Colum
     before = _sums(now)
     if before[0] == 0:
         return _stars(now)
-    for _ in range(max_rounds):
+    while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), F.col("u") == F.col("node")).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
+        large = _with_least(both, 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
         large = materialize(large.where("u <> v").distinct(), "edges")
-        small = large.join(_least(large), F.col("u") == F.col("node"))
+        small = _with_least(large, before[0])
         pulled = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("least").alias("v")), F.struct("u", F.col("least").alias("v")))).alias("e")).select("e.*")
-        now = materialize(pulled.where("u <> v").distinct(), "edges")
+        last, now = now, materialize(pulled.where("u <> v").distinct(), "edges")
+        release(last, large)
         if (after := _sums(now)) == before:
             return _stars(now)
         before = after
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

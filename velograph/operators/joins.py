@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Keys with more than one in so many of all rows are broadcast; there are fewer than this of them.
+HEAVY = 5_000
+
 
 def range_pairs(left: DataFrame, right: DataFrame, from_: Column, to: Column, at: Column, width: float, keys: list[str]) -> DataFrame:
     """Rows of both sides with equal keys and ``from_ < at <= to``.
@@ -31,6 +34,17 @@ def asof(left: DataFrame, right: DataFrame, time: str, keys: list[str], columns:
     return both.withColumn("_latest", F.last("_found", ignorenulls=True).over(w)).where("_side = 1").select("_row.*", *[F.col(f"_latest.{c}").alias(c) for c in columns])
 
 
+def join_by_share(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined on ``on`` with ``keyed``, which has one row for each key and in ``count`` its number in ``rows``.
+
+    Fewer than ``HEAVY`` keys can have more than one in ``HEAVY`` of all ``total`` rows each, so those keys are
+    broadcast and their rows stay where they are; the others meet in a shuffle join in which no key is large.
+    """
+    heavy = F.broadcast(keyed.where(F.col(count) > total / HEAVY).drop(count))
+    light = keyed.where(F.col(count) <= total / HEAVY).drop(count)
+    return rows.join(heavy, on, how).unionByName(rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light, on, how))
+
+
 def between_neighbours(rows: DataFrame, position: str, keys: list[str], order: list[str], most: int, carried: list[str]) -> DataFrame:
     """A row for each missing position between neighbours that miss 1 to ``most``: keys, position, ratio, prev, next."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -36,4 +36,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._velograph_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of materialised ``tables``, once no result that is still to be read comes from them."""
+    for table in tables:
+        spark, path = table.sparkSession, table._velograph_path
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
