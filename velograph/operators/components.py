@@ -9,10 +9,11 @@ from velograph.operators.joins import join_by_share
 from velograph.plans.materialize import materialize, release
 
 
-def _with_least(edges: DataFrame, total: int) -> DataFrame:
-    """``edges`` (u, v) with ``least``, the smallest of u and its neighbours; nodes with a large share are broadcast."""
+def _with_least(edges: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """``edges`` (u, v) with ``least``, the smallest of u and its neighbours, and the table that this comes from."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("u", "m").alias("least"), "degree")
-    return join_by_share(edges, least, ["u"], "degree", total)
+    least = materialize(least, "least")
+    return join_by_share(edges, least, ["u"], "degree", total), least
 
 
 def _sums(edges: DataFrame) -> tuple:
@@ -44,12 +45,13 @@ def connected_components(edges: DataFrame, a: str | Column = "a", b: str | Colum
         return _stars(now)
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
-        large = materialize(large.where("u <> v").distinct(), "edges")
-        small = _with_least(large, before[0])
+        star, least = _with_least(both, 2 * before[0])
+        large = materialize(star.where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v").distinct(), "edges")
+        release(least)
+        small, least = _with_least(large, before[0])
         pulled = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("least").alias("v")), F.struct("u", F.col("least").alias("v")))).alias("e")).select("e.*")
         last, now = now, materialize(pulled.where("u <> v").distinct(), "edges")
-        release(last, large)
+        release(last, large, least)
         if (after := _sums(now)) == before:
             return _stars(now)
         before = after

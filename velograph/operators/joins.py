@@ -37,12 +37,16 @@ def asof(left: DataFrame, right: DataFrame, time: str, keys: list[str], columns:
 def join_by_share(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
     """``rows`` joined on ``on`` with ``keyed``, which has one row for each key and in ``count`` its number in ``rows``.
 
-    Fewer than ``HEAVY`` keys can have more than one in ``HEAVY`` of all ``total`` rows each, so those keys are
-    broadcast and their rows stay where they are; the others meet in a shuffle join in which no key is large.
+    Fewer than ``HEAVY`` keys can have more than one in ``HEAVY`` of all ``total`` rows each, so those keys, found by a
+    job over ``keyed``, are broadcast and their rows stay where they are; the others meet in a shuffle join in which no
+    key is large.  ``keyed`` is read up to three times and had better be a table.
     """
-    heavy = F.broadcast(keyed.where(F.col(count) > total / HEAVY).drop(count))
-    light = keyed.where(F.col(count) <= total / HEAVY).drop(count)
-    return rows.join(heavy, on, how).unionByName(rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light, on, how))
+    name = lambda side: F.xxhash64(*[side[k] for k in on])
+    heavy = [r[0] for r in keyed.where(F.col(count) > total / HEAVY).select(name(keyed)).distinct().collect()]
+    if not heavy:
+        return rows.join(keyed.drop(count), on, how)
+    inside = rows.where(name(rows).isin(heavy)).join(F.broadcast(keyed.where(name(keyed).isin(heavy)).drop(count)), on, how)
+    return inside.unionByName(rows.where(~name(rows).isin(heavy)).join(keyed.where(~name(keyed).isin(heavy)).drop(count), on, how))
 
 
 def between_neighbours(rows: DataFrame, position: str, keys: list[str], order: list[str], most: int, carried: list[str]) -> DataFrame:
