@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from velograph.llm.simhash_kernel import fingerprints
 from velograph.llm.tables import table
 from velograph.operators.components import connected_components
+from velograph.operators.joins import join_by_share
 from velograph.plans.materialize import materialize
 
 BITS = 64
@@ -103,47 +104,53 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, bucket_limit: int = 256)
 
 
 def _rooted(docs: DataFrame, radius: int, width: int, bucket_limit: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, h, fp) of every row, and (fp, root, least) of every fingerprint: the smallest fingerprint it reaches and
-    the smallest doc_id that has it."""
+    """(doc_id, h, fp) of every row, and (fp, root, rows, least, one) of every fingerprint: the smallest fingerprint it
+    reaches, the rows that have it, their smallest doc_id and the first of them by (null id, id, text)."""
     own = materialize(with_fingerprint(docs, width), "simhash")
-    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
+    distinct = materialize(own.groupBy("fp").agg(F.count("*").alias("rows"), F.min("doc_id").alias("least"), one.alias("one")), "prints")
     parts = connected_components(fingerprint_links(distinct.select("fp"), radius, bucket_limit))
-    return own, distinct.join(parts, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("root"), "least")
+    return own, distinct.join(parts, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("root"), "rows", "least", "one")
 
 
 def simhash_components(docs: DataFrame, radius: int = 4, width: int = 4, bucket_limit: int = 256) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs`` (doc_id, text; other columns are ignored).
 
     component_id is the smallest doc_id reachable over links of at most ``radius`` differing bits.  Null and empty
-    texts, and texts of white space, have fingerprint zero and are linked like any other.  Repeated rows each give a
-    row.  A null doc_id is kept and never becomes a component_id unless every member of the component is null.
-    An empty table gives an empty result.
+    texts, and texts of white space, have fingerprint zero and are linked like any other.  Texts count whole, however
+    long.  Repeated rows each give a row.  A null doc_id is kept and never becomes a component_id unless every member
+    of the component is null.  An empty table gives an empty result.
     """
     own, root = _rooted(docs, radius, width, bucket_limit)
-    smallest = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = root.join(smallest, "root").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    root = materialize(root.select("fp", "root", "rows", "least"), "roots")
+    smallest = materialize(root.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "smallest")
+    named = materialize(join_by_share(root, smallest, ["root"], "members", root.count()).select("fp", "component_id", "rows"), "named")
+    return join_by_share(own, named, ["fp"], "rows", own.count()).select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, rooted: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each root of ``rooted`` (doc_id, h, root), that of the smallest doc_id, null ids last.
+def one_of_each(docs: DataFrame, rooted: DataFrame, repeated: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each root of ``rooted`` (root, one), its first ``one``: (none, doc_id, h), null ids last.
 
     A row is known by its doc_id and text, so ids that are null or repeated do not let rows of other components go; of
-    rows equal in both one stays.
+    rows equal in both, which ``repeated`` (doc_id, h) lists, one stays.
     """
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_velograph_d"), F.col("h").alias("_velograph_h")))
-    keep = rooted.groupBy("root").agg(first.alias("one")).select("one._velograph_d", "one._velograph_h")
+    keep = rooted.groupBy("root").agg(F.min("one").alias("one")).select(F.col("one.doc_id").alias("_velograph_d"), F.col("one.h").alias("_velograph_h"))
+    same = F.col("doc_id").eqNullSafe(F.col("_velograph_d")) & F.col("h").eqNullSafe(F.col("_velograph_h"))
+    keep = materialize(keep.join(repeated.select("doc_id", "h", F.lit(True).alias("twice")), same, "left").select("_velograph_d", "_velograph_h", F.coalesce("twice", F.lit(False)).alias("twice")), "kept")
     marked = docs.withColumn("_velograph_own", F.xxhash64("text"))
     here = F.col("doc_id").cast("long").eqNullSafe(F.col("_velograph_d")) & F.col("_velograph_own").eqNullSafe(F.col("_velograph_h"))
-    return marked.join(keep, here, "left_semi").dropDuplicates(["doc_id", "_velograph_own"]).drop("_velograph_own")
+    once = marked.join(keep.where("not twice"), here, "left_semi")
+    many = marked.join(keep.where("twice"), here, "left_semi").dropDuplicates(["doc_id", "_velograph_own"])
+    return once.union(many).drop("_velograph_own")
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, bucket_limit: int = 256) -> DataFrame:
     """One row of ``docs`` for each component, as ``one_of_each`` picks it."""
     own, root = _rooted(docs, radius, width, bucket_limit)
-    return one_of_each(docs, own.join(root, "fp"))
+    return one_of_each(docs, root, own.groupBy("doc_id", "h").agg(F.count("*").alias("rows")).where("rows > 1"))
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; nulls, ties and repeats as ``simhash_components`` says."""
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

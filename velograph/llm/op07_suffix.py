@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velograph.llm.repeats import Unit, covered, repeated_spans, with_spans
+from velograph.llm.repeats import Unit, covered, keyed, repeated_spans, with_spans
 from velograph.llm.suffix_kernel import permuted_lcp, suffix_array
 from velograph.llm.tables import table
 
@@ -52,53 +52,64 @@ def repeated_starts(contents: list[bytes], window: int = WINDOW) -> list[np.ndar
     return [shared[b : b + max(0, n - window + 1)] for b, n in zip(begins.tolist(), lengths.tolist(), strict=True)]
 
 
-def suffix_spans(docs: DataFrame, window: int = WINDOW, **limits) -> DataFrame:
-    """(d, h, text, spans) for every row of ``docs`` (doc_id, text): the repeated byte spans of each text."""
-    src, spans = repeated_spans(docs, byte_unit(window), lambda contents, _: repeated_starts(contents, window), **limits)
-    return with_spans(src, spans)
+def suffix_spans(src: DataFrame, window: int = WINDOW, **limits) -> DataFrame:
+    """The keyed documents ``src`` with begins and ends of the repeated byte spans of each text."""
+    return with_spans(src, repeated_spans(src, byte_unit(window), lambda contents, _: repeated_starts(contents, window), **limits))
 
 
 def digest_removed(docs: DataFrame, window: int = WINDOW, **limits) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
-    Null and empty texts have no bytes and the digest of nothing.  Rows repeated in the table repeat each other, so
-    long ones lose everything; ids that are null or repeated keep their rows.  An empty table gives an empty result.
+    Null and empty texts have no bytes and the digest of nothing.  Texts count whole; long ones are cut into
+    overlapping blocks on the way, so that no window is lost.  Rows repeated in the table repeat each other, so long
+    ones lose everything; ids that are null or repeated keep their rows.  An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for text, spans in zip(batch["text"], batch["spans"], strict=True):
+            for text, begins, ends in zip(batch["text"], batch["begins"], batch["ends"], strict=True):
                 own = _encode(text)
-                gone = covered(spans, len(own))
-                kept = np.frombuffer(own, np.uint8)[~gone].tobytes() if spans is not None else own
+                gone = covered(begins, ends, len(own))
+                kept = np.frombuffer(own, np.uint8)[~gone].tobytes() if begins is not None else own
                 out.append((len(own), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(np.int8)]) > 0).sum()), hashlib.sha256(kept).hexdigest()))
             rest = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
             yield pd.concat([batch["d"].astype("Int64").rename("doc_id").reset_index(drop=True), rest], axis=1)
 
-    return suffix_spans(docs, window, **limits).select("d", "text", "spans").mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = suffix_spans(keyed(docs), window, **limits)
+    return found.select("d", "text", "begins", "ends").mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with the repeated bytes of each text removed; n_chars, where there is one, is counted anew.
 
-    A character of which only some bytes are removed goes whole.  Null texts stay null; a text may become empty.
+    A character of which only some bytes are removed goes whole.  Null texts stay null; a text may become empty.  All
+    rows and columns are kept, whatever their names; rows with null or repeated ids are known by their text too.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            kept = []
-            for text, spans in zip(batch["text"], batch["spans"], strict=True):
-                own = _encode(text)
-                kept.append(np.frombuffer(own, np.uint8)[~covered(spans, len(own))].tobytes().decode("utf-8", "ignore"))
-            yield pd.DataFrame({"_velograph_d": batch["d"].astype("Int64"), "_velograph_h": batch["h"], "_velograph_text": kept})
+    @F.pandas_udf("string")
+    def kept(texts: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
+        out = []
+        for text, b, e in zip(texts, begins, ends, strict=True):
+            own = _encode(text)
+            out.append(None if b is None else np.frombuffer(own, np.uint8)[~covered(b, e, len(own))].tobytes().decode("utf-8", "ignore"))
+        return pd.Series(out, dtype=object)
+
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+    found = suffix_spans(keyed(docs, rest), window)
+    changed = F.col("begins").isNotNull()
+    found = found.withColumn("kept", kept(F.when(changed, F.col("text")), "begins", "ends"))
+    text = F.when(changed, F.col("kept")).otherwise(F.col("text"))
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return text.alias(name)
+        own = F.col("row").getField(name)
+        return (F.when(changed, F.length("kept").cast(docs.schema[name].dataType)).otherwise(own) if name == "n_chars" else own).alias(name)
 
-    changed = suffix_spans(docs, window).where("spans is not null").mapInPandas(run, "_velograph_d long, _velograph_h long, _velograph_text string").dropDuplicates(["_velograph_d", "_velograph_h"])
-    rows = docs.join(changed, docs["doc_id"].cast("long").eqNullSafe(F.col("_velograph_d")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_velograph_h")), "left")
-    text = F.when(F.col("_velograph_h").isNull(), docs["text"]).otherwise(F.col("_velograph_text"))
-    size = F.when(F.col("_velograph_h").isNull(), docs["n_chars"]).otherwise(F.length("_velograph_text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else None
-    return rows.select(*[text.alias(c) if c == "text" else size.alias(c) if c == "n_chars" else docs[c] for c in docs.columns])
+    return found.select(*[column(c) for c in docs.columns])
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated 200-byte strings; see ``digest_removed`` for nulls and repeats."""
     return digest_removed(table(spark, sf_dir, "documents"))

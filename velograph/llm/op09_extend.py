@@ -18,7 +18,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from velograph.llm.repeats import Unit, covered, repeated_spans, with_spans
+from velograph.llm.repeats import Unit, covered, keyed, repeated_spans, with_spans
 from velograph.llm.tables import table
 from velograph.llm.winnow_kernel import gram_hashes
 
@@ -85,32 +85,34 @@ def extended(contents: list[bytes], anchors: np.ndarray, window: int = WINDOW, k
     return masks
 
 
-def passage_spans(docs: DataFrame, window: int = WINDOW, k: int = GRAM, **limits) -> DataFrame:
-    """(d, h, text, spans) for every row of ``docs`` (doc_id, text): spans of words that repeat elsewhere."""
-    src, spans = repeated_spans(docs, word_unit(window, k), lambda contents, anchors: extended(contents, anchors, window, k), **limits)
-    return with_spans(src, spans)
+def passage_spans(src: DataFrame, window: int = WINDOW, k: int = GRAM, **limits) -> DataFrame:
+    """The keyed documents ``src`` with begins and ends of the spans of words that repeat elsewhere."""
+    return with_spans(src, repeated_spans(src, word_unit(window, k), lambda contents, anchors: extended(contents, anchors, window, k), **limits))
 
 
 def digest_removed_words(docs: DataFrame, window: int = WINDOW, k: int = GRAM, **limits) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, n_removed, kept_sha256 (of the kept words, joined by a space).
 
-    Null, empty and blank texts have no words and the digest of nothing.  Repeated rows repeat each other; ids that
-    are null or repeated keep their rows.  An empty table gives an empty result.
+    Null, empty and blank texts have no words and the digest of nothing.  Texts count whole; long ones are cut into
+    overlapping blocks on the way, so that no window is lost.  Repeated rows repeat each other; ids that are null or
+    repeated keep their rows.  An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for text, spans in zip(batch["text"], batch["spans"], strict=True):
+            for text, begins, ends in zip(batch["text"], batch["begins"], batch["ends"], strict=True):
                 words = words_of(text)
-                gone = covered(spans, len(words))
-                kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if spans is not None else b" ".join(words)
+                gone = covered(begins, ends, len(words))
+                kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if begins is not None else b" ".join(words)
                 out.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest()))
             rest = pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256"])
             yield pd.concat([batch["d"].astype("Int64").rename("doc_id").reset_index(drop=True), rest], axis=1)
 
-    return passage_spans(docs, window, k, **limits).select("d", "text", "spans").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    found = passage_spans(keyed(docs), window, k, **limits)
+    return found.select("d", "text", "begins", "ends").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated 35-word passages; see ``digest_removed_words`` for nulls and repeats."""
     return digest_removed_words(table(spark, sf_dir, "documents"))

@@ -5,8 +5,12 @@
 2. Runs of equal content are grouped by anchor and a 64-bit hash of the content, map-side first: exact copies of any
    number become one row.  Two contents are confused only if 64 bits agree by chance among the contents of one anchor.
 3. Anchors shared by *different* contents are left.  One occurrence of each content is read from the texts again and
-   handed, in shards of whole anchors, to the operator's own search; an anchor with more contents than a task should
-   hold is resolved by hashing each of its windows instead, a fixed number of rows for each content.
+   handed, in shards of whole anchors, to the operator's own search.
+4. An anchor with more contents than a shard should hold is made longer (``_longer``): its windows are parted by how
+   far before the anchor they start, into a nearer and a farther half, and the symbols that all windows of a half
+   contain, known to be equal in equal windows, are the key in place of the anchor.  Equal contents of a key become
+   one again.  Keys that are still too common are halved again; the last halves are single windows, where a key is
+   the whole window and has one content.  So every key is at last small enough for a shard, and none is cut.
 
 A document is known by its doc_id and a hash of its text, so repeated ids, null ids and repeated rows are all sound.
 """
@@ -14,16 +18,18 @@ A document is known by its doc_id and a hash of its text, so repeated ids, null
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velograph.llm.winnow_kernel import BLOCK, runs_of
-from velograph.plans.materialize import materialize
+from velograph.llm.winnow_kernel import BLOCK, gram_hashes, runs_of
+from velograph.operators.joins import join_by_share
+from velograph.plans.materialize import materialize, release
 
 
 class Unit(NamedTuple):
@@ -41,16 +47,12 @@ Search = Callable[[list[bytes], np.ndarray], list[np.ndarray]]
 
 RUNS = "d long, h long, m long, c long, p int, n int"
 SPANS = "d long, h long, s int, e int"
-#: Contents of one anchor that one task compares; further ones go the way of single windows.
-ANCHOR_LIMIT = 10_000
-#: Keys with more than one in so many of all rows are broadcast; there are fewer than this of them.
-HEAVY = 5_000
+#: Contents of a key that go to one shard; a key of more is made longer first.
+KEY_CONTENTS = 2_000
 #: Contents that one shard aims at.
 SHARD_CONTENTS = 6_000
-
-
-def _digest(content: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(content)
+PIECES = "d long, h long, m long, copies long, p int, content binary"
+HALVES = PIECES + ", key long, c long, low int, high int, place int"
 
 
 def _blocks(keys: list[tuple], texts: list[str | None], unit: Unit) -> Iterator[tuple[list[tuple[int, int]], bytes, np.ndarray]]:
@@ -79,9 +81,9 @@ def _blocks(keys: list[tuple], texts: list[str | None], unit: Unit) -> Iterator[
         yield out()
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(d, h, text) of (doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), "text")
+def keyed(docs: DataFrame, *carried: Column) -> DataFrame:
+    """(d, h, text) of (doc_id, text), and what is carried along."""
+    return docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), "text", *carried)
 
 
 def _runs(src: DataFrame, unit: Unit) -> DataFrame:
@@ -109,32 +111,53 @@ def _ranges(mask: np.ndarray, at: int, window: int) -> Iterator[tuple[int, int]]
         yield at + b, at + e - 1 + window
 
 
-def _held(rows: DataFrame, keys: DataFrame, by: list[str], count: str, total: int) -> DataFrame:
-    """``rows`` whose key is in ``keys``, which has the number of rows of each key.
-
-    Fewer than ``HEAVY`` keys can have more than one in ``HEAVY`` of all rows each, so those keys are broadcast and
-    their rows stay where they are; the others meet in a shuffle join in which no key is large.
-    """
-    heavy = F.broadcast(keys.where(F.col(count) > total / HEAVY).select(*by))
-    light = keys.where(F.col(count) <= total / HEAVY).select(*by)
-    return rows.join(heavy, by, "left_semi").union(rows.join(heavy, by, "left_anti").join(light, by, "left_semi"))
+def _longer(unit: Unit) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Turns rows of HALVES, whose windows start ``low`` to ``high`` symbols before the anchor at ``place`` in the
+    content, into those of the two halves of that range.  Rows of PIECES are rows of the whole range."""
+    window, k, size = unit.window, unit.k, unit.itemsize
 
+    def place_of(content: bytes, anchor: int) -> int:
+        """The last place of the anchor that is in every window of the content, as the anchor was chosen."""
+        grams = gram_hashes(unit.hashes(content), k)
+        hits = np.flatnonzero(grams.view(np.int64) == anchor)
+        return int(hits[(hits >= len(content) // size - window) & (hits <= window - k)][-1])
 
-def repeated_spans(docs: DataFrame, unit: Unit, search: Search, *, anchor_limit: int = ANCHOR_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """(src, spans): the keyed documents, and (d, h, s, e) spans of symbols that windows starting elsewhere too cover."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            first = "low" not in batch.columns
+            for row in batch.assign(d=batch["d"].astype("Int64")).to_dict("records"):
+                content = row["content"]
+                low, high, place = (0, window - k, place_of(content, row["m"])) if first else (row["low"], row["high"], row["place"])
+                middle = (low + high + 1) // 2
+                for a, b in ((low, middle - 1), (middle, high)):
+                    begin, end = max(0, place - b), min(len(content) // size - window, place - a)
+                    if a > b or begin > end:
+                        continue
+                    shared = content[(place - a) * size : (place + window - b) * size]
+                    part = content[begin * size : (end + window) * size]
+                    key, c = (xxhash.xxh3_64_intdigest(x, a) for x in (shared, part))
+                    out.append((row["d"], row["h"], row["m"], row["copies"], row["p"] + begin, part, key, c, a, b, place - begin))
+            found = pd.DataFrame(out, columns=[x.split()[0] for x in HALVES.split(", ")])
+            yield found.assign(d=found["d"].astype("Int64"), **{x: found[x].astype("uint64").astype("int64") for x in ("key", "c")})
+
+    return run
+
+
+def repeated_spans(src: DataFrame, unit: Unit, search: Search, *, key_contents: int = KEY_CONTENTS) -> DataFrame:
+    """(d, h, s, e): spans of symbols of the keyed documents ``src`` that windows starting elsewhere too cover."""
     window, size = unit.window, unit.itemsize
-    src = keyed(docs)
+    src = src.select("d", "h", "text")
     runs = materialize(_runs(src, unit), "runs")
     shared = materialize(runs.groupBy("m").agg(F.count("*").alias("_n")).where("_n > 1"), "anchors")
-    live = materialize(_held(runs, shared, ["m"], "_n", runs.count()), "runs-shared")
+    live = materialize(join_by_share(runs, shared, ["m"], "_n", runs.count(), "left_semi"), "runs-shared")
+    release(runs, shared)
     kinds = materialize(live.groupBy("m", "c").agg(F.count("*").alias("copies"), F.min(F.struct("d", "h", "p", "n")).alias("one")), "contents")
-    copied = _held(live, kinds.where("copies > 1"), ["m", "c"], "copies", live.count())
-    whole = copied.select("d", "h", F.col("p").alias("s"), (F.col("p") + F.col("n") + (window - 1)).alias("e"))
+    copied = join_by_share(live, kinds.where("copies > 1").select("m", "c", "copies"), ["m", "c"], "copies", live.count(), "left_semi")
+    spans = [copied.select("d", "h", F.col("p").alias("s"), (F.col("p") + F.col("n") + (window - 1)).alias("e"))]
 
-    variants = kinds.groupBy("m").agg(F.count("*").alias("v")).where("v > 1")
-    pieces = materialize(kinds.join(variants, "m").select("m", "copies", "v", "one.*"), "pieces")
-    count, most = pieces.agg(F.count("*"), F.max("v")).first()
-    shards = max(1, -(-count // SHARD_CONTENTS))
+    variants = materialize(kinds.groupBy("m").agg(F.count("*").alias("v")).where("v > 1"), "variants")
+    pieces = join_by_share(kinds, variants.withColumn("_n", F.col("v")), ["m"], "_n", kinds.count()).select("m", "copies", "v", "one.*")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -144,14 +167,9 @@ def repeated_spans(docs: DataFrame, unit: Unit, search: Search, *, anchor_limit:
                 contents += [symbols[b : b + n] for b, n in zip((first * size).tolist(), ((count + (window - 1)) * size).tolist(), strict=True)]
                 rows.append(np.full(len(first), row))
             at = np.concatenate(rows) if rows else np.empty(0, np.int64)
-            flat = {c: np.concatenate(batch[c].tolist()) if len(batch) else [] for c in ("m", "copies", "p")}
+            flat = {c: np.concatenate(batch[c].tolist()) if len(batch) else [] for c in ("m", "copies", "v", "p")}
             yield pd.DataFrame({"d": batch["d"].astype("Int64").iloc[at].array, "h": batch["h"].to_numpy()[at], **flat, "content": contents})
 
-    def texts_of(some: DataFrame) -> DataFrame:
-        wanted = some.groupBy("d", "h").agg(F.collect_list(F.struct("m", "copies", "p", "n")).alias("want"))
-        found = src.withColumnsRenamed({"d": "_d", "h": "_h"}).join(wanted, F.col("_d").eqNullSafe(F.col("d")) & F.col("_h").eqNullSafe(F.col("h")))
-        return found.select("d", "h", "text", "want.m", "want.copies", "want.p", "want.n").mapInPandas(read, "d long, h long, m long, copies long, p int, content binary")
-
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         # repeated rows of a document give the same pieces again, and a piece is wanted once
         group = group.drop_duplicates(["m", "p", "d", "h"]).sort_values(["m", "p", "h"], kind="stable")
@@ -159,35 +177,45 @@ def repeated_spans(docs: DataFrame, unit: Unit, search: Search, *, anchor_limit:
         out = [(d, h, s, e) for d, h, p, copies, mask in zip(group["d"].astype("Int64"), group["h"], group["p"], group["copies"], masks, strict=True) if copies == 1 for s, e in _ranges(mask, p, window)]
         return pd.DataFrame(out, columns=["d", "h", "s", "e"]).astype({"d": "Int64"})
 
-    few = texts_of(pieces.where(F.col("v") <= anchor_limit)).withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards)))
-    near = whole.union(few.groupBy("shard").applyInPandas(compare, SPANS))
-    if (most or 0) <= anchor_limit:
-        return src, near
-
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for d, h, m, copies, p, content in zip(batch["d"].astype("Int64"), batch["h"], batch["m"], batch["copies"], batch["p"], batch["content"], strict=True):
-                count = len(content) // size - window + 1
-                digests = np.frombuffer(b"".join([_digest(content[i * size : (i + window) * size]) for i in range(count)]), "<i8").reshape(-1, 2)
-                yield pd.DataFrame({"d": pd.array([d] * count, "Int64"), "h": h, "m": m, "copies": copies, "c1": digests[:, 0], "c2": digests[:, 1], "s": np.arange(p, p + count, dtype="int32")})
-
-    many = texts_of(pieces.where(F.col("v") > anchor_limit)).dropDuplicates(["d", "h", "m", "p"])
-    single = many.mapInPandas(windows, "d long, h long, m long, copies long, c1 long, c2 long, s int")
-    again = single.groupBy("c1", "c2").agg(F.count("*").alias("_n")).where("_n > 1").select("c1", "c2")
-    far = single.where("copies = 1").join(again, ["c1", "c2"], "left_semi").select("d", "h", "s", (F.col("s") + window).alias("e"))
-    return src, near.union(far)
+    wanted = pieces.groupBy("d", "h").agg(F.collect_list(F.struct("m", "copies", "v", "p", "n")).alias("want"))
+    found = src.withColumnsRenamed({"d": "_d", "h": "_h"}).join(wanted, F.col("_d").eqNullSafe(F.col("d")) & F.col("_h").eqNullSafe(F.col("h")))
+    texts = found.select("d", "h", "text", *[f"want.{c}" for c in ("m", "copies", "v", "p", "n")]).mapInPandas(read, "d long, h long, m long, copies long, v long, p int, content binary")
+    columns = [x.split()[0] for x in PIECES.split(", ")]
+    count, most = variants.agg(F.sum("v"), F.max("v")).first()
+    if (most or 0) > key_contents:
+        texts = materialize(texts, "pieces")
+    ready = [texts.where(F.col("v") <= key_contents).select(*columns, F.col("m").alias("key"))]
+    many = texts.where(F.col("v") > key_contents).select(*columns).dropDuplicates(["d", "h", "m", "p"])
+    while (most or 0) > key_contents:
+        halves = materialize(many.mapInPandas(_longer(unit), HALVES), "halves")
+        one = F.min(F.struct(*columns, "low", "high", "place")).alias("one")
+        again = materialize(halves.groupBy("key", "c").agg(F.count("*").alias("n"), one), "halves-contents")
+        twice = join_by_share(halves.where("copies = 1"), again.where("n > 1").select("key", "c", "n"), ["key", "c"], "n", halves.count(), "left_semi")
+        spans.append(twice.select("d", "h", F.col("p").alias("s"), (F.col("p") + F.length("content") / size).cast("int").alias("e")))
+        # what stands for several contents is covered above and only compared with the others from here on
+        kept = again.select("key", *[F.when(F.col("n") > 1, F.lit(2).cast("long")).otherwise(F.col("one.copies")).alias(x) if x == "copies" else F.col(f"one.{x}").alias(x) for x in (*columns, "low", "high", "place")])
+        v = materialize(kept.groupBy("key").agg(F.count("*").alias("v")).where("v > 1"), "halves-variants")
+        most = v.agg(F.max("v")).first()[0]
+        met = materialize(join_by_share(kept, v.withColumn("_n", F.col("v")), ["key"], "_n", again.count()), "halves-left")
+        ready.append(met.where(F.col("v") <= key_contents).select(*columns, "key"))
+        many = met.where(F.col("v") > key_contents).select(*columns, "low", "high", "place")
+    shards = max(1, -(-(count or 0) // SHARD_CONTENTS))
+    dealt = reduce(DataFrame.union, ready).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    spans.append(dealt.groupBy("shard").applyInPandas(compare, SPANS))
+    return reduce(DataFrame.union, spans)
 
 
 def with_spans(src: DataFrame, spans: DataFrame) -> DataFrame:
-    """(d, h, text, spans): every document with its spans, null where it has none."""
-    own = spans.distinct().groupBy("d", "h").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    return src.withColumnsRenamed({"d": "_d", "h": "_h"}).join(own, F.col("_d").eqNullSafe(F.col("d")) & F.col("_h").eqNullSafe(F.col("h")), "left").select(F.col("_d").alias("d"), F.col("_h").alias("h"), "text", "spans")
+    """``src`` with begins and ends of its spans, null where it has none; one shuffle of the documents."""
+    own = spans.distinct().groupBy(F.col("d").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("s", "e")).alias("_spans"))
+    met = src.join(own, F.col("d").eqNullSafe(F.col("_d")) & F.col("h").eqNullSafe(F.col("_h")), "left")
+    return met.select(*src.columns, F.col("_spans.s").alias("begins"), F.col("_spans.e").alias("ends"))
 
 
-def covered(spans, length: int) -> np.ndarray:
+def covered(begins, ends, length: int) -> np.ndarray:
     """A mask of the symbols that spans cover."""
     edges = np.zeros(length + 1, np.int64)
-    for x in spans if spans is not None else ():
-        edges[x["s"]] += 1
-        edges[x["e"]] -= 1
+    if begins is not None:
+        np.add.at(edges, np.asarray(begins), 1)
+        np.add.at(edges, np.asarray(ends), -1)
     return np.cumsum(edges[:-1]) > 0

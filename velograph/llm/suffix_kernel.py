@@ -1,15 +1,19 @@
 """Suffix arrays by induced sorting, and permuted longest common prefixes.
 
 The suffixes are classified as smaller or larger than their right neighbour.  The leftmost smaller ones (LMS) are
-sorted by their substrings, which get names; where names repeat, the string of names is sorted recursively, a name for
-each pair of names in turn.  The order of all suffixes is then induced from the LMS suffixes in two linear passes,
-which go bucket by bucket, so that numpy moves all entries of a bucket at once.
+sorted by their substrings, which get names; where names repeat, the suffix array of the string of names is made in the
+same way, recursively, and gives their order.  The order of all suffixes is then induced from the LMS suffixes in two
+linear passes.  Over few symbols the passes go bucket by bucket, so that numpy moves all entries of a bucket at once;
+over many, as strings of names have, buckets hold an entry or two and the passes go entry by entry.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Mean entries of a bucket from which numpy moves whole buckets.
+ENTRIES_A_BUCKET = 64
+
 
 def _smaller(text: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than its right neighbour; the last one is larger than the empty suffix."""
@@ -29,8 +33,43 @@ def _dealt(found: np.ndarray, symbols: np.ndarray, lists: list[list[np.ndarray]]
         lists[symbols[b]].append(found[b:e])
 
 
+def _induce_entries(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
+    """All suffixes in the order that the LMS suffixes in ``seeds`` induce, one entry after the other."""
+    n = len(text)
+    ends = np.cumsum(np.bincount(text, minlength=k))
+    placed = np.full(n, -1, np.int64)
+    if len(seeds):
+        symbols = text[seeds]
+        by = np.argsort(symbols, kind="stable")
+        ranked = symbols[by]
+        last = np.flatnonzero(np.r_[ranked[1:] != ranked[:-1], True])
+        to_go = np.repeat(last, np.diff(np.r_[-1, last])) - np.arange(len(by))
+        placed[ends[ranked] - 1 - to_go] = seeds[by]
+    array, symbol, up = placed.tolist(), text.tolist(), smaller.tolist()
+    head = np.r_[0, ends[:-1]].tolist()
+    c = symbol[n - 1]  # the empty suffix comes first of all and induces the last one
+    array[head[c]] = n - 1
+    head[c] += 1
+    for i in range(n):
+        j = array[i]
+        if j > 0 and not up[j - 1]:
+            c = symbol[j - 1]
+            array[head[c]] = j - 1
+            head[c] += 1
+    tail = ends.tolist()
+    for i in range(n - 1, -1, -1):
+        j = array[i]
+        if j > 0 and up[j - 1]:
+            c = symbol[j - 1]
+            tail[c] -= 1
+            array[tail[c]] = j - 1
+    return np.array(array, np.int64)
+
+
 def _induce(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
     """All suffixes in the order that the LMS suffixes in ``seeds`` induce."""
+    if len(text) < ENTRIES_A_BUCKET * k:
+        return _induce_entries(text, smaller, seeds, k)
     larger: list[list[np.ndarray]] = [[] for _ in range(k)]
     lower: list[list[np.ndarray]] = [[] for _ in range(k)]
     seeded: list[list[np.ndarray]] = [[] for _ in range(k)]
@@ -111,38 +150,10 @@ def suffix_array(text: np.ndarray, k: int) -> np.ndarray:
     order = rough[is_lms[rough]]
     names, count = _names(text, smaller, order, lms)
     if count < len(lms):
-        order = lms[_order_of_names(names)]
+        order = lms[suffix_array(names, count)]
     return _induce(text, smaller, order, k)
 
 
-def _order_of_names(names: np.ndarray) -> np.ndarray:
-    """The order of the suffixes of a string of names.
-
-    Names are named again in pairs, then in pairs of pairs, each time only where they still tie, until none does.
-    """
-    n = len(names)
-    order = np.argsort(names, kind="stable")
-    ranked = names[order]
-    heads = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-    sizes = np.diff(np.r_[heads, n])
-    rank = np.empty(n, np.int64)
-    rank[order] = np.repeat(heads, sizes)
-    tied, step = np.flatnonzero(np.repeat(sizes, sizes) > 1), 1
-    while len(tied):
-        places = order[tied]
-        beyond = places + step
-        second = np.where(beyond < n, rank[np.minimum(beyond, n - 1)] + 1, 0)
-        first = rank[places]
-        by = np.lexsort((second, first))
-        places, first, second = places[by], first[by], second[by]
-        order[tied] = places
-        heads = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
-        sizes = np.diff(np.r_[heads, len(places)])
-        rank[places] = np.repeat(tied[heads], sizes)
-        tied, step = tied[np.repeat(sizes, sizes) > 1], step * 2
-    return order
-
-
 def permuted_lcp(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
     """For each place in the text, the common prefix of its suffix with the suffix before it in the array.
 
