@@ -27,9 +27,12 @@ from velograph.llm.boosting import Trees, calibrated, fit_isotonic, fit_trees, m
 from velograph.llm.labelled import labelled_sample
 from velograph.llm.tables import crc_remainder, table
 from velograph.llm.token_sums import TokenSums, codes_of
+from velograph.plans.materialize import materialize, release
 
-#: Labelled documents of a class that are learned from, at most; lexicon entries kept of each tier, at most.
-PER_CLASS, ENTRIES = 4_000, 400
+#: Labelled documents of a class that are learned from, at most.  They bound the lexicon, which has no size of its own.
+PER_CLASS = 4_000
+#: Bounds of the log ratio from which a unit is in the first tier, or the second.
+BOUNDS, ERRORS = (2.0, 1.0), 2.6
 #: Lengths of word beginnings that can be entries.
 STEMS = (4, 5, 6)
 #: Words on either side in which a pronoun counts as near.
@@ -63,28 +66,29 @@ def units(token: str) -> set[str]:
     """What of a token can be an entry: its words, and their beginnings marked by a hyphen."""
     out = set()
     for word in _WORD.findall(token.lower()):
-        out.add(word[:64])
+        out.add(word)
         out |= {word[:n] + "-" for n in STEMS if len(word) >= n}
     return out
 
 
 def learn_lexicon(toxic: Counter, other: Counter, n_toxic: int, n_other: int) -> Lexicon:
-    """Tiers by the lower bound of the log ratio of document shares, 2.6 standard errors down."""
+    """Tiers by the lower bound of the log ratio of document shares, ``ERRORS`` standard errors down."""
     scored = []
     for unit, a in toxic.items():
         b = other.get(unit, 0)
         if a < 4:
             continue
         ratio = np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_other + 1))
-        bound = ratio - 2.6 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) - 1 / (n_toxic + 1) - 1 / (n_other + 1))
-        if bound > 0.3:
+        bound = ratio - ERRORS * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) - 1 / (n_toxic + 1) - 1 / (n_other + 1))
+        if bound > BOUNDS[1]:
             scored.append((-bound, -a, unit))
     names = [u for *_, u in sorted(scored)]
-    cut = sum(-s > 1.2 for s, *_ in scored)
-    return Lexicon(frozenset(names[: min(cut, ENTRIES)]), frozenset(names[min(cut, ENTRIES) : min(cut, ENTRIES) + ENTRIES]))
+    cut = sum(-s > BOUNDS[0] for s, *_ in scored)
+    return Lexicon(frozenset(names[:cut]), frozenset(names[cut:]))
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
 class Hashes:
@@ -100,7 +104,7 @@ class Hashes:
         if not own:
             return np.empty(0, np.uint64)
         codes, _ = codes_of(own)
-        return np.sort(runs_of_letters(codes)[2])
+        return np.sort(_hash(_prefixes(codes), *runs_of_letters(codes)))
 
     @staticmethod
     def has(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -109,22 +113,25 @@ class Hashes:
         return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
 
 
-def runs_of_letters(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(begin, length, hash) of each run of codes other than zero; the array begins and ends with a zero."""
+def runs_of_letters(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, length) of each run of codes other than zero; the array begins and ends with a zero."""
     filled = codes != 0
     begin = np.flatnonzero(filled[1:] & ~filled[:-1]) + 1
-    length = np.flatnonzero(filled[:-1] & ~filled[1:]) + 1 - begin
-    return begin, length, _hash(codes, begin, length)
+    return begin, np.flatnonzero(filled[:-1] & ~filled[1:]) + 1 - begin
 
 
-def _hash(codes: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """A polynomial hash of the codes from ``begin`` on; words longer than 64 letters count as their first 64."""
-    out = np.zeros(len(begin), np.uint64)
-    length = np.minimum(length, 64)
+def _prefixes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the codes before each place, each by a falling power, and the rising powers that undo this."""
     with np.errstate(over="ignore"):
-        for j in range(int(length.max(initial=0))):
-            live = np.flatnonzero(length > j) if j else slice(None)
-            out[live] = (out[live] + codes[begin[live] + j].astype(np.uint64)) * _BASE
+        falling, rising = (np.r_[np.uint64(1), np.cumprod(np.full(len(codes), x))] for x in (_INVERSE, _BASE))
+        return np.r_[np.uint64(0), np.cumsum(codes.astype(np.uint64) * falling[1:])], rising
+
+
+def _hash(prefixes: tuple[np.ndarray, np.ndarray], begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A polynomial hash of ``length`` codes from ``begin`` on, whole words of any length at once."""
+    sums, rising = prefixes
+    with np.errstate(over="ignore"):
+        out = (sums[begin + length] - sums[begin]) * rising[begin] + length.astype(np.uint64) * _BASE
         return out ^ (out >> np.uint64(29))
 
 
@@ -136,9 +143,9 @@ def kinds() -> dict[str, np.ndarray]:
     return {"letter": letter, "upper": upper, "mark": np.array([not c.isalnum() for c in every]), "hides": np.array([c.isdecimal() or c in "@$!*._-" for c in every])}
 
 
-def _tiers(codes: np.ndarray, owner: np.ndarray, begin: np.ndarray, length: np.ndarray, whole: np.ndarray, known: Hashes, n: int) -> list[np.ndarray]:
+def _tiers(prefixes: tuple[np.ndarray, np.ndarray], owner: np.ndarray, begin: np.ndarray, length: np.ndarray, whole: np.ndarray, known: Hashes, n: int) -> list[np.ndarray]:
     """For each tier, which of ``n`` tokens hold an entry."""
-    stems = {s: _hash(codes, begin, np.minimum(length, s)) for s in STEMS}
+    stems = {s: _hash(prefixes, begin, np.minimum(length, s)) for s in STEMS}
     out = []
     for tier in known.tiers:
         hit = Hashes.has(tier[0], whole)
@@ -154,8 +161,10 @@ def token_numbers(tokens: list[str], known: Hashes) -> np.ndarray:
     count = lambda owner, what: np.bincount(owner, what, n)
     # lower case: words and their beginnings
     codes, owner = codes_of([t.lower() for t in tokens], kind["letter"])
-    begin, length, whole = runs_of_letters(codes)
-    out[:, _T1], out[:, _T2] = _tiers(codes, owner, begin, length, whole, known, n)
+    begin, length = runs_of_letters(codes)
+    prefixes = _prefixes(codes)
+    whole = _hash(prefixes, begin, length)
+    out[:, _T1], out[:, _T2] = _tiers(prefixes, owner, begin, length, whole, known, n)
     out[:, _YOU] = count(owner[begin], Hashes.has(known.you, whole)) > 0
     # as written: kinds of characters; the zero before each token is of no kind
     codes, owner = codes_of(tokens)
@@ -172,7 +181,9 @@ def token_numbers(tokens: list[str], known: Hashes) -> np.ndarray:
     hidden = np.flatnonzero(out[:, _MIX])
     if len(hidden):
         shown, own = codes_of([tokens[i].translate(_DISGUISE).lower() for i in hidden], kind["letter"])
-        out[hidden, _D1], out[hidden, _D2] = _tiers(shown, own, *runs_of_letters(shown), known, len(hidden))
+        begin, length = runs_of_letters(shown)
+        prefixes = _prefixes(shown)
+        out[hidden, _D1], out[hidden, _D2] = _tiers(prefixes, own, begin, length, _hash(prefixes, begin, length), known, len(hidden))
     return out
 
 
@@ -217,10 +228,10 @@ def _fold(doc_id: int) -> int:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """A model of ``labels.toxic``, from at most ``per_class`` documents a class whose ids are not held out.
 
-    What comes to the driver is bounded by the sample: counts of entries found in four toxic documents or more, then
-    a row of features for each sampled document.
+    The sample is written once and read twice.  What comes to the driver is bounded by it: counts of units found in four
+    toxic documents or more, then a row of features for each sampled document.
     """
-    sample = labelled_sample(docs, labels, "toxic", MODULUS, HELD, per_class)
+    sample = materialize(labelled_sample(docs, labels, "toxic", MODULUS, HELD, per_class), "toxic-sample")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -248,6 +259,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
     rows = sample.mapInPandas(describe, "doc_id long, label int, x array<double>").toPandas().sort_values(["doc_id", "label"], kind="stable")
     x = np.stack(rows["x"].tolist()) if len(rows) else np.zeros((0, FEATURES))
+    release(sample)
     y, fold = rows["label"].to_numpy(float), np.array([_fold(d) for d in rows["doc_id"]], int)
     margin = np.zeros(len(y))
     for k in range(FOLDS):
@@ -268,7 +280,8 @@ def _weights(y: np.ndarray, share: float | None) -> np.ndarray:
 def toxicity_scores(docs: DataFrame, fitted: Model, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs`` (doc_id, text).
 
-    Null, empty and blank texts have all features zero and a score like any other.  Ids may be null (hashed as the
+    Null, empty and blank texts have all features zero and a score like any other.  Texts and words count whole, however
+    long.  Equal texts have equal scores.  Ids may be null (hashed as the
     empty string) or repeated.  Without labels to learn from, all scores are 0.5.  An empty table gives an empty result.
     """
     model = docs.sparkSession.sparkContext.broadcast(fitted)
@@ -285,7 +298,11 @@ def toxicity_scores(docs: DataFrame, fitted: Model, threshold: float = THRESHOLD
 
 
 def drop_toxic(docs: DataFrame, fitted: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose text scores under ``threshold``, all columns kept; one pass and no shuffle."""
+    """The rows of ``docs`` whose text scores under ``threshold``, all columns kept; one pass and no shuffle.
+
+    The text alone decides: a null text scores as an empty one, repeated rows stay or go together, ids do not matter.  An
+    empty table gives an empty result.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fitted)
 
     @F.pandas_udf("double")
@@ -299,5 +316,6 @@ def drop_toxic(docs: DataFrame, fitted: Model, threshold: float = THRESHOLD) ->
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every document; nulls, repeats and long texts as ``toxicity_scores`` says."""
     docs = table(spark, sf_dir, "documents")
     return toxicity_scores(docs, train(docs, table(spark, sf_dir, "labels")))
