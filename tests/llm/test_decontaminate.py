@@ -13,7 +13,7 @@ ITEMS = "item_id long, text string, doc_id long, seed string"
 
 
 def tokens(text):
-    return [w for w in re.split(r"[^0-9A-Za-zà-ÿÀ-ß]+", (text or "").lower()) if w]
+    return re.findall(r"[\u4e00-\u9fff\u3040-\u30ff\u0e01-\u0e30]|[0-9A-Za-zà-ÿÀ-ß]+", (text or "").lower())
 
 
 def brute(docs, items):
@@ -22,14 +22,14 @@ def brute(docs, items):
         d = tokens(text)
         for item_id, other, *_ in items:
             b = tokens(other)
-            if len(b) < 9:
+            if not b:
                 continue
             n = min(13, len(b))
             best = 0
             for start in range(len(b) - n + 1):
                 for at in range(-n + 1, len(d)):
                     best = max(best, sum(0 <= at + j < len(d) and d[at + j] == b[start + j] for j in range(n)))
-            if best >= n - (2 if n == 13 else 1):
+            if best >= n - (2 if n == 13 else 1 if n >= 9 else 0):
                 out[doc_id, item_id] = (max(best, out.get((doc_id, item_id), (0, 0))[0]), n)
     return out
 
@@ -40,13 +40,13 @@ def test_masks_meet_every_allowed_substitution():
             assert any(all(o + i not in gone for i in m) for m in MASKS for o in range(window - m[-1]))
 
 
-@pytest.mark.parametrize("limit", [250_000, 0])
-def test_equals_brute_force(spark, limit):
+@pytest.mark.parametrize(("limit", "block"), [(250_000, 1), (0, 1_000_000), (0, 60)])
+def test_equals_brute_force(spark, limit, block):
     rng = random.Random(11)
     words = ["alpha", "Béta", "gamma", "delta", "x1", "theta"]
     phrase = lambda n: [rng.choice(words) + str(rng.randrange(9)) for _ in range(n)]
     items = [(i, " ".join(phrase(n)), 1, "s") for i, n in enumerate([5, 8, 9, 10, 12, 13, 14, 20, 40])] + [(90, None, 1, "s"), (91, "", 1, "s")]
-    items.append((92, items[7][1], 1, "s"))
+    items += [(92, items[7][1], 1, "s"), (93, "漢字仮名交文一二三四五六七", 1, "s"), (94, "かな1つ", 1, "s")]
     docs = [(0, None, "x", 1, "t", 1), (1, "", "x", 1, "t", 1), (2, " ... ", "x", 1, "t", 1)]
     for i in range(60):
         part = items[i % 9][1].split()
@@ -55,8 +55,9 @@ def test_equals_brute_force(spark, limit):
         for _ in range(rng.randrange(4)):
             part[rng.randrange(len(part))] = "changed"
         docs.append((3 + i, " ".join(phrase(rng.randrange(30)) + ["(" + w + ")," for w in part] + phrase(rng.randrange(20))), "x", 1, "t", 1))
+    docs += [(80, "abc漢字仮名X文一二三四五六七 and かな1つ", "x", 1, "t", 1), (81, " ".join(phrase(3000)) + " " + items[6][1] + " " + " ".join(phrase(3000)), "x", 1, "t", 1)]
     docs += [docs[10], (None, items[8][1], "x", 1, "t", 1)]
-    got = {(r.doc_id, r.item_id): (r.matched, r.window) for r in contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), broadcast_tokens=limit).collect()}
+    got = {(r.doc_id, r.item_id): (r.matched, r.window) for r in contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), broadcast_tokens=limit, block_tokens=block).collect()}
     assert got == brute(docs, items) and len(got) > 20
 
 
@@ -71,3 +72,10 @@ def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)
     assert contaminated(docs, items).count() == 0
     assert contaminated(spark.createDataFrame([(1, "a b", "x", 1, "t", 1)], DOCS), items).count() == 0
+
+
+def test_runs_of_any_length_are_tokens(spark):
+    item = " ".join(f"w{i}" for i in range(15))
+    docs = spark.createDataFrame([(1, "x" * 400_000 + " " + item), (2, "漢" * 100_000)], "doc_id long, text string")
+    got = contaminated(docs, spark.createDataFrame([(1, item), (2, "漢" * 13)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.matched) for r in got) == [(1, 1, 13), (2, 2, 13)]
