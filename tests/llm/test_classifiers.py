@@ -88,7 +88,7 @@ def test_many_languages_share_a_filter():
     fitted = op10_language.build(names, own, names[0])
     for i, n in enumerate(names):
         found = np.full((50, fitted.masks.shape[1]), np.uint64(2**64 - 1))
-        for s in op10_language.slots(own[n]):
+        for s in op10_language.slots(own[n], len(fitted.masks)):
             found &= fitted.masks[s]
         assert ((found[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).all()
 

@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from velograph.llm.tables import crc_remainder
 
 
-def first_ids(rows: DataFrame, key: Column, per_key: int) -> DataFrame:
+def first_ids(rows: DataFrame, key: Column, per_key: int, counts: dict | None = None) -> DataFrame:
     """(doc_id, label) of at most ``per_key`` rows of ``rows`` (doc_id) for each key, those whose hashed id is smallest.
 
     Only ids with a hash under a bound, which lets about twice as many through as are wanted, are ranked, so what meets
     in a task is about ``2 * per_key`` ids a key at any size of the table.  (Should the bound ever let too few through,
-    the sample is smaller.)  There are few keys: two classes, or the languages.
+    the sample is smaller.)  There are few keys: two classes, or the languages.  ``counts`` may have their numbers of rows.
     """
     own = rows.select("doc_id", key.alias("label"), F.xxhash64("doc_id").alias("_o")).where("label is not null")
-    counts = own.groupBy("label").agg(F.count("*").alias("n")).collect()
-    bounds = [F.when(F.col("label") == r["label"], F.lit(int(min(1.0, (2 * per_key + 100) / r["n"]) * (2**64 - 2**11)) - 2**63)) for r in counts]
+    if counts is None:
+        counts = {r["label"]: r["n"] for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    bounds = [F.when(F.col("label") == name, F.lit(int(min(1.0, (2 * per_key + 100) / n) * (2**64 - 2**11)) - 2**63)) for name, n in counts.items()]
     under = own.where(F.col("_o") <= F.coalesce(*bounds)) if bounds else own
     order = Window.partitionBy("label").orderBy("_o", "doc_id")
     return under.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_key).select("doc_id", "label")

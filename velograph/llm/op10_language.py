@@ -14,19 +14,19 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velograph.llm.labelled import first_ids
 from velograph.llm.tables import crc_remainder, table
 from velograph.llm.token_sums import TokenSums, codes_of, grams
+from velograph.plans.materialize import materialize
 
-SIZES, SLOT_BITS, HASHES = (2, 3, 4), 19, 3
-#: Documents of a language that are learned from, n-grams of a language that are kept, documents that one must be in.
-PER_LANGUAGE, PER_FILTER, LEAST_DOCS = 500, 20_000, 3
-#: An n-gram is a language's if the share of its documents with it is so much of the largest share of any language;
-#: quotations, names and boilerplate of other languages stay out that way.
-PART = 0.5
+SIZES, HASHES = (2, 3, 4), 3
+#: Slots are a power of two, so many for each n-gram of the largest language or more, within these powers.
+SLOTS_A_GRAM, SLOT_BITS = 16, (19, 21)
+#: Documents of a language that are learned from, at most, and the share of them that an n-gram must be in.
+PER_LANGUAGE, LEAST_SHARE = 500, 0.1
 UNKNOWN = "und"
 MODULUS, HELD = 3, 1
 
@@ -51,34 +51,39 @@ def token_grams(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, owners, np.bincount(owner, codes != 0, len(tokens))
 
 
-def slots(hashes: np.ndarray) -> Iterator[np.ndarray]:
+def slots(hashes: np.ndarray, count: int) -> Iterator[np.ndarray]:
+    """The ``HASHES`` slots, of ``count`` (a power of two), of each hash."""
     for k in range(HASHES):
-        yield ((hashes >> np.uint64(k * 21)) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
+        yield ((hashes >> np.uint64(k * 21)) & np.uint64(count - 1)).astype(np.int64)
 
 
 def build(languages: list[str], found: dict[str, np.ndarray], usual: str | None) -> Filter:
-    masks = np.zeros((1 << SLOT_BITS, max(1, -(-len(languages) // 64))), np.uint64)
+    most = SLOTS_A_GRAM * max(map(len, found.values()), default=1)
+    masks = np.zeros((1 << min(max((most - 1).bit_length(), SLOT_BITS[0]), SLOT_BITS[1]), max(1, -(-len(languages) // 64))), np.uint64)
     rate = np.zeros(len(languages))
     for i, name in enumerate(languages):
-        for s in slots(found.get(name, np.empty(0, np.uint64))):
+        for s in slots(found.get(name, np.empty(0, np.uint64)), len(masks)):
             masks[s, i // 64] |= np.uint64(1 << (i % 64))
         rate[i] = np.mean((masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)) ** HASHES
     return Filter(languages, masks, rate, languages.index(usual) if usual else 0)
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, per_filter: int = PER_FILTER, least_docs: int = LEAST_DOCS) -> Filter:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, least_share: float = LEAST_SHARE) -> Filter:
     """The filter of the languages in ``docs`` (doc_id, text, lang), from documents whose ids are not held out.
 
-    At most ``per_language`` documents of a language are read and at most ``per_filter`` of its n-grams kept, those in
-    the most documents; what comes to the driver is bounded by the number of languages times these.
+    At most ``per_language`` documents of a language are read; all n-grams that are in ``least_share`` of these, and in two
+    where there are many, are its own, whichever other languages they are also in.  What comes to the driver is bounded by
+    the sample.  The table is read twice: for (doc_id, lang), which are written, and for the texts of the sample.
     """
     doc_id = F.col("doc_id").cast("long")
-    own = docs.select(doc_id.alias("doc_id"), "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (crc_remainder(doc_id, MODULUS) != HELD))
-    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    fit = F.col("text").isNotNull() & F.col("lang").isNotNull() & (crc_remainder(doc_id, MODULUS) != HELD)
+    own = docs.select(doc_id.alias("doc_id"), "text", "lang").where(fit)
+    ids = materialize(own.select("doc_id", "lang"), "languages")
+    counts = {r["lang"]: r["n"] for r in ids.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
         return build([], {}, None)
-    chosen = F.broadcast(first_ids(own, F.col("lang"), per_language).withColumnRenamed("label", "lang"))
+    chosen = F.broadcast(first_ids(ids, F.col("lang"), per_language, counts).withColumnRenamed("label", "lang"))
     sample = own.join(chosen.select(F.col("doc_id").alias("_d"), F.col("lang").alias("_l")), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("lang") == F.col("_l"))).select("lang", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,11 +95,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, per_filter: int = P
 
     seen = sample.mapInPandas(run, "lang string, g long").groupBy("lang", "g").agg(F.count("*").alias("n"))
     sampled = F.element_at(F.create_map(*[x for name, n in counts.items() for x in (F.lit(name), F.lit(float(min(n, per_language))))]), F.col("lang"))
-    seen = seen.withColumn("share", F.col("n") / sampled)
-    most = seen.groupBy("g").agg(F.max("share").alias("most"))
-    seen = seen.join(most, "g").where(F.col("share") >= PART * F.col("most"))
-    least = F.least(F.lit(least_docs), F.lit(1) + F.floor(sampled / 20))
-    kept = seen.where(F.col("n") >= least).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "g"))).where(F.col("k") <= per_filter)
+    kept = seen.where((F.col("n") >= least_share * sampled) & (F.col("n") >= F.when(sampled >= 20, 2).otherwise(1)))
     rows = kept.select("lang", "g").toPandas()
     found = {name: part["g"].to_numpy(np.int64).view(np.uint64) for name, part in rows.groupby("lang")}
     return build(languages, found, min(languages, key=lambda name: (-counts[name], name)))
@@ -105,7 +106,7 @@ def languages_of(docs: DataFrame, fitted: Filter) -> DataFrame:
 
     ``score`` is the winner's part of all corrected counts.  A text that is null or has no letter is ``und`` with score
     0; a text with letters of which no n-gram is known has the most usual language and score 0.  Ties go to the name
-    first by code point.  Ids may be null or repeated; an empty table gives an empty result.
+    first by code point.  Texts count whole, however long, and equal texts have equal answers.  Ids may be null or repeated; an empty table gives an empty result.
     """
     model = docs.sparkSession.sparkContext.broadcast(fitted)
 
@@ -116,7 +117,7 @@ def languages_of(docs: DataFrame, fitted: Filter) -> DataFrame:
         def make(tokens: list[str]) -> np.ndarray:
             hashes, owner, count = token_grams(tokens)
             found = np.full((len(hashes), masks.shape[1]), np.uint64(0xFFFFFFFFFFFFFFFF))
-            for s in slots(hashes):
+            for s in slots(hashes, len(masks)):
                 found &= masks[s]
             hits = [np.bincount(owner, ((found[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).astype(float), len(tokens)) for i in range(len(languages))]
             return np.stack([*hits, np.bincount(owner, minlength=len(tokens)), count], axis=1)
@@ -137,5 +138,6 @@ def languages_of(docs: DataFrame, fitted: Filter) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; nulls, repeats and long texts as ``languages_of`` says."""
     docs = table(spark, sf_dir, "documents")
     return languages_of(docs, train(docs))
