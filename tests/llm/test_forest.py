@@ -57,3 +57,18 @@ def test_recall_and_parts_of_large_shards(spark):
 
 def test_empty_table(spark):
     assert nearest(spark.createDataFrame([], ROWS), F.lit(True)).count() == 0
+
+
+def test_sparse_queries_ascend_beyond_their_shards(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=16) * 0.1 + 1).tolist(), 1, 2, 3) for i in range(1500)] + [(5000 + i, (rng.normal(size=16) - 9).tolist(), 1, 2, 3) for i in range(10)]
+    got = answers(nearest(spark.createDataFrame(rows, ROWS), F.col("vec_id") % 100 == 0, wanted=300))
+    want = brute(rows, lambda i: i % 100 == 0)
+    assert got.keys() == want.keys() and all(len(x) == 10 for x in got.values())
+    assert {i for i, _ in got[5000]} >= {5000 + i for i in range(1, 10)}
+
+
+def test_rows_of_one_id_are_one_query_and_one_candidate(spark):
+    rows = [(i, [float(i), 1.0], 1, 2, 3) for i in range(30)] + [(10, [25.2, 1.0], 1, 2, 3), (3, [11.3, 1.0], 1, 2, 3)]
+    got = answers(nearest(spark.createDataFrame(rows, ROWS), F.col("vec_id") == 10, k=4))
+    assert list(got) == [10] and [i for i, _ in got[10]] == [25, 26, 9, 11] and len({i for i, _ in got[10]}) == 4
