@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Keys with more than one in so many of all rows are broadcast; there are fewer than this of them.
-HEAVY = 5_000
+HEAVY = 500
 
 
 def range_pairs(left: DataFrame, right: DataFrame, from_: Column, to: Column, at: Column, width: float, keys: list[str]) -> DataFrame:
