@@ -75,10 +75,11 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEE
     Null texts have size 0, and texts count whole.  Repeated rows are documents of their own; ids may be null.  An empty
     table gives an empty result, and a source without words takes nothing.
     """
-    total = docs.count()
-    salts = max(SALTS, -(-total // SALT_ROWS))
     digest = F.md5(F.concat_ws("|", F.col("doc_id").cast("long").cast("string"), F.coalesce("text", F.lit(""))).cast("binary"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), digest.alias("digest"))
+    rows = materialize(rows, "sizes")  # the texts are read once
+    total = rows.count()
+    salts = max(SALTS, -(-total // SALT_ROWS))
     rows = rows.withColumn("salt", F.pmod(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), F.lit(salts)).cast("int"))
     rows = rows.withColumn("s", F.coalesce(F.concat(F.lit(":"), "source"), F.lit("/")))  # a key without nulls
     cells = rows.groupBy("s", "size", "salt").agg(F.count("*").alias("n"))
