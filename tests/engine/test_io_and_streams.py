@@ -1,7 +1,8 @@
 from __future__ import annotations
 
 import json
-from datetime import UTC, datetime
+import time
+from datetime import UTC, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +99,22 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == {(r.track_id, r.frame_index): r.counted for r in kept.collect()}
 
 
+def test_sides_of_a_line_are_state_and_tracks_are_forgotten(spark, tmp_path):
+    schema = "run_id string, track_id long, frame_index long, pos long, t double, x double, y double, inside_roi boolean, ts timestamp"
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    rows = [[("r", 1, 0, 0, 0.0, 5.0, -3.0, True, at(0)), ("r", 2, 0, 1, 0.0, 5.0, 3.0, True, at(0))], [("r", 1, 1, 2, 0.1, 5.0, 3.0, True, at(1)), ("r", 2, 1, 3, 0.1, 5.0, -3.0, True, at(1))], [("r", 3, 9, 4, 0.9, 5.0, 1.0, True, at(500))], [("r", 4, 10, 6, 1.0, 5.0, 1.0, True, at(550))], [("r", 1, 11, 5, 1.1, 5.0, -3.0, True, at(600))]]
+    for n, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.json(f"{tmp_path}/in/{n}")
+        time.sleep(1.1)  # files are taken by their times
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in/*").withWatermark("ts", "1 second")
+    made = track_states(stream, line=((0.0, 0.0), (10.0, 0.0)), direction="A_TO_B", after=1e9, ttl_ms=60_000)
+    q = made.writeStream.format("memory").queryName("sides").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {r.pos: (r.crossing, r.counted) for r in spark.table("sides").collect()}
+    # the last row comes after its track was forgotten, so it begins anew on its side
+    assert got == {0: (None, False), 1: (None, False), 2: ("A_TO_B", True), 3: ("B_TO_A", False), 4: (None, False), 5: (None, False), 6: (None, False)}
+
+
 def test_windows_count_late_rows(spark):
     rows = spark.createDataFrame([("car", datetime(2024, 1, 1, 0, 10)), ("car", datetime(2024, 1, 1, 0, 50)), ("bus", datetime(2024, 1, 1, 1, 0))], "class_name string, ts timestamp")
     assert sorted((r.class_name, r.window_start.hour, r.n) for r in windowed_counts(rows).collect()) == [("bus", 1, 1), ("car", 0, 2)]

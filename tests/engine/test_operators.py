@@ -201,6 +201,20 @@ def test_suppression_crops_and_cells(spark):
     assert sorted((r.cell, r.user) for r in tracker.match_cells(cells, users).collect()) == [(0, 2), (1, 0)]
 
 
+def test_surer_models_take_cells_first(spark):
+    cells = spark.createDataFrame([("b", 0, 0.0, 0.0, 10.0, 10.0)], "batch_id string, cell long, x1 double, y1 double, x2 double, y2 double")
+    rows = [("b", 0, 1.0, 1.0, 5.0, 5.0, 0.9, 0.2, 0.9), ("b", 1, 2.0, 2.0, 6.0, 6.0, 0.9, 0.7, None), ("b", 2, 3.0, 3.0, 7.0, 7.0, None, 0.9, 0.9)]
+    users = spark.createDataFrame(rows, "batch_id string, user long, x1 double, y1 double, x2 double, y2 double, confidence double, model_confidence double, make_confidence double")
+    assert [(r.cell, r.user) for r in tracker.match_cells(cells, users).collect()] == [(0, 1)]
+
+
+def test_lookup_audit(spark):
+    decided = spark.createDataFrame([(1, "exact_match", "reuse", "r1", None, 0), (2, "no_match", "api_fallback", None, None, 0)], "query_id long, reason string, action string, record_id string, distance double, neighbours long")
+    queries = spark.createDataFrame([(1, "i", "q"), (2, "j", "q")], "query_id long, image_sha256 string, request_hash string")
+    rows = {r.image_sha256: r for r in retrieval.lookup_audit(decided, queries, F.lit("2024-01-02 03:04:05").cast("timestamp")).collect()}
+    assert rows["i"].match.record_id == "r1" and rows["i"].match.kind == "exact" and rows["j"].match is None and rows["i"].timestamp.startswith("2024-01-02T03:04:05.000000")
+
+
 def test_tracks_keep_their_ids(spark):
     rows = [("r", f, n, x, 0.0, x + 20, 20.0, 0.9 if f % 3 else 0.3 if f else 0.9, "car") for f in range(12) for n, x in enumerate([f * 5.0, 300.0 - f * 5.0])]
     d = spark.createDataFrame(rows, "run_id string, frame_index long, pos long, x1 double, y1 double, x2 double, y2 double, confidence double, class_name string").withColumn("bbox", boxes.box("x1", "y1", "x2", "y2"))
@@ -212,6 +226,10 @@ def test_rescue_gates(spark):
     lost = spark.createDataFrame([("r", 1, 0.0, 0.0, 0.0, 0.0, 20.0), ("r", 2, 0.0, 3.0, 0.0, 0.0, 20.0)], "run_id string, track_id long, t double, x double, y double, vx double, vy double")
     spawns = spark.createDataFrame([("r", 10, 1.0, 0.5, 20.5), ("r", 11, 1.0, 0.0, 80.0), ("r", 12, 2.5, 0.0, 50.0), ("r", 13, 1.0, 0.0, 17.0)], "run_id string, spawn_id long, t double, x double, y double")
     got = {(r.spawn_id, r.track_id): (r.reason, r.chosen) for r in tracker.rescue_pairs(spawns, lost).collect()}
+    # without a velocity there is too little history; nearness to the expected place decides, not to the last one
+    more = spark.createDataFrame([("r", 5, 0.0, 0.0, 0.0, None, None), ("r", 6, 0.0, 0.0, 10.0, 0.0, 8.0), ("r", 7, 0.0, 0.0, 0.0, 0.0, 20.0)], lost.schema)
+    near = {r.track_id: (r.reason, r.chosen) for r in tracker.rescue_pairs(spark.createDataFrame([("r", 20, 1.0, 0.0, 20.0)], spawns.schema), more).collect()}
+    assert near == {5: ("history", False), 6: (None, False), 7: (None, True)}
     assert got[10, 1] == (None, True) and got[10, 2] == ("lateral", False) and got[11, 1][0] == "speed" and got[13, 1][0] == "behind" and (12, 1) not in got
 
 

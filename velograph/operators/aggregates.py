@@ -89,3 +89,29 @@ def chunks(rows: DataFrame, size: int, *order: str) -> DataFrame:
     """``chunk`` numbers of ``size`` rows within each run, in order."""
     nth = F.row_number().over(Window.partitionBy("run_id").orderBy(*order)) - 1
     return rows.withColumn("chunk", F.floor(nth / size).cast("int"))
+
+
+def diagnostics(frames: DataFrame, detections: DataFrame, outputs: DataFrame, summaries: DataFrame, retired: DataFrame, *, frames_needed: int, width: float = 112, height: float = 56) -> DataFrame:
+    """One row about an analysis: what went into the tracker and came out of it, and why tracks have no crops.
+
+    ``frames`` are those sampled, ``detections`` those given to the tracker, ``outputs`` the tracked rows (track_id below
+    0: not confirmed), ``summaries`` the tracks with frames_seen, max_width, max_height and candidates, ``retired`` the rows
+    (track_id) of ids that came back after they were given up.
+    """
+    none = F.size("candidates") == 0
+    count = lambda rows, *columns: rows.agg(*columns)
+    parts = [
+        count(frames, F.count("*").alias("total_sampled_frames")),
+        count(detections, F.count("*").alias("detections_passed_to_tracker")),
+        count(outputs, F.count_if(F.col("track_id") >= 0).alias("tracker_outputs")),
+        count(
+            summaries, F.count_if(F.col("frames_seen") < frames_needed).alias("tracks_discarded_min_track_frames"), F.count_if(none).alias("tracks_without_crop_candidates"),
+            F.count_if(none & (F.col("max_width") < width)).alias("tracks_without_crop_due_to_width"), F.count_if(none & (F.col("max_height") < height)).alias("tracks_without_crop_due_to_height"),
+            F.count_if(none & (F.col("frames_seen") < frames_needed)).alias("tracks_without_crop_due_to_short_lifetime"),
+        ),
+        count(retired, F.count("*").alias("stale_reassociation_observations_suppressed"), F.count_distinct("track_id").alias("stale_reassociation_track_ids_dropped")),
+    ]
+    out = parts[0]
+    for other in parts[1:]:
+        out = out.join(F.broadcast(other))  # one row each
+    return out

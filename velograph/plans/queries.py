@@ -2,38 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velograph.functions import boxes, geometry, text, vectors
 from velograph.operators import aggregates, dedup, filters, joins, link, report, retrieval, smooth, tracker, tracks
 from velograph.plans.driver_tables import FRAGMENTS, HEIGHT, LINE, OBSERVATIONS, WIDTH, ZONE, edge_sql, fragments, observations, polygon_sql, read
+from velograph.plans.registry import oracle_sql, queries, query
 from velograph.sources.readers import sampled_frames
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
+__all__ = ["flagship", "oracle_sql", "queries"]
 
 def r6(c: Column | str) -> Column:
     return F.round(c, 6)
@@ -349,7 +327,7 @@ def _vectors(spark: SparkSession, sf_dir: str, separated: bool) -> DataFrame:
 
 def _calibration_sql(separated: bool) -> str:
     v = "list_transform(embedding, lambda x, i: x::DOUBLE + CASE WHEN i = label + 1 THEN 10.0::DOUBLE ELSE 0.0::DOUBLE END)" if separated else "embedding::DOUBLE[]"
-    return f"""WITH e AS (SELECT vec_id, label, {v} AS v FROM embeddings WHERE vec_id % 4 = 0),
+    return f"""WITH e AS (SELECT vec_id, label, {v} AS v FROM embeddings),
 p AS (SELECT greatest(0, list_cosine_distance(a.v, b.v)) AS d, a.label = b.label AS same FROM e a JOIN e b ON a.vec_id < b.vec_id),
 s AS (SELECT count(*) FILTER (WHERE same) AS same_pairs, count(*) FILTER (WHERE NOT same) AS conflict_pairs, max(d) FILTER (WHERE same) AS max_same, min(d) FILTER (WHERE NOT same) AS min_conflict FROM p)
 SELECT same_pairs, conflict_pairs, round(max_same, 6) AS max_same, round(min_conflict, 6) AS min_conflict, CASE WHEN same_pairs >= 1 AND conflict_pairs >= 1 AND max_same < min_conflict THEN round(max_same, 6) END AS threshold FROM s"""
@@ -387,8 +365,9 @@ def active_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH p AS (SELECT p_partkey, p_name, p_brand, p_type, p_size FROM part),
 q AS (SELECT p_partkey AS query_id, p_partkey % 3 <> 0 AS has_embedding, p_size FROM p WHERE p_partkey % 4 = 0),
-x AS (SELECT query_id, min(r.p_partkey) AS rec, bool_and(r.p_size % 5 <> 0) AS able, count(DISTINCT (r.p_brand, r.p_type)) AS sigs FROM q JOIN p r ON r.p_partkey % 4 = 1 AND r.p_partkey // 12 = query_id // 12 AND query_id % 8 = 0 GROUP BY query_id),
-w AS (SELECT query_id, r.p_partkey AS rec, r.p_size % 3 AS image, CAST(r.p_partkey % 10 AS DOUBLE) / 100 AS d, r.p_size % 11 <> 0 AS able, lower(r.p_brand) AS ident FROM q JOIN p r ON r.p_partkey % 4 = 2 AND r.p_partkey // 40 = query_id // 40),
+s AS (SELECT *, CASE p_partkey % 12 WHEN 1 THEN (p_brand, p_type, '', p_size, '', 0) WHEN 5 THEN (p_brand, '', p_type, 0, p_type, p_size) ELSE ('', '', '', 0, '', 0) END AS sig FROM p WHERE p_partkey % 4 = 1),
+x AS (SELECT query_id, min(r.p_partkey) AS rec, bool_and(r.p_size % 5 <> 0) AS able, count(DISTINCT sig) AS sigs FROM q JOIN s r ON r.p_partkey // 36 = query_id // 36 AND r.p_size // 10 = q.p_size // 10 AND query_id % 8 = 0 GROUP BY query_id),
+w AS (SELECT query_id, r.p_partkey AS rec, r.p_size % 3 AS image, CAST(r.p_partkey % 10 AS DOUBLE) / 100 AS d, r.p_size % 11 <> 0 AS able, lower(r.p_brand) AS ident FROM q JOIN p r ON r.p_partkey % 4 IN (2, 3) AND r.p_partkey // 40 = query_id // 40),
 i AS (SELECT query_id, bool_or(n > 1) AS split, count(*) AS images FROM (SELECT query_id, image, count(DISTINCT ident) AS n FROM w GROUP BY query_id, image) GROUP BY query_id),
 a AS (SELECT query_id, bool_and(able) AS able, count(DISTINCT ident) AS ids FROM w GROUP BY query_id),
 r AS (SELECT q.query_id, CASE WHEN x.able = false THEN 'exact_ineligible' WHEN x.sigs > 1 THEN 'exact_conflict' WHEN x.able THEN 'exact_match' WHEN a.able IS NULL THEN 'no_match' WHEN NOT has_embedding THEN 'embedding_unavailable'
@@ -397,20 +376,29 @@ r AS (SELECT q.query_id, CASE WHEN x.able = false THEN 'exact_ineligible' WHEN x
 SELECT query_id, reason, CASE WHEN reason IN ('exact_match', 'exact_ineligible', 'embedding_match') THEN 'reuse' ELSE 'api_fallback' END AS action, neighbours FROM r""")
 def retrieval_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "part")
-    q = p.where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("query_id"), (F.col("p_partkey") % 3 != 0).alias("has_embedding"))
-
-    def result(able: Column) -> Column:
-        blank = {c: F.lit(None).cast("string") for c in retrieval.SIGNATURE}
-        fields = blank | {"make": F.col("p_brand"), "model": F.lit("m"), "view": F.col("p_type")}
-        return F.struct(*[v.alias(k) for k, v in fields.items()], able.alias("accepted"), F.lit(0.9).alias("make_confidence"))
-
-    def records(rest: int, able) -> DataFrame:
-        return p.where(f"p_partkey % 4 = {rest}").select(F.col("p_partkey").alias("record_id"), (F.col("p_size") % 3).alias("image"), result(able).alias("result"), F.lit(False).alias("by_human"))
+    q = p.where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("query_id"), (F.col("p_partkey") % 3 != 0).alias("has_embedding"), F.col("p_size").alias("q_size"))
+    kind = F.col("p_partkey") % 12
+
+    def result(able: Column, varied: bool) -> Column:
+        """Labels that differ, for the exact records, in names, confidences, tags or boxes only."""
+        on = lambda k, c: F.when(F.lit(varied) & (kind == k), c)
+        brand = F.col("p_brand") if not varied else F.when(kind.isin(1, 5), F.col("p_brand")).otherwise("b")
+        size = F.col("p_size").cast("double")
+        given = {
+            "make": brand, "model": F.lit("m"), "view": on(1, F.col("p_type")), "color_confidence": on(1, size), "category": on(5, F.col("p_type")),
+            "tags": on(5, F.array(F.struct(F.col("p_type").alias("name")))), "detection_box": on(5, boxes.box(size, size, size + 1, size + 1)), "make_confidence": F.lit(0.9),
+        }
+        blank = lambda f: F.lit(None).cast("double" if f.endswith("_confidence") else "string")
+        return F.struct(*[given.get(f, blank(f)).alias(f) for f in retrieval.SIGNATURE], able.alias("accepted"))
+
+    def records(rest: list[int], able: Column, varied: bool) -> DataFrame:
+        own = p.where((F.col("p_partkey") % 4).isin(rest))
+        return own.select(F.col("p_partkey").alias("record_id"), (F.col("p_size") % 3).alias("image"), "p_size", result(able, varied).alias("result"), F.lit(False).alias("by_human"))
 
     part = lambda c, n: F.floor(F.col(c) / n)
-    first = records(1, F.col("p_size") % 5 != 0)
-    exact = q.where("query_id % 8 = 0").join(first, part("query_id", 12) == part("record_id", 12))
-    second = records(2, F.col("p_size") % 11 != 0)
+    first = records([1], F.col("p_size") % 5 != 0, True)
+    exact = q.where("query_id % 8 = 0").join(first, (part("query_id", 36) == part("record_id", 36)) & (part("q_size", 10) == part("p_size", 10)))
+    second = records([2, 3], F.col("p_size") % 11 != 0, False)
     within = q.join(second, part("query_id", 40) == part("record_id", 40)).withColumns({"distance": F.col("record_id") % 10 / 100.0, "hamming": F.lit(0)})
     found = retrieval.decisions(q, exact, within.select("query_id").distinct(), within, enforce=True, calibrated=True)
     return found.select("query_id", "reason", "action", F.col("neighbours").alias("neighbours"))
@@ -529,13 +517,28 @@ def tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("class_name"), w.alias("w")).agg(F.count("*").alias("n")).select("class_name", F.col("w.start").alias("window_start"), "n")
 
 
-@query()
+@query(f"""WITH {OBSERVATIONS},
+f AS (SELECT frame_index // 50 AS frame_index, list(struct_pack(x1 := x1, y1 := y1, x2 := x2, y2 := y2, pos := pos) ORDER BY confidence DESC, pos) AS l FROM obs GROUP BY 1),
+k AS (SELECT frame_index, list_reduce(list_transform(l, lambda e: [e]), lambda kept, x: CASE WHEN len(list_filter(kept, lambda e:
+    2 * greatest(least(e.x2, x[1].x2) - greatest(e.x1, x[1].x1), 0) * greatest(least(e.y2, x[1].y2) - greatest(e.y1, x[1].y1), 0)
+    > (e.x2 - e.x1) * (e.y2 - e.y1) + (x[1].x2 - x[1].x1) * (x[1].y2 - x[1].y1) - greatest(least(e.x2, x[1].x2) - greatest(e.x1, x[1].x1), 0) * greatest(least(e.y2, x[1].y2) - greatest(e.y1, x[1].y1), 0))) = 0
+  THEN list_concat(kept, x) ELSE kept END) AS kept FROM f),
+u AS (SELECT frame_index, unnest(kept) AS e FROM k)
+SELECT frame_index, e.pos AS pos FROM u""")
 def suppressed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = observations(spark, sf_dir).withColumn("frame_index", F.floor(F.col("frame_index") / 50))
     return tracker.suppress(rows, 0.5).select("frame_index", "pos")
 
 
-@query()
+_WORTH = "CASE WHEN greatest(a.high, x.high) > least(a.low, x.low) THEN -abs(({0}.w - least(a.low, x.low)) / (greatest(a.high, x.high) - least(a.low, x.low)) - 0.75::DOUBLE) ELSE 0 END, {0}.sharp, {0}.area"
+
+
+@query(f"""WITH {OBSERVATIONS},
+l AS (SELECT track_id, list(struct_pack(low := w, high := w, since := t, updates := 1, frame := frame_index, w := w, sharp := confidence, area := w * h) ORDER BY frame_index, pos) AS l FROM feet GROUP BY track_id),
+k AS (SELECT track_id, list_reduce(l, lambda a, x: CASE WHEN x.since - a.since >= 12 AND ({_WORTH.format("x")}) > ({_WORTH.format("a")})
+  THEN struct_pack(low := least(a.low, x.low), high := greatest(a.high, x.high), since := x.since, updates := a.updates + 1, frame := x.frame, w := x.w, sharp := x.sharp, area := x.area)
+  ELSE struct_pack(low := least(a.low, x.low), high := greatest(a.high, x.high), since := a.since, updates := a.updates, frame := a.frame, w := a.w, sharp := a.sharp, area := a.area) END) AS a FROM l)
+SELECT 'r' AS run_id, track_id, a.frame AS frame_index, CAST(a.updates AS INTEGER) AS updates FROM k""")
 def kept_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = observations(spark, sf_dir).withColumns({"width": width(), "tier": F.lit(2), "sharpness": F.col("confidence"), "edge_margin": F.lit(0.0), "area": boxes.area(F.col("bbox"))})
     return tracker.select_crops(rows.select("run_id", "track_id", "frame_index", "pos", "t", "width", "tier", "sharpness", "edge_margin", "area"), spacing=12.0)
@@ -546,7 +549,12 @@ def associated_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracker.associate(observations(spark, sf_dir).withColumn("run_id", F.col("class_name"))).select("run_id", "pos", "track_id")
 
 
-@query()
+@query(f"""WITH {OBSERVATIONS}, {_ENDS},
+e AS (SELECT track_id, ft, lt, ffx / 20 AS ffx, ffy / 10 AS ffy, lx / 20 AS lx, ly / 10 AS ly, vx / 20 AS vx, vy / 10 AS vy FROM ends),
+n AS (SELECT b.track_id AS spawn_id, a.track_id, b.ft - a.lt AS gap, sqrt((b.ffx - a.lx) ** 2 + (b.ffy - a.ly) ** 2) AS moved, b.ffx - (a.lx + a.vx * (b.ft - a.lt)) AS dx, b.ffy - (a.ly + a.vy * (b.ft - a.lt)) AS dy, a.vx, a.vy, sqrt(a.vx ** 2 + a.vy ** 2) AS v
+  FROM e a JOIN e b ON b.ft > a.lt AND b.ft <= a.lt + 2),
+r AS (SELECT *, CASE WHEN vx IS NULL THEN 'history' WHEN moved / gap > 40 THEN 'speed' WHEN sqrt(dx ** 2 + dy ** 2) > 4 THEN 'prediction' WHEN v >= 1 AND abs(dx * vy - dy * vx) / v > 2 THEN 'lateral' WHEN v >= 1 AND (dx * vx + dy * vy) / v < -1.5::DOUBLE THEN 'behind' END AS reason FROM n)
+SELECT spawn_id, track_id, reason, reason IS NULL AND row_number() OVER (PARTITION BY spawn_id ORDER BY reason IS NOT NULL, sqrt(dx ** 2 + dy ** 2), track_id) = 1 AS chosen FROM r""")
 def rescued_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fragments(observations(spark, sf_dir))
     ends = tracks.endpoints(rows, fx() / 20, fy() / 10)
@@ -664,3 +672,6 @@ def polygon_edge_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zone_counts(spark, sf_dir)
+
+
+from velograph.plans import more_queries  # noqa: E402, F401  these build on the ones above

@@ -114,3 +114,15 @@ def image_folder(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.format("binaryFile").load(path).select("path", "content")
     except AnalysisException:
         return spark.createDataFrame([], "path string, content binary")
+
+
+def with_current_keys(summaries: DataFrame) -> DataFrame:
+    """Track summaries of older runs, in which the keys of heights held widths: where a record has no width, its height is
+    the width and the height is unknown.  Newer records stay as they are."""
+    out = summaries
+    for end in ("min", "max"):
+        old, new = f"{end}_box_height_px", f"{end}_box_width_px"
+        if old in out.columns:
+            known = F.col(new) if new in out.columns else F.lit(None).cast(out.schema[old].dataType)
+            out = out.withColumns({new: F.coalesce(known, F.col(old)), old: F.when(known.isNotNull(), F.col(old))})
+    return out

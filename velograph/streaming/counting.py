@@ -1,49 +1,90 @@
 """Counting and retiring tracks as observations arrive: the batch windows of ``operators.tracks`` as state a track.
 
-State a track is five numbers and two flags, dropped after ``ttl_ms`` of event time without an observation.  Rows of a
+State a track is a few numbers and flags, dropped after ``ttl_ms`` of event time without an observation.  Rows of a
 track must arrive in order across micro-batches; within one they are sorted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUTPUT = "run_id string, track_id long, frame_index long, pos long, t double, inside_roi boolean, retired boolean, counted boolean"
-STATE = "t double, x double, y double, retired boolean, counted boolean"
+from velograph.plans.materialize import materialize, shared_dir
 
+OUTPUT = "run_id string, track_id long, frame_index long, pos long, t double, inside_roi boolean, retired boolean, counted boolean, crossing string"
+STATE = "t double, x double, y double, retired boolean, counted boolean, side int"
 
-def track_states(rows: DataFrame, *, after: float = 0.35, world_gap: float = 2.0, reach: float = 150.0, speed: float = 40.0, ttl_ms: int | None = None) -> DataFrame:
-    """``rows`` (run_id, track_id, frame_index, pos, t, x, y, inside_roi) with retired and counted; works on streams and
-    on tables alike.  Retired rows stay in the output, marked, and count no more."""
+
+def _side(x: np.ndarray, y: np.ndarray, line: tuple[tuple[float, float], tuple[float, float]] | None) -> np.ndarray:
+    """1 and -1 on either side of the line, 0 on it and beyond its ends."""
+    if line is None:
+        return np.zeros(len(x), np.int64)
+    (ax, ay), (bx, by) = line
+    dx, dy = bx - ax, by - ay
+    along = (x - ax) * dx + (y - ay) * dy
+    return np.where((along >= 0) & (along <= dx * dx + dy * dy), np.sign((y - ay) * dx - (x - ax) * dy), 0).astype(np.int64)
+
+
+def track_states(
+    rows: DataFrame, *, after: float = 0.35, world_gap: float = 2.0, reach: float = 150.0, speed: float = 40.0, ttl_ms: int | None = None,
+    line: tuple[tuple[float, float], tuple[float, float]] | None = None, direction: str = "BOTH", time: str = "ts",
+) -> DataFrame:
+    """``rows`` (run_id, track_id, frame_index, pos, t, x, y, inside_roi) with retired, counted and crossing; for
+    streams (``run_once`` takes a table through one).  Retired rows stay in the output, marked, and count no more.
+
+    Without a ``line`` a track counts from its first row inside the region.  With one it counts from the first row inside
+    on which it has crossed the line in the wanted ``direction`` (A_TO_B, B_TO_A or BOTH); the side it was last seen on
+    is state.  With ``ttl_ms`` the column ``time`` must have a watermark, and a track whose last row is so far behind it
+    is forgotten.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        known = state.getOption
-        t, x, y, retired, counted = known if known else (None, 0.0, 0.0, False, False)
-        rows = pd.concat(list(batches)).sort_values(["frame_index", "pos"])
-        out = []
-        for r in rows.itertuples():
-            if t is not None and r.track_id >= 0 and not retired:
-                gap, dist = r.t - t, ((r.x - x) ** 2 + (r.y - y) ** 2) ** 0.5
+        t, x, y, retired, counted, side = state.getOption or (None, 0.0, 0.0, False, False, 0)
+        own = pd.concat(list(batches)).sort_values(["frame_index", "pos"])
+        sides = _side(own["x"].to_numpy(float), own["y"].to_numpy(float), line).tolist()
+        gone, count, crossed = [], [], []
+        for at, px, py, inside, now in zip(own["t"].tolist(), own["x"].tolist(), own["y"].tolist(), own["inside_roi"].fillna(False).tolist(), sides, strict=True):
+            if t is not None and key[1] >= 0 and not retired:
+                gap, dist = at - t, ((px - x) ** 2 + (py - y) ** 2) ** 0.5
                 retired = gap > after and not (gap <= world_gap and dist <= min(reach, speed * gap))
+            way = None
             if not retired:
-                t, x, y = r.t, r.x, r.y
-                counted = counted or bool(r.inside_roi)
-            out.append((*key, r.frame_index, r.pos, r.t, bool(r.inside_roi), retired, counted))
-        state.update((t, x, y, retired, counted))
+                t, x, y = at, px, py
+                way = None if not now or not side or now == side else "A_TO_B" if now > 0 else "B_TO_A"
+                side = now or side
+                counted = counted or (bool(inside) if line is None else bool(inside) and way is not None and direction in ("BOTH", way))
+            gone.append(retired)
+            count.append(counted)
+            crossed.append(way)
+        state.update((t, x, y, retired, counted, side))
         if ttl_ms:
-            state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+            state.setTimeoutTimestamp(max(int(own["_at"].max()), state.getCurrentWatermarkMs()) + ttl_ms)
+        yield pd.DataFrame({"run_id": key[0], "track_id": key[1], **{c: own[c].to_numpy() for c in ("frame_index", "pos", "t", "inside_roi")}, "retired": gone, "counted": count, "crossing": crossed})
+
+    # the column with the watermark has to reach the operator as it is
+    at = [F.col(time), F.unix_millis(time).alias("_at")] if ttl_ms else []
+    own = rows.select("run_id", "track_id", "frame_index", "pos", "t", "x", "y", "inside_roi", *at)
+    timeout = GroupStateTimeout.EventTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+    return own.groupBy("run_id", "track_id").applyInPandasWithState(run, OUTPUT, STATE, "append", timeout)
+
 
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
-    return rows.groupBy("run_id", "track_id").applyInPandasWithState(run, OUTPUT, STATE, "append", timeout)
+def run_once(table: DataFrame, operator: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """A table taken through an operator on streams as all that there is, in the shared folder."""
+    spark = table.sparkSession
+    given = materialize(table, f"{name}-in")
+    out = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    made = operator(spark.readStream.schema(given.schema).parquet(given._velograph_path))
+    made.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(made.schema).parquet(out)
 
 
 def windowed_counts(rows: DataFrame, time: str = "ts", window: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
