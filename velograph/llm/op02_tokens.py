@@ -175,4 +175,5 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY, *, limit: int = LIMIT,
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document; nulls, repeats and long texts as ``token_counts`` says."""
     return token_counts(table(spark, sf_dir, "documents"))

@@ -128,7 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs`` (doc_id, text).
 
-    Null, empty and blank texts have padding as their only feature.  Ids may be null (hashed as the empty
+    Null, empty and blank texts have padding as their only feature.  Texts count whole, however long, and equal texts have
+    equal scores; other columns are ignored.  Ids may be null (hashed as the empty
     string) or repeated.  Without labels to learn from, all scores are 0.5.  An empty table gives an empty result.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class))
@@ -154,4 +155,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every document; nulls, repeats and long texts as ``quality_scores`` says."""
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
