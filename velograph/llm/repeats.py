@@ -24,11 +24,11 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from velograph.llm.winnow_kernel import BLOCK, gram_hashes, runs_of
-from velograph.operators.joins import join_by_share
+from velograph.operators.joins import HEAVY, join_by_share
 from velograph.plans.materialize import materialize, release
 
 
@@ -149,16 +149,30 @@ def repeated_spans(src: DataFrame, unit: Unit, search: Search, *, key_contents:
     window, size = unit.window, unit.itemsize
     src = src.select("d", "h", "text")
     runs = materialize(_runs(src, unit), "runs")
-    shared = materialize(runs.groupBy("m").agg(F.count("*").alias("_n")).where("_n > 1"), "anchors")
-    live = materialize(join_by_share(runs, shared, ["m"], "_n", runs.count(), "left_semi"), "runs-shared")
-    release(runs, shared)
-    kinds = materialize(live.groupBy("m", "c").agg(F.count("*").alias("copies"), F.min(F.struct("d", "h", "p", "n")).alias("one")), "contents")
-    copied = join_by_share(live, kinds.where("copies > 1").select("m", "c", "copies"), ["m", "c"], "copies", live.count(), "left_semi")
+    total = runs.count()
+    heavy = [r["m"] for r in runs.groupBy("m").agg(F.count("*").alias("_n")).where(F.col("_n") > total / HEAVY).select("m").collect()]
+    # dealt by anchor once: how often an anchor, a content and its kinds occur needs no further shuffle then
+    of = Window.partitionBy
+    dealt = runs.where(~F.col("m").isin(heavy)) if heavy else runs
+    dealt = dealt.repartition("m").withColumn("_n", F.count("*").over(of("m"))).where("_n > 1")
+    dealt = dealt.withColumns({"copies": F.count("*").over(of("m", "c")), "first": F.row_number().over(of("m", "c").orderBy("d", "h", "p")) == 1})
+    dealt = dealt.withColumn("v", F.sum(F.col("first").cast("long")).over(of("m"))).where("copies > 1 or v > 1")
+    live = materialize(dealt.select("d", "h", "m", "p", "n", "copies", "first", "v"), "runs-shared")
+    copied, pieces = live.where("copies > 1"), live.where("first and v > 1").select("m", "copies", "v", "d", "h", "p", "n")
+    if heavy:
+        # an anchor with a large share of the runs is dealt by content, and a content with a large share is one row
+        hot, name = runs.where(F.col("m").isin(heavy)), F.xxhash64("m", "c")
+        kinds = hot.groupBy("m", "c").agg(F.count("*").alias("copies"), F.min(F.struct("d", "h", "p", "n")).alias("one")).where(F.col("copies") > total / HEAVY)
+        kinds = materialize(kinds.withColumn("name", name), "contents")
+        names = [r["name"] for r in kinds.select("name").collect()]
+        rest = hot.where(~name.isin(names)).repartition("m", "c")
+        rest = materialize(rest.withColumns({"copies": F.count("*").over(of("m", "c")), "first": F.row_number().over(of("m", "c").orderBy("d", "h", "p")) == 1}), "runs-hot")
+        copied = copied.select("d", "h", "p", "n").union(rest.where("copies > 1").select("d", "h", "p", "n")).union(hot.where(name.isin(names)).select("d", "h", "p", "n"))
+        ones = rest.where("first").select("m", "copies", "d", "h", "p", "n").union(kinds.select("m", "copies", "one.*"))
+        variants = ones.groupBy("m").agg(F.count("*").alias("v")).where("v > 1")  # at most HEAVY anchors
+        pieces = pieces.unionByName(ones.join(F.broadcast(variants), "m"))
     spans = [copied.select("d", "h", F.col("p").alias("s"), (F.col("p") + F.col("n") + (window - 1)).alias("e"))]
 
-    variants = materialize(kinds.groupBy("m").agg(F.count("*").alias("v")).where("v > 1"), "variants")
-    pieces = join_by_share(kinds, variants.withColumn("_n", F.col("v")), ["m"], "_n", kinds.count()).select("m", "copies", "v", "one.*")
-
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows, contents = [], []
@@ -181,9 +195,10 @@ def repeated_spans(src: DataFrame, unit: Unit, search: Search, *, key_contents:
     found = src.withColumnsRenamed({"d": "_d", "h": "_h"}).join(wanted, F.col("_d").eqNullSafe(F.col("d")) & F.col("_h").eqNullSafe(F.col("h")))
     texts = found.select("d", "h", "text", *[f"want.{c}" for c in ("m", "copies", "v", "p", "n")]).mapInPandas(read, "d long, h long, m long, copies long, v long, p int, content binary")
     columns = [x.split()[0] for x in PIECES.split(", ")]
-    count, most = variants.agg(F.sum("v"), F.max("v")).first()
-    if (most or 0) > key_contents:
-        texts = materialize(texts, "pieces")
+    texts = materialize(texts, "pieces")
+    if not heavy:
+        release(runs)
+    count, most = texts.agg(F.count("*"), F.max("v")).first()
     ready = [texts.where(F.col("v") <= key_contents).select(*columns, F.col("m").alias("key"))]
     many = texts.where(F.col("v") > key_contents).select(*columns).dropDuplicates(["d", "h", "m", "p"])
     while (most or 0) > key_contents:
