@@ -139,3 +139,73 @@ def test_samples_are_the_smallest_hashes(spark):
     hashed = rows.withColumn("o", F.xxhash64("doc_id")).orderBy("o").collect()
     want = {(r.doc_id, y) for y in (0, 1) for r in [h for h in hashed if h.y == y][:100]}
     assert {(r.doc_id, r.label) for r in got} == want
+
+
+def test_quality_scores_equal_one_feature_after_the_other(spark):
+    docs, labels = corpus(60)
+    d, n = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+    model = op04_quality.train(d, n)
+    got = {(r.doc_id, r.held_out): r.score for r in op04_quality.quality_scores(d, n).collect()}
+    for doc_id, text, *_ in docs[:60] + EDGE[:5]:
+        tokens = (text or "").split()
+        total, count = model.weights[op04_quality.PADDING] * op04_quality.PADDING_TIMES, op04_quality.PADDING_TIMES
+        for t in tokens:
+            for bucket in op04_quality.features([t])[0].tolist():
+                total, count = total + model.weights[bucket], count + 1
+        for a, b in zip(tokens, tokens[1:], strict=False):
+            if a == b:
+                total, count = total + op04_quality.PAIR_TIMES * model.weights[op04_quality.PAIR], count + op04_quality.PAIR_TIMES
+        assert got[doc_id, held(doc_id, 5) == 0] == pytest.approx(1 / (1 + np.exp(-(total / count + model.bias))), abs=1e-9)
+
+
+def test_toxicity_scores_equal_one_text_after_the_other(spark):
+    docs, labels = corpus(120)
+    d, n = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+    model = op06_toxicity.train(d, n)
+    got = {r.doc_id: r.score for r in op06_toxicity.toxicity_scores(d, model).collect()}
+    first, second = model.lexicon
+    for doc_id, text, *_ in docs[:120]:
+        tokens = (text or "").split()
+        found = [op06_toxicity.units(t) for t in tokens]
+        x = op06_toxicity.Features(model.lexicon).of([text])[0]
+        assert (x[0], x[2]) == (sum(bool(u & first) for u in found), sum(bool(u & second) for u in found))
+        assert x[9] == pytest.approx(sum(c.isupper() for t in tokens for c in t) / max(1, sum(c.isalpha() for t in tokens for c in t)))
+        assert got[doc_id] == pytest.approx(float(calibrated(margins(model.trees, x[None, :]), model.curve)[0]), abs=1e-9)
+
+
+def test_lexicon_counts_equal_brute_force(spark):
+    docs, labels = corpus(200)
+    toxic = {i: t for i, _, t, *_ in labels[:200]}
+    rows = [(i, text, toxic[i]) for i, text, *_ in docs[:200] if held(i, 4) != 2]
+    a = [u for _, text, y in rows if y for u in set().union(*(op06_toxicity.units(t) for t in text.split()))]
+    b = [u for _, text, y in rows if not y for u in set().union(*(op06_toxicity.units(t) for t in text.split()))]
+    from collections import Counter
+
+    want = op06_toxicity.learn_lexicon(Counter(a), Counter(b), sum(y for *_, y in rows), sum(not y for *_, y in rows))
+    got = op06_toxicity.train(spark.createDataFrame(docs[:200], DOCS), spark.createDataFrame(labels[:200], LABELS)).lexicon
+    assert got == want and any("zorg" in u for u in got.first | got.second)
+
+
+def test_words_that_differ_late_are_different():
+    long = "x" * 80
+    known = op06_toxicity.Features(op06_toxicity.Lexicon(frozenset({long + "a"}), frozenset()))
+    assert known.of([long + "a", long + "b"])[:, 0].tolist() == [1, 0]
+
+
+def test_languages_equal_sets_of_grams(spark):
+    docs, _ = corpus(150)
+    d = spark.createDataFrame(docs, DOCS)
+    fitted = op10_language.train(d)
+    sets = {}
+    for lang in fitted.languages:
+        own = [text for i, text, where, *_ in docs if where == lang and text is not None and held(i, 3) != 1]
+        counts = {}
+        for text in own:
+            for g in set(op10_language.token_grams(sorted(set(text.split())))[0].tolist()) if text.split() else ():
+                counts[g] = counts.get(g, 0) + 1
+        sets[lang] = {g for g, n in counts.items() if n >= op10_language.LEAST_SHARE * len(own) and n >= (2 if len(own) >= 20 else 1)}
+    got = {r.doc_id: r.lang_pred for r in op10_language.languages_of(d, fitted).collect()}
+    for doc_id, text, *_ in docs[:150]:
+        votes = {lang: sum(g in own for t in text.split() for g in op10_language.token_grams([t])[0].tolist()) for lang, own in sets.items()}
+        best = max(votes.values())
+        assert got[doc_id] in {lang for lang, n in votes.items() if n >= best - 1}
