@@ -674,4 +674,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zone_counts(spark, sf_dir)
 
 
-from velograph.plans import more_queries  # noqa: E402, F401  these build on the ones above
+from velograph.plans import more_queries, upkeep_queries  # noqa: E402, F401  these build on the ones above
