@@ -16,8 +16,14 @@ from velograph.llm.op07_suffix import op7_suffix_dedup
 from velograph.llm.op08_decontaminate import OP8_SQL, op8_decontamination
 from velograph.llm.op09_extend import op9_passage_dedup
 from velograph.llm.op10_language import op10_language_id
+from velograph.llm.op11_divergence import OP11_SQL, op11_source_divergence
+from velograph.llm.op12_balltree import OP12_SQL, op12_centroid_clusters
+from velograph.llm.op13_quantisation import OP13_SQL, op13_embedding_dedup
 
-_ALL = (op1_prefix_forest, op2_token_counts, op3_source_mix, op4_quality, op5_simhash_dedup, op6_toxicity, op7_suffix_dedup, op8_decontamination, op9_passage_dedup, op10_language_id)
+_ALL = (
+    op1_prefix_forest, op2_token_counts, op3_source_mix, op4_quality, op5_simhash_dedup, op6_toxicity, op7_suffix_dedup,
+    op8_decontamination, op9_passage_dedup, op10_language_id, op11_source_divergence, op12_centroid_clusters, op13_embedding_dedup,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +31,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {op3_source_mix.__name__: OP3_SQL, op8_decontamination.__name__: OP8_SQL}
+    return {
+        op3_source_mix.__name__: OP3_SQL,
+        op8_decontamination.__name__: OP8_SQL,
+        op11_source_divergence.__name__: OP11_SQL,
+        op12_centroid_clusters.__name__: OP12_SQL,
+        op13_embedding_dedup.__name__: OP13_SQL,
+    }
