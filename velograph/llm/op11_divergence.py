@@ -95,8 +95,9 @@ def shares(counts: np.ndarray, totals: np.ndarray, prior: int = PRIOR) -> np.nda
     return whole + 1
 
 
-def _tile(pieces: Iterator[pd.DataFrame], prior: int) -> Iterator[tuple[str, str, int]]:
-    """(source, other, sum of differences) of the pairs of one tile; rows come by chunk, the groups' names before all."""
+def _tile(same: bool, pieces: Iterator[pd.DataFrame], prior: int) -> Iterator[tuple[str, str, int]]:
+    """(source, other, sum of differences) of the pairs of one tile, of a block with itself or with another; rows come by
+    chunk, the groups' names before all."""
     heads: list[pd.DataFrame] = []
     sums = place = lengths = totals = waiting = None
     side = []
@@ -110,7 +111,7 @@ def _tile(pieces: Iterator[pd.DataFrame], prior: int) -> Iterator[tuple[str, str
         lengths = names["lengths"].iloc[0]
         one = np.flatnonzero(names["side"].to_numpy() == 0)
         two = np.flatnonzero(names["side"].to_numpy() == 1)
-        side = [one, two if len(two) else one]
+        side = [one, one if same else two]
         sums = np.zeros((len(side[0]), len(side[1])), np.int64)
 
     def add(rows: list[pd.DataFrame], length: int) -> None:
@@ -143,7 +144,6 @@ def _tile(pieces: Iterator[pd.DataFrame], prior: int) -> Iterator[tuple[str, str
         begin()
     until(len(lengths))
     names = pd.concat(heads)["source"].tolist()
-    same = side[0] is side[1]
     for i, a in enumerate(side[0]):
         for j, b in enumerate(side[1]):
             if not same or i < j:
@@ -200,7 +200,7 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, pr
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, pieces in groups(batches, keys):
-            found = [(key[0], *row) for row in _tile(pieces, prior)]
+            found = [(key[0], *row) for row in _tile(key[2] == key[3], pieces, prior)]
             yield pd.DataFrame(found, columns=["lang", "source", "item", "value"]).astype({"value": "int64"})
 
     sums = dealt(tiled, keys, ["at", "side", "g"]).mapInPandas(run, "lang string, source string, item string, value long")
