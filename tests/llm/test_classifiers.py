@@ -97,7 +97,7 @@ def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "a text", None, "s", 0.0, 1)], DOCS)
     none, empty = spark.createDataFrame([], LABELS), spark.createDataFrame([], DOCS)
     assert op04_quality.quality_scores(docs, none).first().score == 0.5
-    assert op06_toxicity.toxicity_scores(docs, op06_toxicity.train(docs, none)).first().score == 0.5
+    assert op06_toxicity.toxicity_scores(docs, op06_toxicity.train(docs, none)).first().score == 0
     assert op10_language.languages_of(docs, op10_language.train(docs)).first().lang_pred == "und"
     assert op04_quality.quality_scores(empty, none).count() == op06_toxicity.toxicity_scores(empty, op06_toxicity.train(empty, none)).count() == op10_language.languages_of(empty, op10_language.train(empty)).count() == 0
 
@@ -173,7 +173,7 @@ def test_toxicity_scores_equal_one_text_after_the_other(spark):
         assert got[doc_id] == pytest.approx(float(calibrated(margins(model.trees, x[None, :]), model.curve)[0]), abs=1e-9)
 
 
-def test_lexicon_counts_equal_brute_force(spark):
+def test_lexicon_counts_equal_brute_force(spark, monkeypatch):
     docs, labels = corpus(200)
     toxic = {i: t for i, _, t, *_ in labels[:200]}
     rows = [(i, text, toxic[i]) for i, text, *_ in docs[:200] if held(i, 4) != 2]
@@ -181,7 +181,8 @@ def test_lexicon_counts_equal_brute_force(spark):
     b = [u for _, text, y in rows if not y for u in set().union(*(op06_toxicity.units(t) for t in text.split()))]
     from collections import Counter
 
-    want = op06_toxicity.learn_lexicon(Counter(a), Counter(b), sum(y for *_, y in rows), sum(not y for *_, y in rows))
+    want = op06_toxicity.learn_lexicon(Counter(a), Counter(b), sum(y for *_, y in rows), sum(not y for *_, y in rows), op06_toxicity.SETTINGS[1])
+    monkeypatch.setattr(op06_toxicity, "SETTINGS", op06_toxicity.SETTINGS[1:2])
     got = op06_toxicity.train(spark.createDataFrame(docs[:200], DOCS), spark.createDataFrame(labels[:200], LABELS)).lexicon
     assert got == want and any("zorg" in u for u in got.first | got.second)
 
@@ -209,3 +210,55 @@ def test_languages_equal_sets_of_grams(spark):
         votes = {lang: sum(g in own for t in text.split() for g in op10_language.token_grams([t])[0].tolist()) for lang, own in sets.items()}
         best = max(votes.values())
         assert got[doc_id] in {lang for lang, n in votes.items() if n >= best - 1}
+
+
+@pytest.mark.parametrize("labelled", [[], [0] * 40, [1] * 40, [0, 1, 1, 1, 1, 1], [0, 1] * 20])
+def test_nothing_learned_rejects_nothing(spark, labelled):
+    """No labels, one class, too few of them, or texts that labels have nothing to do with."""
+    docs = spark.createDataFrame([(i, "same words in every text", None, "s", 0.0, 1) for i in range(60)], DOCS)
+    labels = spark.createDataFrame([(i, 1, y, "x") for i, y in enumerate(labelled)], LABELS)
+    model = op06_toxicity.train(docs, labels)
+    assert op06_toxicity.drop_toxic(docs, model).count() == 60
+    assert {(r.score, r.predicted) for r in op06_toxicity.toxicity_scores(docs, model).collect()} == {(0.0, 0)}
+
+
+def test_held_out_labels_change_nothing(spark):
+    """The model is the same whatever the labels of held-out documents say: settings are chosen by the others."""
+    docs, labels = corpus(200)
+    other = [(i, q, 1 - t if held(i, 4) == 2 else t, *rest) for i, q, t, *rest in labels]
+    d = spark.createDataFrame(docs, DOCS)
+    one, two = (op06_toxicity.train(d, spark.createDataFrame(x, LABELS)) for x in (labels, other))
+    assert one.lexicon == two.lexicon and all((a == b).all() for a, b in zip(one.trees[:3], two.trees[:3], strict=True))
+    assert (one.curve[0] == two.curve[0]).all() and (one.curve[1] == two.curve[1]).all()
+
+
+def test_trees_equal_plain_ones():
+    """Against a trainer that tries every bound of every feature in loops."""
+    rng = np.random.default_rng(7)
+    x, rate, shrink, least = rng.integers(0, 6, size=(120, 3)).astype(float), 0.3, 1.0, 5
+    y = ((x[:, 0] > 2) ^ (x[:, 1] > 3)).astype(float)
+    got = margins(fit_trees(x, y, trees=4, depth=2, rate=rate, shrink=shrink, least=least), x)
+    share = (y.sum() + 0.5) / (len(y) + 1)
+    score = np.full(len(y), np.log(share / (1 - share)))
+    for _ in range(4):
+        p = 1 / (1 + np.exp(-score))
+        g, h = p - y, p * (1 - p)
+
+        def grow(rows, depth):
+            best = (1e-6, None)
+            if depth < 2 and len(rows) >= 2 * least:
+                for f in range(3):
+                    for bound in sorted(set(x[:, f]))[:-1]:
+                        left, right = rows[x[rows, f] <= bound], rows[x[rows, f] > bound]
+                        if min(len(left), len(right)) >= least:
+                            gain = sum(g[r].sum() ** 2 / (h[r].sum() + shrink) for r in (left, right)) - g[rows].sum() ** 2 / (h[rows].sum() + shrink)
+                            if gain > best[0] + 1e-12:
+                                best = (gain, (left, right))
+            if best[1] is None:
+                score[rows] += -rate * g[rows].sum() / (h[rows].sum() + shrink)
+            else:
+                for side in best[1]:
+                    grow(side, depth + 1)
+
+        grow(np.arange(len(y)), 0)
+    assert np.allclose(got, score)

@@ -31,8 +31,17 @@ from velograph.plans.materialize import materialize, release
 
 #: Labelled documents of a class that are learned from, at most.  They bound the lexicon, which has no size of its own.
 PER_CLASS = 4_000
-#: Bounds of the log ratio from which a unit is in the first tier, or the second.
-BOUNDS, ERRORS = (2.0, 1.0), 2.6
+class Setting(NamedTuple):
+    """How a lexicon is learned: bounds of the log ratio from which a unit is in the first tier or the second, the standard
+    errors that are taken off before, and the least toxic documents that have a unit."""
+
+    bounds: tuple[float, float]
+    errors: float
+    least: int
+
+
+#: The settings tried; the one with the least cross-fitted loss on the learning rows is used.
+SETTINGS = (Setting((2.0, 1.0), 2.6, 4), Setting((1.5, 0.5), 2.0, 4), Setting((1.0, 0.25), 2.0, 3))
 #: Lengths of word beginnings that can be entries.
 STEMS = (4, 5, 6)
 #: Words on either side in which a pronoun counts as near.
@@ -40,6 +49,8 @@ NEAR = 5
 #: Parts of the sample for cross-fitting.
 FOLDS = 4
 THRESHOLD = 0.3
+#: The curve of a model that has learned nothing.
+NOTHING = (np.zeros(1), np.zeros(1))
 MODULUS, HELD = 4, 2
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine euch ihr sie tu te toi ton ta vous votre vos tú ti usted ustedes vosotros".split())
 _WORD = re.compile(r"[^\W\d_]+")
@@ -71,19 +82,19 @@ def units(token: str) -> set[str]:
     return out
 
 
-def learn_lexicon(toxic: Counter, other: Counter, n_toxic: int, n_other: int) -> Lexicon:
-    """Tiers by the lower bound of the log ratio of document shares, ``ERRORS`` standard errors down."""
+def learn_lexicon(toxic: Counter, other: Counter, n_toxic: int, n_other: int, setting: Setting) -> Lexicon:
+    """Tiers by the lower bound of the log ratio of document shares."""
     scored = []
     for unit, a in toxic.items():
         b = other.get(unit, 0)
-        if a < 4:
+        if a < setting.least:
             continue
         ratio = np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_other + 1))
-        bound = ratio - ERRORS * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) - 1 / (n_toxic + 1) - 1 / (n_other + 1))
-        if bound > BOUNDS[1]:
+        bound = ratio - setting.errors * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) - 1 / (n_toxic + 1) - 1 / (n_other + 1))
+        if bound > setting.bounds[1]:
             scored.append((-bound, -a, unit))
     names = [u for *_, u in sorted(scored)]
-    cut = sum(-s > BOUNDS[0] for s, *_ in scored)
+    cut = sum(-s > setting.bounds[0] for s, *_ in scored)
     return Lexicon(frozenset(names[:cut]), frozenset(names[cut:]))
 
 
@@ -228,8 +239,12 @@ def _fold(doc_id: int) -> int:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """A model of ``labels.toxic``, from at most ``per_class`` documents a class whose ids are not held out.
 
-    The sample is written once and read twice.  What comes to the driver is bounded by it: counts of units found in four
-    toxic documents or more, then a row of features for each sampled document.
+    The sample is written once and read twice.  What comes to the driver is bounded by it: counts of units found in
+    ``least`` toxic documents or more, then a row of features for each sampled document and setting.  Of the settings the
+    one is used whose trees, grown without a document's fold, have the least loss on it; held-out labels play no part.
+
+    Where there is nothing to learn from, as without labels, with labels of one class, or too few for a single split, no
+    document is known to be toxic and all scores are 0.
     """
     sample = materialize(labelled_sample(docs, labels, "toxic", MODULUS, HELD, per_class), "toxic-sample")
 
@@ -242,31 +257,49 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     parts = sample.mapInPandas(count, "unit string, fold int, a long, b long").groupBy("unit").agg(
         F.sum("a").alias("total"), *[F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in range(FOLDS) for c in "ab"]
     )
-    seen = parts.where("total >= 4 or unit = ''").toPandas().sort_values("unit").set_index("unit")
+    least = min(s.least for s in SETTINGS)
+    seen = parts.where((F.col("total") >= least) | (F.col("unit") == "")).toPandas().sort_values("unit").set_index("unit")
 
-    def lexicon_without(fold: int | None) -> Lexicon:
+    def lexicon_without(fold: int | None, setting: Setting) -> Lexicon:
         a, b = (sum(seen[f"{c}{k}"] for k in range(FOLDS) if k != fold) for c in "ab")
-        return learn_lexicon(Counter(a.to_dict()), Counter(b.to_dict()), int(a.get("", 0)), int(b.get("", 0)))
+        return learn_lexicon(Counter(a.drop("", errors="ignore").to_dict()), Counter(b.to_dict()), int(a.get("", 0)), int(b.get("", 0)), setting)
 
-    lexicons = [lexicon_without(k) for k in range(FOLDS)]
+    lexicons = [[lexicon_without(k, s) for k in range(FOLDS)] for s in SETTINGS]
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = [Features(x) for x in lexicons]
+        own = [[Features(x) for x in folds] for folds in lexicons]
         for batch in batches:
-            folds = batch["doc_id"].map(_fold)
-            for k, part in batch.groupby(folds):
-                yield pd.DataFrame({"doc_id": part["doc_id"], "label": part["label"].astype("int32"), "x": list(own[k].of(part["text"].tolist()))})
+            for k, part in batch.groupby(batch["doc_id"].map(_fold)):
+                x = np.concatenate([folds[k].of(part["text"].tolist()) for folds in own], axis=1)
+                yield pd.DataFrame({"doc_id": part["doc_id"], "label": part["label"].astype("int32"), "x": list(x)})
 
-    rows = sample.mapInPandas(describe, "doc_id long, label int, x array<double>").toPandas().sort_values(["doc_id", "label"], kind="stable")
-    x = np.stack(rows["x"].tolist()) if len(rows) else np.zeros((0, FEATURES))
+    rows = sample.mapInPandas(describe, "doc_id long, label int, x array<double>").toPandas()
     release(sample)
+    if rows["label"].nunique() < 2:
+        return Model(Lexicon(frozenset(), frozenset()), fit_trees(np.zeros((0, FEATURES)), np.zeros(0)), NOTHING)
+    # equal ids are ordered by their features, so that the fit does not depend on the order of rows
+    rows = rows.assign(_x=rows["x"].map(tuple)).sort_values(["doc_id", "label", "_x"], kind="stable")
+    every = np.stack(rows["x"].tolist()).reshape(len(rows), len(SETTINGS), FEATURES)
     y, fold = rows["label"].to_numpy(float), np.array([_fold(d) for d in rows["doc_id"]], int)
-    margin = np.zeros(len(y))
-    for k in range(FOLDS):
-        margin[fold == k] = margins(fit_trees(x[fold != k], y[fold != k]), x[fold == k])
+    tried = [_crossed(every[:, i], y, fold) for i in range(len(SETTINGS))]
+    best = int(np.argmin([_loss(margin, y) for margin in tried]))
+    trees = fit_trees(every[:, best], y)
+    if (trees.feature < 0).all():
+        return Model(Lexicon(frozenset(), frozenset()), trees, NOTHING)
     share = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_remainder(F.col("doc_id"), MODULUS) != HELD)).agg(F.avg("toxic")).first()[0]
-    curve = fit_isotonic(margin, y, _weights(y, share))
-    return Model(lexicon_without(None), fit_trees(x, y), curve)
+    return Model(lexicon_without(None, SETTINGS[best]), trees, fit_isotonic(tried[best], y, _weights(y, share)))
+
+
+def _crossed(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """Margins of trees grown without the row's fold."""
+    out = np.zeros(len(y))
+    for k in np.unique(fold):
+        out[fold == k] = margins(fit_trees(x[fold != k], y[fold != k]), x[fold == k])
+    return out
+
+
+def _loss(margin: np.ndarray, y: np.ndarray) -> float:
+    return float(np.logaddexp(0, np.where(y == 1, -margin, margin)).mean())
 
 
 def _weights(y: np.ndarray, share: float | None) -> np.ndarray:
@@ -282,7 +315,8 @@ def toxicity_scores(docs: DataFrame, fitted: Model, threshold: float = THRESHOLD
 
     Null, empty and blank texts have all features zero and a score like any other.  Texts and words count whole, however
     long.  Equal texts have equal scores.  Ids may be null (hashed as the
-    empty string) or repeated.  Without labels to learn from, all scores are 0.5.  An empty table gives an empty result.
+    empty string) or repeated.  Where ``train`` had nothing to
+    learn from, all scores are 0.  An empty table gives an empty result.
     """
     model = docs.sparkSession.sparkContext.broadcast(fitted)
 
@@ -300,8 +334,8 @@ def toxicity_scores(docs: DataFrame, fitted: Model, threshold: float = THRESHOLD
 def drop_toxic(docs: DataFrame, fitted: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose text scores under ``threshold``, all columns kept; one pass and no shuffle.
 
-    The text alone decides: a null text scores as an empty one, repeated rows stay or go together, ids do not matter.  An
-    empty table gives an empty result.
+    The text alone decides: a null text scores as an empty one, repeated rows stay or go together, ids do not matter.  Where
+    ``train`` had nothing to learn from, all rows stay.  An empty table gives an empty result.
     """
     model = docs.sparkSession.sparkContext.broadcast(fitted)
 
