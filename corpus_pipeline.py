@@ -21,7 +21,8 @@ TOXIC = op06_toxicity.THRESHOLD
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, fitted on the labelled ones among ``docs``, does not reject.
 
-    The whole text decides, however long; a null one counts as empty.  Repeated rows stay or go together.
+    The whole text decides, however long; a null one counts as empty.  Repeated rows stay or go together.  Without labels
+    to learn from (none, one class only, or too few of a class) no document is rejected.
     """
     return op06_toxicity.drop_toxic(docs, op06_toxicity.train(docs, table(spark, sf_dir, "labels")), TOXIC)
 
