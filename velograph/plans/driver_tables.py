@@ -22,15 +22,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """run_id, track_id, frame_index, pos, t, bbox, class_name, confidence, vehicle_index, value, props."""
+def observations(spark: SparkSession, sf_dir: str, runs: int | None = None) -> DataFrame:
+    """run_id, track_id, frame_index, pos, t, bbox, class_name, confidence, vehicle_index, value, props.
+
+    All are one run, or with ``runs`` a track is in the run of its remainder.
+    """
     e = read(spark, sf_dir, "events")
     i, u = F.col("event_id"), F.col("user_id")
     x, y = (u * 137 + i * 3) % 800, (u * 71 + i * 5) % 500
     b = boxes.box(x, y, x + 60 + (i * 7) % 200, y + 40 + (i * 11) % 120)
     t = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz")) / F.lit(3.6e9)
     return e.select(
-        F.lit("r").alias("run_id"), u.alias("track_id"), F.floor(t * 10).alias("frame_index"), i.alias("pos"), t.alias("t"), b.alias("bbox"), F.col("event_type").alias("class_name"),
+        (F.lit("r") if runs is None else (u % runs).cast("string")).alias("run_id"), u.alias("track_id"), F.floor(t * 10).alias("frame_index"), i.alias("pos"), t.alias("t"), b.alias("bbox"), F.col("event_type").alias("class_name"),
         ((i % 100) / 100.0).alias("confidence"), F.when(u % 3 != 0, u % 50).alias("vehicle_index"), "value", "props",
     )
 

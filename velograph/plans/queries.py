@@ -546,7 +546,7 @@ def kept_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def associated_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracker.associate(observations(spark, sf_dir).withColumn("run_id", F.col("class_name"))).select("run_id", "pos", "track_id")
+    return tracker.associate(observations(spark, sf_dir, 64)).select("run_id", "pos", "track_id")
 
 
 @query(f"""WITH {OBSERVATIONS}, {_ENDS},
@@ -674,4 +674,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zone_counts(spark, sf_dir)
 
 
-from velograph.plans import more_queries, upkeep_queries  # noqa: E402, F401  these build on the ones above
+from velograph.plans import more_queries, stream_queries, upkeep_queries  # noqa: E402, F401  these build on the ones above

@@ -87,6 +87,23 @@ def run_once(table: DataFrame, operator: Callable[[DataFrame], DataFrame], name:
     return spark.read.schema(made.schema).parquet(out)
 
 
+def run_in_parts(parts: list[DataFrame], operator: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Tables taken through an operator on streams one after the other, each by a query of its own that starts from the
+    state the last one left.  State is kept in RocksDB, with its checkpoints in the shared folder."""
+    spark = parts[0].sparkSession
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    key, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for part in parts:
+            part.select(parts[0].columns).write.mode("append").parquet(f"{at}-in")
+            made = operator(spark.readStream.schema(parts[0].schema).parquet(f"{at}-in"))
+            made.writeStream.format("parquet").option("checkpointLocation", f"{at}-state").trigger(availableNow=True).start(at).awaitTermination()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    return spark.read.schema(made.schema).parquet(at)
+
+
 def windowed_counts(rows: DataFrame, time: str = "ts", window: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """(window_start, class_name, n) of tumbling or sliding windows over a stream, late rows up to ``late`` included."""
     w = F.window(time, window, slide) if slide else F.window(time, window)
