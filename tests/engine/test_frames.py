@@ -164,7 +164,7 @@ def test_memory_forgets_and_is_bounded():
 def test_tracks_are_closed_by_event_time(spark, tmp_path):
     rows = [("a", f, f, f / 10, float(k * 300), 100.0, k * 300 + 120.0, 180.0, k + 1) for k in range(2) for f in (range(5) if k else range(80))]
     given = spark.createDataFrame(rows, "run_id string, frame_index long, pos long, t double, x1 double, y1 double, x2 double, y2 double, track_id long")
-    given = given.withColumn("ts", F.timestamp_millis((F.col("t") * 1000).cast("long")))
+    given = given.withColumn("ts", F.timestamp_millis((F.col("t") * 1000).cast("long") + 10_000))
     run = lambda rows: frame_loop(rows.withWatermark("ts", "1 second"), Settings(after=None), ttl_ms=2000)
     out = run_in_parts([given.where("frame_index < 10"), given.where("frame_index between 10 and 30"), given.where("frame_index between 31 and 59"), given.where("frame_index > 59")], run, "test-ttl")
     assert [(r.track_id, r.frames_seen, r.last_frame) for r in rows_of(out, "track").collect()] == [(2, 5, 4)]
