@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velograph.llm.tables import table
+from velograph.plans.materialize import materialize
 
 WINDOW, SUBSTITUTED = 13, 2
 SEEDED = 9
@@ -30,16 +31,21 @@ BROADCAST_TOKENS = 250_000
 #: Tokens of a block of a larger benchmark whose bare seeds are broadcast, a pass over the documents for each block;
 #: only the places that they let through are then shuffled.
 BLOCK_TOKENS = 1_000_000
+#: Hashes of contaminated texts, 8 bytes each, that are broadcast at most.
+BROADCAST_HASHES = 2_000_000
 #: Scripts without spaces between words (Thai, Lao, Myanmar, Khmer, kana, Han) as ranges that Java and RE2 both read.
 UNSPACED = r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
 
 
-def tokens(text: Column) -> Column:
-    """Hashes of the lower-cased tokens of a text; none for a null text."""
-    text = F.lower(F.coalesce(text, F.lit("")))
-    # one range tells most texts to have no such script, which is much faster than to look for each
-    spaced = F.when(text.rlike(r"[\x{0E00}-\x{3FFFF}]"), F.regexp_replace(text, f"([{UNSPACED}])", " $1 ")).otherwise(text)
-    return F.transform(F.filter(F.split(spaced, r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+def tokenized(rows: DataFrame, kept: str) -> DataFrame:
+    """(kept, t): hashes of the lower-cased tokens of each text; none for a null text."""
+    # lower case is a column of its own, so that Spark does not work it out for each place that reads it
+    low = rows.select(kept, F.lower(F.coalesce("text", F.lit(""))).alias("_low"))
+    text = F.col("_low")
+    # a text of as many bytes as characters has no such script, and one range tells most others
+    wide = (F.octet_length(text) != F.length(text)) & text.rlike(r"[\x{0E00}-\x{3FFFF}]")
+    spaced = F.when(wide, F.regexp_replace(text, f"([{UNSPACED}])", " $1 ")).otherwise(text)
+    return low.select(kept, F.transform(F.filter(F.split(spaced, r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("t"))
 
 
 def _seeds(rows: DataFrame, kept: str) -> DataFrame:
@@ -86,7 +92,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, broadcast_tokens: int
     empty texts match nothing, and texts count whole, however long.  Rows with a repeated or null doc_id give one row
     for each item together.  An empty table on either side gives an empty result.  Other columns are ignored.
     """
-    every = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("t"))
+    every = tokenized(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), "item_id")
     items = every.where(F.size("t") >= SEEDED)
     # of an item, the tokens of every window that may hold the seed: at most WINDOW - 1 on either side of its first
     lead = F.least(F.col("pos"), F.lit(WINDOW - 1))
@@ -95,7 +101,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, broadcast_tokens: int
     known = known.groupBy("mask", "seed", "lead", "window", "it").agg(F.collect_set("item_id").alias("items"))
     size = items.agg(F.sum(F.size("t"))).first()[0] or 0
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("t"))
+    own = tokenized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
     seeds = _seeds(own, "doc_id").select("doc_id", "mask", "seed", "around")
     if size <= broadcast_tokens:
         hits = seeds.join(F.broadcast(known), ["mask", "seed"])
@@ -115,15 +121,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, broadcast_tokens: int
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text meets no item, all columns kept.
+    """The rows of ``docs`` whose text meets no item, by the rule of ``contaminated``, all columns kept.
 
-    Items under ``SEEDED`` tokens are left out here, as a few common words in a row do not tell a text to come from one.
-    A row is known by a hash of its text, which alone decides, so null or repeated ids take no other row along, and
-    repeated rows stay or go together.  Null and empty texts stay; an empty table on either side drops nothing.
+    Items of any length count, short ones as a whole and exactly.  A row is known by a hash of its text, which alone
+    decides, so null or repeated ids take no other row along, and repeated rows stay or go together.  Null and empty texts
+    stay; an empty table on either side drops nothing.  The hashes of contaminated texts are written and broadcast to the
+    documents, which then stay where they are, up to ``BROADCAST_HASHES``; more are joined by a shuffle.
     """
-    long = benchmark.where(F.size(tokens(F.col("text"))) >= SEEDED)
-    bad = contaminated(docs.select(F.xxhash64("text").alias("doc_id"), "text"), long).select(F.col("doc_id").alias("_velograph_bad")).distinct()
-    return docs.join(bad, F.xxhash64(docs["text"]) == F.col("_velograph_bad"), "left_anti")
+    bad = contaminated(docs.select(F.xxhash64("text").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_velograph_bad")).distinct()
+    bad = materialize(bad, "contaminated")
+    side = F.broadcast(bad) if bad.count() <= BROADCAST_HASHES else bad.hint("merge")
+    return docs.join(side, F.xxhash64(docs["text"]) == F.col("_velograph_bad"), "left_anti")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
