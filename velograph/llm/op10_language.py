@@ -23,10 +23,10 @@ from velograph.llm.token_sums import TokenSums, codes_of, grams
 from velograph.plans.materialize import materialize
 
 SIZES, HASHES = (2, 3, 4), 3
-#: Slots are a power of two, so many for each n-gram of the largest language or more, within these powers.
-SLOTS_A_GRAM, SLOT_BITS = 16, (19, 21)
-#: Documents of a language that are learned from, at most, and the share of them that an n-gram must be in.
-PER_LANGUAGE, LEAST_SHARE = 500, 0.1
+#: Slots are a power of two, at least so many for each n-gram of the largest language and this power in all.
+SLOTS_A_GRAM, LEAST_BITS = 16, 19
+#: Documents of a language that are learned from, at most.
+PER_LANGUAGE = 500
 UNKNOWN = "und"
 MODULUS, HELD = 3, 1
 
@@ -52,14 +52,16 @@ def token_grams(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def slots(hashes: np.ndarray, count: int) -> Iterator[np.ndarray]:
-    """The ``HASHES`` slots, of ``count`` (a power of two), of each hash."""
+    """The ``HASHES`` slots, of ``count`` (a power of two of any size), of each hash: one half and an odd step of the other."""
+    step = (hashes >> np.uint64(32)) | np.uint64(1)
     for k in range(HASHES):
-        yield ((hashes >> np.uint64(k * 21)) & np.uint64(count - 1)).astype(np.int64)
+        with np.errstate(over="ignore"):
+            yield ((hashes + np.uint64(k) * step) & np.uint64(count - 1)).astype(np.int64)
 
 
 def build(languages: list[str], found: dict[str, np.ndarray], usual: str | None) -> Filter:
     most = SLOTS_A_GRAM * max(map(len, found.values()), default=1)
-    masks = np.zeros((1 << min(max((most - 1).bit_length(), SLOT_BITS[0]), SLOT_BITS[1]), max(1, -(-len(languages) // 64))), np.uint64)
+    masks = np.zeros((1 << max((most - 1).bit_length(), LEAST_BITS), max(1, -(-len(languages) // 64))), np.uint64)
     rate = np.zeros(len(languages))
     for i, name in enumerate(languages):
         for s in slots(found.get(name, np.empty(0, np.uint64)), len(masks)):
@@ -68,11 +70,11 @@ def build(languages: list[str], found: dict[str, np.ndarray], usual: str | None)
     return Filter(languages, masks, rate, languages.index(usual) if usual else 0)
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, least_share: float = LEAST_SHARE) -> Filter:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filter:
     """The filter of the languages in ``docs`` (doc_id, text, lang), from documents whose ids are not held out.
 
-    At most ``per_language`` documents of a language are read; all n-grams that are in ``least_share`` of these, and in two
-    where there are many, are its own, whichever other languages they are also in.  What comes to the driver is bounded by
+    At most ``per_language`` documents of a language are read; all their n-grams, but those of a single document where there
+    are 20 or more, are its own, whichever other languages they are also in.  What comes to the driver is bounded by
     the sample.  The table is read twice: for (doc_id, lang), which are written, and for the texts of the sample.
     """
     doc_id = F.col("doc_id").cast("long")
@@ -95,7 +97,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, least_share: float
 
     seen = sample.mapInPandas(run, "lang string, g long").groupBy("lang", "g").agg(F.count("*").alias("n"))
     sampled = F.element_at(F.create_map(*[x for name, n in counts.items() for x in (F.lit(name), F.lit(float(min(n, per_language))))]), F.col("lang"))
-    kept = seen.where((F.col("n") >= least_share * sampled) & (F.col("n") >= F.when(sampled >= 20, 2).otherwise(1)))
+    kept = seen.where(F.col("n") >= F.when(sampled >= 20, 2).otherwise(1))
     rows = kept.select("lang", "g").toPandas()
     found = {name: part["g"].to_numpy(np.int64).view(np.uint64) for name, part in rows.groupby("lang")}
     return build(languages, found, min(languages, key=lambda name: (-counts[name], name)))
