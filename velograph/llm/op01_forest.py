@@ -36,7 +36,8 @@ TREES = 24
 SAMPLE = 2_000
 #: Levels above the shards' that a query's search distinguishes; deeper strings count as this deep.
 LEVELS = 20
-SHARD_ROWS = 16_384
+#: Vectors of a shard at most, and bytes of them, whichever is less.
+SHARD_ROWS, SHARD_BYTES = 16_384, 32 << 20
 EVERY = 100
 #: Queries whose recall is measured, and the recall that they need: 0.9 and a margin for the sample's error.
 PROBES, TARGET, GROWTH = 128, 0.93, 1.2
@@ -215,7 +216,7 @@ def _searched(index: DataFrame, asking: DataFrame, base: int, wanted: int, k: in
         return every.withColumn("prefix", F.shiftright("hash", BITS - base) if base else F.lit(0).cast("long"))
 
     shard = ["dim", "tree", "prefix"]
-    parts = placed(index).groupBy(*shard).agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("parts"))
+    parts = placed(index).groupBy(*shard).agg(F.ceil(F.greatest(F.count("*") / shard_rows, F.count("*") * F.col("dim") * int(kind[-1]) / SHARD_BYTES)).cast("int").alias("parts"))
     parts = materialize(parts, "shards")
     strings = placed(index, "c1", "c2", "v", "ids").join(parts, shard).withColumn("salt", F.pmod(F.col("c1"), F.col("parts")).cast("int")).drop("parts")
     spread = lambda some: some.join(parts, shard).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")

@@ -75,7 +75,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEE
     Null texts have size 0, and texts count whole.  Repeated rows are documents of their own; ids may be null.  An empty
     table gives an empty result, and a source without words takes nothing.
     """
-    digest = F.md5(F.concat_ws("|", F.col("doc_id").cast("long").cast("string"), F.coalesce("text", F.lit(""))).cast("binary"))
+    digest = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).cast("binary"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), digest.alias("digest"))
     rows = materialize(rows, "sizes")  # the texts are read once
     total = rows.count()
@@ -115,7 +115,7 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = rf"""
 WITH rows AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(concat_ws('|', CAST(doc_id AS VARCHAR), coalesce(text, ''))) AS digest FROM documents),
+         md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(text, ''))) AS digest FROM documents),
 salts AS (
   SELECT greatest({SALTS}, (count(*) + {SALT_ROWS - 1}) // {SALT_ROWS}) AS n FROM documents),
 sizes AS (
