@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Keys with more than one in so many of all rows are broadcast; there are fewer than this of them.
+#: Keys with more than one in so many of all rows, or in as many as a shuffle has partitions if these are more, are
+#: broadcast; there are fewer than this of them.
 HEAVY = 500
 
 
@@ -37,12 +38,13 @@ def asof(left: DataFrame, right: DataFrame, time: str, keys: list[str], columns:
 def join_by_share(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
     """``rows`` joined on ``on`` with ``keyed``, which has one row for each key and in ``count`` its number in ``rows``.
 
-    Fewer than ``HEAVY`` keys can have more than one in ``HEAVY`` of all ``total`` rows each, so those keys, found by a
-    job over ``keyed``, are broadcast and their rows stay where they are; the others meet in a shuffle join in which no
-    key is large.  ``keyed`` is read up to three times and had better be a table.
+    Fewer than n keys can have more than one in n of all ``total`` rows each, so those keys, found by a job over ``keyed``,
+    are broadcast and their rows stay where they are; the others meet in a shuffle join in which no key has more than a
+    partition's usual share.  ``keyed`` is read up to three times and had better be a table.
     """
+    parts = max(HEAVY, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     name = lambda side: F.xxhash64(*[side[k] for k in on])
-    heavy = [r[0] for r in keyed.where(F.col(count) > total / HEAVY).select(name(keyed)).distinct().collect()]
+    heavy = [r[0] for r in keyed.where(F.col(count) > total / parts).select(name(keyed)).distinct().collect()]
     if not heavy:
         return rows.join(keyed.drop(count), on, how)
     inside = rows.where(name(rows).isin(heavy)).join(F.broadcast(keyed.where(name(keyed).isin(heavy)).drop(count)), on, how)
