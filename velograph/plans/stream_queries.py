@@ -1,15 +1,22 @@
-"""Queries of the operators with state over frames, and the SQL that windows over the whole table give for the same."""
+"""Queries of the operators with state over frames and of services behind a store of answers, with SQL over whole tables."""
 
 from __future__ import annotations
 
+import json
+import uuid
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velograph.functions import boxes
 from velograph.operators import filters
+from velograph.operators.recognition import recognized
 from velograph.plans.driver_tables import HEIGHT, LINE, OBSERVATIONS, WIDTH, ZONE, observations, polygon_sql
-from velograph.plans.queries import width
+from velograph.plans.materialize import shared_dir
+from velograph.plans.queries import r6, read, width
 from velograph.plans.registry import query
+from velograph.sources.answers import Folder, answered
 from velograph.streaming.counting import run_in_parts
 from velograph.streaming.frames import Settings, frame_loop, rows_of
 from velograph.streaming.memory import Limits
@@ -94,3 +101,49 @@ def live_takeovers(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = SETTINGS._replace(tracker={"start": 0.5, "lost": 30, "fps": 0.5}, limits=Limits(gap=60.0, pixel_speed=1.0), after=None)
     rows = frames(spark, sf_dir).drop("track_id").where("not flagged")
     return rows_of(run_in_parts(in_thirds(rows), lambda rows: frame_loop(rows, settings), "takeovers"), "rescue")
+
+
+def _store(spark: SparkSession) -> Folder:
+    return Folder(f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}")
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS key, c_custkey % 2 = 1 OR c_custkey % 7 = 0 AS asked, CASE WHEN c_custkey % 2 = 1 OR c_custkey % 7 = 0 THEN 'second ' ELSE 'first ' END || c_custkey AS body FROM customer""")
+def asked_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second job asks for what the first did not, and again for what must not come from the store."""
+    key = F.col("c_custkey").cast("string").alias("key")
+    own = read(spark, sf_dir, "customer").select(key, (F.col("c_custkey") % 7 != 0).alias("allow_cache"))
+    store = _store(spark)
+    answered(own.where("key % 2 = 0"), lambda rows: [f"first {k}" for k in rows["key"]], store)
+    twice = own.unionByName(own.withColumn("allow_cache", F.lit(True)))
+    return answered(twice, lambda rows: [f"second {k}" for k in rows["key"]], store)
+
+
+def plates(rows: pd.DataFrame) -> list[str]:
+    """A service by rule: a user for each cell, but in composites of several none where the digest's first byte is a
+    multiple of five."""
+    out = []
+    for cells in rows["cells"]:
+        users = []
+        for c in cells:
+            first = int(c["image_sha256"][:2], 16)
+            if len(cells) == 1 or first % 5:
+                p = c["placed"]
+                users.append({"x1": p["x1"], "y1": p["y1"], "x2": (p["x1"] + p["x2"]) / 2, "y2": p["y2"], "confidence": 0.9, "make": f"make {first % 16}", "make_confidence": first / 256, "model": f"model {first}", "model_confidence": 0.5})
+        out.append(json.dumps(users))
+    return out
+
+
+@query("""WITH p AS (SELECT *, p_size % 3 AS run, sha256(CAST(p_partkey AS VARCHAR)) AS sha FROM part),
+o AS (SELECT *, (row_number() OVER (PARTITION BY run ORDER BY p_partkey) - 1) // 16 AS chunk, CAST('0x' || substr(sha, 1, 2) AS INTEGER) AS b FROM p WHERE p_size % 4 <> 0),
+n AS (SELECT *, count(*) OVER (PARTITION BY run, chunk) AS n FROM o)
+SELECT CAST(run AS VARCHAR) AS run_id, p_partkey AS crop_id, CASE WHEN b % 5 = 0 AND n > 1 THEN 'single' ELSE 'batch' END AS via, true AS asked, 'make ' || (b % 16) AS make, b / 256.0::DOUBLE >= 0.5 AS accepted, round((40 + p_partkey % 60) / 2.0::DOUBLE, 6) AS found_x2 FROM n
+UNION ALL SELECT CAST(run AS VARCHAR), p_partkey, 'record', false, 'known', true, NULL FROM p WHERE p_size % 4 = 0""")
+def recognized_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = read(spark, sf_dir, "part")
+    key = F.col("p_partkey")
+    own = part.select((F.col("p_size") % 3).cast("string").alias("run_id"), key.alias("crop_id"), F.sha2(key.cast("string"), 256).alias("image_sha256"), (40 + key % 60).cast("double").alias("width"), F.lit(40.0).alias("height"), "p_size")
+    none = lambda kind: F.lit(None).cast(kind)
+    known = F.struct(F.lit("known").alias("make"), F.lit(0.9).alias("make_confidence"), F.lit("m").alias("model"), F.lit(0.9).alias("model_confidence"), none("struct<x1:double,y1:double,x2:double,y2:double>").alias("detection_box"), none("double").alias("detection_confidence"), F.lit("human").alias("evidence_source"), F.lit("retrieval").alias("resolution_method"))
+    lookups = own.select("run_id", "crop_id", F.when(F.col("p_size") % 4 == 0, known).alias("result"), F.when(F.col("p_size") % 4 == 0, "exact_match").otherwise("no_match").alias("reason"))
+    out = recognized(own.drop("p_size"), lookups, plates, _store(spark))
+    return out.select("run_id", "crop_id", "via", "asked", "result.make", "accepted", r6(F.col("result.detection_box.x2")).alias("found_x2"))
