@@ -91,15 +91,29 @@ def chunks(rows: DataFrame, size: int, *order: str) -> DataFrame:
     return rows.withColumn("chunk", F.floor(nth / size).cast("int"))
 
 
-def diagnostics(frames: DataFrame, detections: DataFrame, outputs: DataFrame, summaries: DataFrame, retired: DataFrame, *, frames_needed: int, width: float = 112, height: float = 56) -> DataFrame:
+#: Bounds of the histograms of confidences and of box widths.
+CONFIDENCES = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.01]
+WIDTHS = [0.0, 40.0, 80.0, 120.0, 160.0, 200.0, 300.0, 400.0, 600.0, 800.0, float("inf")]
+
+
+def diagnostics(
+    frames: DataFrame, detections: DataFrame, outputs: DataFrame, summaries: DataFrame, retired: DataFrame, *, frames_needed: int, width: float = 112, height: float = 56,
+    edges: DataFrame | None = None, retained: DataFrame | None = None, hidden: DataFrame | None = None,
+) -> DataFrame:
     """One row about an analysis: what went into the tracker and came out of it, and why tracks have no crops.
 
     ``frames`` are those sampled, ``detections`` those given to the tracker, ``outputs`` the tracked rows (track_id below
-    0: not confirmed), ``summaries`` the tracks with frames_seen, max_width, max_height and candidates, ``retired`` the rows
-    (track_id) of ids that came back after they were given up.
+    0: not confirmed; confidence and bbox), ``summaries`` the tracks with frames_seen, max_width, max_height and candidates,
+    ``retired`` the rows (track_id) of ids that came back after they were given up, ``edges`` the rows (track_id) skipped at an
+    edge, ``retained`` the rows (track_id) after a long gap that were plausible, and ``hidden`` the tracks that are not drawn
+    for want of a crop.  Histograms are arrays of (min, max, count) in order; the confidences are those of all outputs, the
+    widths those of outputs of tracks that are neither retired nor skipped (column ``stays``, if there is one).
     """
     none = F.size("candidates") == 0
     count = lambda rows, *columns: rows.agg(*columns)
+    nothing = outputs.where(F.lit(False)).select("track_id")
+    edges, retained, hidden = edges or nothing, retained or nothing, hidden or nothing
+    kept = outputs.where(F.col("stays") if "stays" in outputs.columns else F.col("track_id") >= 0)
     parts = [
         count(frames, F.count("*").alias("total_sampled_frames")),
         count(detections, F.count("*").alias("detections_passed_to_tracker")),
@@ -110,8 +124,19 @@ def diagnostics(frames: DataFrame, detections: DataFrame, outputs: DataFrame, su
             F.count_if(none & (F.col("frames_seen") < frames_needed)).alias("tracks_without_crop_due_to_short_lifetime"),
         ),
         count(retired, F.count("*").alias("stale_reassociation_observations_suppressed"), F.count_distinct("track_id").alias("stale_reassociation_track_ids_dropped")),
+        count(edges, F.count("*").alias("edge_observations_skipped"), F.count_if(F.col("track_id") >= 0).alias("tracks_discarded_edge_contact")),
+        count(retained, F.count("*").alias("world_reassociation_observations_accepted"), F.count_distinct("track_id").alias("world_reassociation_tracks_retained")),
+        count(hidden, F.count("*").alias("tracks_hidden_from_render_crop_eligibility")),
+        _in_order(histogram(outputs, F.col("confidence"), CONFIDENCES), "confidence_histogram"),
+        _in_order(histogram(kept, F.col("bbox.x2") - F.col("bbox.x1"), WIDTHS), "box_width_histogram"),
     ]
     out = parts[0]
     for other in parts[1:]:
         out = out.join(F.broadcast(other))  # one row each
     return out
+
+
+def _in_order(bins: DataFrame, name: str) -> DataFrame:
+    """The rows of a histogram as one array; an infinite bound is null."""
+    rows = F.array_sort(F.collect_list(F.struct("bin", F.col("low").alias("min"), F.col("high").alias("max"), F.col("n").alias("count"))))
+    return bins.agg(F.transform(rows, lambda b: b.dropFields("bin")).alias(name))

@@ -53,13 +53,29 @@ def apply_links(summaries: DataFrame, merged: DataFrame) -> DataFrame:
 
 
 def link_audit(ends: DataFrame, links: DataFrame, merged: DataFrame) -> DataFrame:
-    """One row a run: counts of tracks and vehicles before and after, groups, and pairs that were not mutually best."""
+    """One row a run: status and counts of tracks, vehicles before and after, groups, merged tracks and ambiguous pairs."""
     tracks = ends.groupBy("run_id").agg(F.count("*").alias("input_track_count"), F.count_distinct("vehicle_index").alias("input_vehicle_count"))
     after = apply_links(ends, merged).groupBy("run_id").agg(F.count_distinct("vehicle_index").alias("output_vehicle_count"))
-    groups = merged.groupBy("run_id", "component").agg(F.first("vehicle_index").alias("canonical"), F.array_sort(F.collect_list("track_id")).alias("members"))
-    groups = groups.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("canonical", "members"))).alias("merge_groups"))
-    rest = links.where("not accepted").groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("a_track_id", "b_track_id", "gap", "lateral", "dist"))).alias("rejected_ambiguous_pairs"))
-    return tracks.join(after, "run_id").join(groups, "run_id", "left").join(rest, "run_id", "left")
+    groups = merged.groupBy("run_id").agg(F.count_distinct("component").alias("merge_group_count"), F.count("*").alias("merged_track_count"))
+    rest = links.groupBy("run_id").agg(F.count_if(~F.col("accepted")).alias("ambiguous_pair_count"))
+    rows = tracks.join(after, "run_id").join(groups, "run_id", "left").join(rest, "run_id", "left")
+    return rows.fillna(0, ["merge_group_count", "merged_track_count", "ambiguous_pair_count"]).withColumn("status", F.lit("linked"))
+
+
+def link_evidence(links: DataFrame, merged: DataFrame) -> DataFrame:
+    """A row for each passing pair of a run: kind ``merged`` with its group's first track and vehicle, or ``ambiguous``.
+
+    The pair's gap, distance, sideways offset and implied speed are what it was judged by.  Accepted pairs of groups
+    without a vehicle name none.
+    """
+    group = merged.select("run_id", F.col("track_id").alias("a_track_id"), "component", F.col("vehicle_index").alias("canonical_vehicle_index"))
+    named = links.join(group, ["run_id", "a_track_id"], "left")
+    own = lambda c: F.when(F.col("accepted"), F.col(c))
+    return named.select(
+        "run_id", F.when(F.col("accepted"), "merged").otherwise("ambiguous").alias("kind"), own("component").alias("group"), own("canonical_vehicle_index").alias("canonical_vehicle_index"),
+        F.col("a_track_id").alias("from_track_id"), F.col("b_track_id").alias("to_track_id"), F.col("gap").alias("gap_seconds"), F.col("dist").alias("distance"), F.col("lateral").alias("lateral_offset"),
+        F.when(F.col("gap") > 0, F.col("dist") / F.col("gap")).alias("implied_speed"),
+    )
 
 
 def order_of_tracks(summaries: DataFrame) -> DataFrame:

@@ -228,22 +228,48 @@ def current_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_current_keys(old).drop("max_box_height_px")
 
 
-@query(f"""WITH {OBSERVATIONS},
+_DIAGNOSTICS = f"""{OBSERVATIONS},
 s AS (SELECT track_id, count(*) AS n, max(w) AS mw, max(h) AS mh, count(*) FILTER (WHERE confidence >= 0.97::DOUBLE) = 0 AS bare FROM feet GROUP BY track_id),
-g AS (SELECT *, t - lag(t) OVER w AS gap, sqrt((fx - lag(fx) OVER w) ** 2 + (fy - lag(fy) OVER w) ** 2) AS dist FROM feet WINDOW w AS ({ORDERED})),
-m AS (SELECT *, coalesce(bool_or(gap > 30 AND NOT (gap <= 60 AND dist <= least(400, gap * 10))) OVER ({ORDERED} ROWS UNBOUNDED PRECEDING), false) AS gone FROM g)
+g AS (SELECT *, t - lag(t) OVER w AS gap, sqrt((fx - lag(fx) OVER w) ** 2 + (fy - lag(fy) OVER w) ** 2) AS dist, floor(x1) <= 15 OR floor(y1) <= 15 OR ceil(x2) >= {WIDTH} - 16 OR ceil(y2) >= {HEIGHT} - 16 AS edge FROM feet WINDOW w AS ({ORDERED})),
+m AS (SELECT *, coalesce(bool_or(gap > 30 AND NOT (gap <= 60 AND dist <= least(400, gap * 10))) OVER ({ORDERED} ROWS UNBOUNDED PRECEDING), false) AS gone FROM g)"""
+
+
+@query(f"""WITH {_DIAGNOSTICS}
 SELECT (SELECT count(DISTINCT frame_index) FROM obs) AS total_sampled_frames, (SELECT count(*) FROM obs) AS detections_passed_to_tracker, (SELECT count(*) FROM obs WHERE pos % 9 <> 0) AS tracker_outputs,
   (SELECT count(*) FROM s WHERE n < 60) AS tracks_discarded_min_track_frames, (SELECT count(*) FROM s WHERE bare) AS tracks_without_crop_candidates, (SELECT count(*) FROM s WHERE bare AND mw < 255) AS tracks_without_crop_due_to_width,
   (SELECT count(*) FROM s WHERE bare AND mh < 150) AS tracks_without_crop_due_to_height, (SELECT count(*) FROM s WHERE bare AND n < 60) AS tracks_without_crop_due_to_short_lifetime,
-  (SELECT count(*) FROM m WHERE gone) AS stale_reassociation_observations_suppressed, (SELECT count(DISTINCT track_id) FROM m WHERE gone) AS stale_reassociation_track_ids_dropped""")
+  (SELECT count(*) FROM m WHERE gone) AS stale_reassociation_observations_suppressed, (SELECT count(DISTINCT track_id) FROM m WHERE gone) AS stale_reassociation_track_ids_dropped,
+  (SELECT count(*) FROM m WHERE edge AND NOT gone) AS edge_observations_skipped, (SELECT count(*) FROM m WHERE edge AND NOT gone AND pos % 9 <> 0) AS tracks_discarded_edge_contact,
+  (SELECT count(*) FROM m WHERE gap > 30 AND NOT gone) AS world_reassociation_observations_accepted, (SELECT count(DISTINCT track_id) FROM m WHERE gap > 30 AND NOT gone) AS world_reassociation_tracks_retained,
+  (SELECT count(*) FROM s WHERE mw < 255 OR mh < 150) AS tracks_hidden_from_render_crop_eligibility""")
 def analysis_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _diagnosed(spark, sf_dir).drop("confidence_histogram", "box_width_histogram")
+
+
+@query(f"""WITH {_DIAGNOSTICS},
+v AS (SELECT 'confidence' AS name, confidence AS x FROM obs UNION ALL SELECT 'width', w FROM m WHERE NOT gone AND NOT edge AND pos % 9 <> 0),
+b AS (SELECT 'confidence' AS name, i, i / 10.0::DOUBLE AS low, CASE WHEN i = 9 THEN 1.01::DOUBLE ELSE (i + 1) / 10.0::DOUBLE END AS high FROM range(10) r(i)
+  UNION ALL SELECT 'width', i, w[i + 1], w[i + 2] FROM range(10) r(i), (SELECT [0.0, 40, 80, 120, 160, 200, 300, 400, 600, 800, NULL]::DOUBLE[] AS w))
+SELECT name, low AS "min", high AS "max", count(x) AS "count" FROM b LEFT JOIN v USING (name) WHERE false OR x IS NULL OR (x >= low AND (high IS NULL OR x < high OR (i = 9 AND x = high))) GROUP BY name, i, low, high
+UNION ALL SELECT name, low, high, 0 FROM b WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.name = b.name AND (v.x IS NULL OR (v.x >= low AND (high IS NULL OR v.x < high OR (i = 9 AND v.x = high)))))""")
+def diagnostic_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _diagnosed(spark, sf_dir)
+    one = lambda name, column: found.select(F.lit(name).alias("name"), F.inline(column))
+    return one("confidence", "confidence_histogram").union(one("width", "box_width_histogram"))
+
+
+def _diagnosed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = observations(spark, sf_dir)
     crops = rows.groupBy("run_id", "track_id").agg(F.collect_list(F.when(F.col("confidence") >= 0.97, F.col("pos"))).alias("candidates"))
     summaries = tracks.track_metrics(rows).join(crops, ["run_id", "track_id"])
     kept = tracks.retire_stale(rows, fx(), fy(), after=30.0, world_gap=60.0, reach=400.0, speed=10.0)
     gone = rows.join(kept.select("pos"), "pos", "left_anti")
-    outputs = rows.withColumn("track_id", F.when(F.col("pos") % 9 == 0, -1).otherwise(F.col("track_id")))
-    return aggregates.diagnostics(rows.select("frame_index").distinct(), rows, outputs, summaries, gone, frames_needed=60, width=255, height=150)
+    named = lambda r: r.withColumn("track_id", F.when(F.col("pos") % 9 == 0, -1).otherwise(F.col("track_id")))
+    edge = boxes.touches_frame_edge(box(), 0, 0, WIDTH, HEIGHT, 15)
+    outputs = named(rows).join(kept.select("pos", (~edge).alias("stays")), "pos", "left").withColumn("stays", F.coalesce("stays", F.lit(False)) & (F.col("track_id") >= 0))
+    retained = tracks.steps(kept, fx(), fy()).where("gap > 30")
+    hidden = summaries.where(~filters.size_eligible(F.col("max_width"), F.col("max_height"), 255, 150))
+    return aggregates.diagnostics(rows.select("frame_index").distinct(), rows, outputs, summaries, gone, frames_needed=60, width=255, height=150, edges=named(kept.where(edge)), retained=retained, hidden=hidden)
 
 
 def _states(spark: SparkSession, sf_dir: str, **limits) -> DataFrame:

@@ -363,7 +363,7 @@ def active_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.active_records(records).select("record_id")
 
 
-@query("""WITH p AS (SELECT p_partkey, p_name, p_brand, p_type, p_size FROM part),
+_DECIDED = """WITH p AS (SELECT p_partkey, p_name, p_brand, p_type, p_size FROM part),
 q AS (SELECT p_partkey AS query_id, p_partkey % 3 <> 0 AS has_embedding, p_size FROM p WHERE p_partkey % 4 = 0),
 s AS (SELECT *, CASE p_partkey % 12 WHEN 1 THEN (p_brand, p_type, '', p_size, '', 0) WHEN 5 THEN (p_brand, '', p_type, 0, p_type, p_size) ELSE ('', '', '', 0, '', 0) END AS sig FROM p WHERE p_partkey % 4 = 1),
 x AS (SELECT query_id, min(r.p_partkey) AS rec, bool_and(r.p_size % 5 <> 0) AS able, count(DISTINCT sig) AS sigs FROM q JOIN s r ON r.p_partkey // 36 = query_id // 36 AND r.p_size // 10 = q.p_size // 10 AND query_id % 8 = 0 GROUP BY query_id),
@@ -373,8 +373,11 @@ a AS (SELECT query_id, bool_and(able) AS able, count(DISTINCT ident) AS ids FROM
 r AS (SELECT q.query_id, CASE WHEN x.able = false THEN 'exact_ineligible' WHEN x.sigs > 1 THEN 'exact_conflict' WHEN x.able THEN 'exact_match' WHEN a.able IS NULL THEN 'no_match' WHEN NOT has_embedding THEN 'embedding_unavailable'
   WHEN a.able = false THEN 'embedding_ineligible' WHEN i.split THEN 'embedding_conflict' WHEN i.images < 2 THEN 'insufficient_neighbors' WHEN a.ids > 1 THEN 'embedding_conflict' ELSE 'embedding_match' END AS reason, coalesce(images, 0) AS neighbours
   FROM q LEFT JOIN x USING (query_id) LEFT JOIN a USING (query_id) LEFT JOIN i USING (query_id))
-SELECT query_id, reason, CASE WHEN reason IN ('exact_match', 'exact_ineligible', 'embedding_match') THEN 'reuse' ELSE 'api_fallback' END AS action, neighbours FROM r""")
-def retrieval_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+"""
+
+
+def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions about parts, with labels made from their columns."""
     p = read(spark, sf_dir, "part")
     q = p.where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("query_id"), (F.col("p_partkey") % 3 != 0).alias("has_embedding"), F.col("p_size").alias("q_size"))
     kind = F.col("p_partkey") % 12
@@ -387,6 +390,7 @@ def retrieval_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         given = {
             "make": brand, "model": F.lit("m"), "view": on(1, F.col("p_type")), "color_confidence": on(1, size), "category": on(5, F.col("p_type")),
             "tags": on(5, F.array(F.struct(F.col("p_type").alias("name")))), "detection_box": on(5, boxes.box(size, size, size + 1, size + 1)), "make_confidence": F.lit(0.9),
+            "variation": F.lit(None).cast("string") if varied else F.when(F.floor(F.col("p_partkey") / 40) % 2 == 0, F.lit("V ")).otherwise(F.concat(F.lit("v"), size % 2)), "color": F.lit(None).cast("string") if varied else F.lit("red"),
         }
         blank = lambda f: F.lit(None).cast("double" if f.endswith("_confidence") else "string")
         return F.struct(*[given.get(f, blank(f)).alias(f) for f in retrieval.SIGNATURE], able.alias("accepted"))
@@ -400,8 +404,22 @@ def retrieval_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact = q.where("query_id % 8 = 0").join(first, (part("query_id", 36) == part("record_id", 36)) & (part("q_size", 10) == part("p_size", 10)))
     second = records([2, 3], F.col("p_size") % 11 != 0, False)
     within = q.join(second, part("query_id", 40) == part("record_id", 40)).withColumns({"distance": F.col("record_id") % 10 / 100.0, "hamming": F.lit(0)})
-    found = retrieval.decisions(q, exact, within.select("query_id").distinct(), within, enforce=True, calibrated=True)
-    return found.select("query_id", "reason", "action", F.col("neighbours").alias("neighbours"))
+    return retrieval.decisions(q, exact, within.select("query_id").distinct(), within, enforce=True, calibrated=True)
+
+
+@query(f"""{_DECIDED}SELECT query_id, reason, CASE WHEN reason IN ('exact_match', 'exact_ineligible', 'embedding_match') THEN 'reuse' ELSE 'api_fallback' END AS action, neighbours FROM r""")
+def retrieval_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decided(spark, sf_dir).select("query_id", "reason", "action", "neighbours")
+
+
+@query(f"""{_DECIDED.rstrip()},
+b AS (SELECT query_id, arg_min((w.rec, ident, variation), (d, w.rec)) AS best, count(DISTINCT lower(trim(variation))) AS variations FROM (
+  SELECT w.*, CASE WHEN rec // 40 % 2 = 0 THEN 'V ' ELSE 'v' || (SELECT p_size % 2 FROM p WHERE p_partkey = rec) END AS variation FROM w) AS w GROUP BY query_id)
+SELECT query_id, reason, CASE WHEN reason LIKE 'exact_match' OR reason = 'exact_ineligible' THEN x.rec WHEN reason = 'embedding_match' THEN best[1] END AS record_id,
+  CASE WHEN reason = 'embedding_match' AND variations = 1 THEN best[3] END AS variation, lower(CASE WHEN reason IN ('exact_match', 'exact_ineligible') THEN 'b' WHEN reason = 'embedding_match' THEN best[2] END) AS make, CAST(NULL AS VARCHAR) AS color
+FROM r LEFT JOIN b USING (query_id) LEFT JOIN x USING (query_id)""")
+def decided_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decided(spark, sf_dir).select("query_id", "reason", "record_id", "result.variation", F.lower("result.make").alias("make"), "result.color")
 
 
 @query(r"""SELECT p_partkey, lower(trim(p_name)) AS identity, 'tag_' || trim(regexp_replace(lower(p_type || ' / ' || p_brand), '[^a-z0-9]+', '_', 'g'), '_') AS tag, p_size % 2 = 1 AS affirmative FROM part""")
