@@ -390,7 +390,6 @@ def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
         given = {
             "make": brand, "model": F.lit("m"), "view": on(1, F.col("p_type")), "color_confidence": on(1, size), "category": on(5, F.col("p_type")),
             "tags": on(5, F.array(F.struct(F.col("p_type").alias("name")))), "detection_box": on(5, boxes.box(size, size, size + 1, size + 1)), "make_confidence": F.lit(0.9),
-            "variation": F.lit(None).cast("string") if varied else F.when(F.floor(F.col("p_partkey") / 40) % 2 == 0, F.lit("V ")).otherwise(F.concat(F.lit("v"), size % 2)), "color": F.lit(None).cast("string") if varied else F.lit("red"),
         }
         blank = lambda f: F.lit(None).cast("double" if f.endswith("_confidence") else "string")
         return F.struct(*[given.get(f, blank(f)).alias(f) for f in retrieval.SIGNATURE], able.alias("accepted"))
@@ -412,14 +411,32 @@ def retrieval_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided(spark, sf_dir).select("query_id", "reason", "action", "neighbours")
 
 
-@query(f"""{_DECIDED.rstrip()},
-b AS (SELECT query_id, arg_min((w.rec, ident, variation), (d, w.rec)) AS best, count(DISTINCT lower(trim(variation))) AS variations FROM (
-  SELECT w.*, CASE WHEN rec // 40 % 2 = 0 THEN 'V ' ELSE 'v' || (SELECT p_size % 2 FROM p WHERE p_partkey = rec) END AS variation FROM w) AS w GROUP BY query_id)
-SELECT query_id, reason, CASE WHEN reason LIKE 'exact_match' OR reason = 'exact_ineligible' THEN x.rec WHEN reason = 'embedding_match' THEN best[1] END AS record_id,
-  CASE WHEN reason = 'embedding_match' AND variations = 1 THEN best[3] END AS variation, lower(CASE WHEN reason IN ('exact_match', 'exact_ineligible') THEN 'b' WHEN reason = 'embedding_match' THEN best[2] END) AS make, CAST(NULL AS VARCHAR) AS color
-FROM r LEFT JOIN b USING (query_id) LEFT JOIN x USING (query_id)""")
+@query("""WITH r AS (SELECT p_partkey AS rec, p_partkey // 8 AS grp, p_size % 3 AS image, CASE WHEN p_partkey // 8 % 3 = 0 THEN 'make ' || p_partkey % 2 ELSE 'make' END AS make, p_partkey % 10 / 100.0::DOUBLE AS d,
+  CASE WHEN p_partkey // 8 % 2 = 0 THEN CASE WHEN p_partkey % 4 = 2 THEN ' Turbo' ELSE 'turbo ' END WHEN p_partkey // 8 % 5 = 0 THEN NULL ELSE 'v' || p_partkey % 2 END AS variation FROM part WHERE p_partkey % 4 IN (2, 3)),
+q AS (SELECT p_partkey AS query_id, p_partkey // 8 AS grp FROM part WHERE p_partkey % 4 = 0),
+w AS (SELECT * FROM q JOIN r USING (grp)),
+i AS (SELECT query_id, max(n) > 1 AS split, count(*) AS images FROM (SELECT query_id, image, count(DISTINCT make) AS n FROM w GROUP BY query_id, image) GROUP BY query_id),
+g AS (SELECT query_id, count(DISTINCT make) AS ids, count(DISTINCT coalesce(lower(trim(variation)), '')) AS variations, arg_min((rec, make, variation), (d, rec)) AS best FROM w GROUP BY query_id),
+e AS (SELECT query_id, rec, make, variation FROM q JOIN r ON rec = query_id + 2 WHERE query_id % 16 = 0),
+f AS (SELECT q.query_id, e.rec AS exact, e.make AS em, e.variation AS ev, best, variations, CASE WHEN e.rec IS NOT NULL THEN 'exact_match' WHEN images IS NULL THEN 'no_match' WHEN split THEN 'embedding_conflict' WHEN images < 2 THEN 'insufficient_neighbors' WHEN ids > 1 THEN 'embedding_conflict' ELSE 'embedding_match' END AS reason
+  FROM q LEFT JOIN i USING (query_id) LEFT JOIN g USING (query_id) LEFT JOIN e USING (query_id))
+SELECT query_id, reason, CASE reason WHEN 'exact_match' THEN exact WHEN 'embedding_match' THEN best[1] END AS record_id, CASE reason WHEN 'exact_match' THEN em WHEN 'embedding_match' THEN best[2] END AS make,
+  CASE WHEN reason = 'exact_match' THEN ev WHEN reason = 'embedding_match' AND variations = 1 THEN best[3] END AS variation, CASE WHEN reason = 'exact_match' THEN 'red' END AS color FROM f""")
 def decided_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decided(spark, sf_dir).select("query_id", "reason", "record_id", "result.variation", F.lower("result.make").alias("make"), "result.color")
+    """The labels that lookups give: variations agree, differ or are missing by groups of records."""
+    p, key = read(spark, sf_dir, "part"), F.col("p_partkey")
+    group = F.floor(key / 8)
+    given = {
+        "make": F.when(group % 3 == 0, F.concat(F.lit("make "), key % 2)).otherwise("make"), "model": F.lit("m"), "make_confidence": F.lit(0.9), "color": F.lit("red"),
+        "variation": F.when(group % 2 == 0, F.when(key % 4 == 2, " Turbo").otherwise("turbo ")).when(group % 5 != 0, F.concat(F.lit("v"), key % 2)), "tags": F.array(F.struct(F.lit("tag").alias("name"))),
+    }
+    label = F.struct(*[given.get(f, F.lit(None).cast("double" if f.endswith("_confidence") else "string")).alias(f) for f in retrieval.SIGNATURE], F.lit(True).alias("accepted"))
+    records = p.where(key % 4 >= 2).select(key.alias("record_id"), group.alias("group"), (F.col("p_size") % 3).alias("image"), label.alias("result"), F.lit(False).alias("by_human"))
+    q = p.where(key % 4 == 0).select(key.alias("query_id"), group.alias("group"), F.lit(True).alias("has_embedding"))
+    exact = q.where("query_id % 16 = 0").drop("group").join(records, F.col("record_id") == F.col("query_id") + 2)
+    within = q.join(records, "group").withColumns({"distance": F.col("record_id") % 10 / 100.0, "hamming": F.lit(0)})
+    found = retrieval.decisions(q.drop("group"), exact, within.select("query_id").distinct(), within, enforce=True, calibrated=True)
+    return found.select("query_id", "reason", "record_id", "result.make", "result.variation", "result.color")
 
 
 @query(r"""SELECT p_partkey, lower(trim(p_name)) AS identity, 'tag_' || trim(regexp_replace(lower(p_type || ' / ' || p_brand), '[^a-z0-9]+', '_', 'g'), '_') AS tag, p_size % 2 = 1 AS affirmative FROM part""")
