@@ -95,11 +95,26 @@ def report(labels: DataFrame) -> DataFrame:
 
 def with_dimensions(rows: DataFrame, countries: DataFrame, powertrains: DataFrame) -> DataFrame:
     """Flag by make, and powertrain by make, model, generation and variation ("" where unknown), null where one of the
-    first three is.  Both dimensions are CSV files of a few hundred rows, checked by their readers."""
+    first three is.  How the dimensions are joined is left to their sizes."""
     keys = F.struct("make", "model", "generation", F.coalesce("variation", F.lit("")).alias("variation"))
     p = powertrains.select(F.struct("make", "model", "generation", F.coalesce("variation", F.lit("")).alias("variation")).alias("_key"), "powertrain")
-    out = rows.join(F.broadcast(countries.select("make", "flag")), "make", "left").withColumn("_key", keys)
-    return out.join(F.broadcast(p), "_key", "left").drop("_key")
+    out = rows.join(countries.select("make", "flag"), "make", "left").withColumn("_key", keys)
+    return out.join(p, "_key", "left").drop("_key")
+
+
+def labelled(summaries: DataFrame, labels: DataFrame, inner: bool = False) -> DataFrame:
+    """Track summaries with ``label`` and ``labelled``: that of the track itself, else the one of its vehicle's least track.
+
+    ``labels`` (run_id, track_id, vehicle_index, label) has a row a track.  A summary without either has a null label, and
+    no row if ``inner``.
+    """
+    own = labels.select("run_id", "track_id", F.col("label").alias("_own"), F.lit(True).alias("_has"))
+    of_vehicle = labels.where("vehicle_index is not null").groupBy("run_id", "vehicle_index").agg(F.min_by("label", "track_id").alias("_vehicles"), F.lit(True).alias("_some"))
+    out = summaries.join(own, ["run_id", "track_id"], "left").join(of_vehicle, ["run_id", "vehicle_index"], "left")
+    by = F.when(F.col("_has"), "track").when(F.col("_some"), "vehicle")
+    out = out.withColumns({"label": F.when(F.col("_has"), F.col("_own")).otherwise(F.col("_vehicles")), "labelled": by})
+    out = out.where("labelled is not null") if inner else out
+    return out.select(*summaries.columns, "label", "labelled")
 
 
 def unclassified(rows: DataFrame, labels: DataFrame) -> DataFrame:

@@ -57,6 +57,11 @@ class Camera:
         return cls(clean_camera_id(d["camera_id"]), polygon, ends, direction, fit_homography(plane["source_points"], plane["target_points"]) if plane else None)
 
 
+def plane_of(camera: Camera, enabled: bool = True) -> np.ndarray | None:
+    """The camera's homography for the gates that a setting can turn off; linking takes ``camera.homography`` whatever it says."""
+    return camera.homography if enabled else None
+
+
 def read_yaml(path: str) -> dict[str, Any]:
     import yaml
 

@@ -9,7 +9,7 @@ from velograph.functions import boxes, geometry, text, vectors
 from velograph.operators import aggregates, dedup, filters, joins, link, report, retrieval, smooth, tracker, tracks
 from velograph.plans.driver_tables import FRAGMENTS, HEIGHT, LINE, OBSERVATIONS, WIDTH, ZONE, edge_sql, fragments, observations, polygon_sql, read
 from velograph.plans.registry import oracle_sql, queries, query
-from velograph.sources.readers import sampled_frames
+from velograph.sources.readers import sampled_frames_of
 
 __all__ = ["flagship", "oracle_sql", "queries"]
 
@@ -468,12 +468,15 @@ def dimension_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("s_suppkey", "flag", "powertrain")
 
 
-@query("""WITH RECURSIVE s AS (SELECT range AS i FROM range(2000)),
-k AS (SELECT i, CAST(floor((i / 29.97::DOUBLE + 1e-9::DOUBLE) / (1.0::DOUBLE / 10)) AS BIGINT) AS p FROM s),
-t AS (SELECT i, p, lag(p) OVER (ORDER BY i) AS q FROM k)
-SELECT i AS frame_index, round(i / 29.97::DOUBLE, 6) AS t FROM t WHERE i = 0 OR p > q OR i = 1999""")
+@query("""WITH v AS (SELECT p_partkey, p_size * 9 AS n, 15 + p_partkey % 20 + 0.97::DOUBLE AS f, 4.0::DOUBLE + p_size % 9 AS g FROM part WHERE p_size % 10 = 3),
+k AS (SELECT *, unnest(range(n)) AS i FROM v),
+t AS (SELECT *, CAST(floor((i / f + 1e-9::DOUBLE) / (1.0::DOUBLE / least(f, g))) AS BIGINT) AS p, CAST(floor(((i - 1) / f + 1e-9::DOUBLE) / (1.0::DOUBLE / least(f, g))) AS BIGINT) AS q FROM k)
+SELECT p_partkey AS run_id, i AS frame_index, round(i / f, 6) AS t FROM t WHERE i = 0 OR p > q OR i = n - 1""")
 def sampled_video_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampled_frames(spark, 2000, 29.97, 10.0, terminal=True).select("frame_index", r6("t").alias("t"))
+    """Parts of one kind stand for videos, with lengths and rates of their own."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    videos = read(spark, sf_dir, "part").where(size % 10 == 3).select(key.alias("run_id"), (size * 9).alias("frames"), (15 + key % 20 + F.lit(0.97)).alias("source_fps"), (4.0 + size % 9).alias("target_fps"))
+    return sampled_frames_of(videos, terminal=True).select("run_id", "frame_index", r6("t").alias("t"))
 
 
 @query(f"""WITH {OBSERVATIONS},

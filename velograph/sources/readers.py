@@ -35,6 +35,20 @@ def sampled_frames(spark: SparkSession, frames: int, source_fps: float, target_f
     return spark.range(frames).where(taken).select(i.alias("frame_index"), (i / F.lit(float(source_fps))).alias("t"))
 
 
+def sampled_frames_of(videos: DataFrame, terminal: bool = False) -> DataFrame:
+    """(run_id, frame_index, t) of the frames that sampling takes of each of ``videos`` (run_id, frames, source_fps, target_fps).
+
+    As ``sampled_frames``; a row's frames are made where the row is, and rates that are not positive are an error.
+    """
+    rates = F.least("source_fps", "target_fps")
+    checked = F.when(rates > 0, F.col("frames")).otherwise(F.raise_error(F.lit("frame rates are positive")))
+    every = videos.where("frames > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), checked.cast("long") - 1)).alias("i"))
+    periods = lambda i: F.floor((i / F.col("source_fps") + 1e-9) / (F.lit(1.0) / rates))
+    i = F.col("i")
+    taken = (i == 0) | (periods(i) > periods(i - 1)) | (F.lit(terminal) & (i == F.col("frames") - 1))
+    return every.where(taken).select("run_id", i.alias("frame_index"), (i / F.col("source_fps")).alias("t"))
+
+
 def check_fps(found: float, expected: float | None, tolerance: float) -> None:
     if found <= 0 or (expected is not None and abs(found - expected) > tolerance):
         raise ValueError(f"the video has {found} frames a second, not {expected}")

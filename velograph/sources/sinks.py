@@ -1,4 +1,4 @@
-"""Writers: whole tables that replace each other at once, appends, the CSV report, and runs that are published or not."""
+"""Writers: whole tables that replace each other at once, versions that are published together, appends, the CSV report, runs."""
 
 from __future__ import annotations
 
@@ -38,6 +38,72 @@ def replace(df: DataFrame, path: str, kind: str = "json") -> None:
         fs.delete(old, True)
 
 
+def _versions(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """(number, folder) of the versions of ``root`` whose manifests are whole, newest first."""
+    fs, at = _fs(spark, f"{root}/_versions")
+    if not fs.exists(at):
+        return []
+    found = []
+    for status in sorted(fs.listStatus(at), key=lambda s: s.getPath().getName(), reverse=True):
+        stream = fs.open(status.getPath())
+        try:
+            text = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        if text.endswith("\n"):
+            found.append((int(status.getPath().getName()), text.strip()))
+    return found
+
+
+def _switch(spark: SparkSession, root: str, folder: str) -> int:
+    """Make ``folder`` the newest version by creating the next manifest; whoever comes second takes the number after."""
+    fs, at = _fs(spark, f"{root}/_versions")
+    fs.mkdirs(at)
+    number = max((int(s.getPath().getName()) for s in fs.listStatus(at)), default=0)
+    while True:
+        number += 1
+        try:
+            stream = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_versions/{number:012d}"), False)
+        except Exception as error:
+            if "AlreadyExists" in str(error) or "already exists" in str(error):
+                continue
+            raise
+        stream.write(bytearray(f"{folder}\n".encode()))
+        stream.close()
+        return number
+
+
+def publish(tables: dict[str, DataFrame], root: str, kind: str = "parquet", keep: int = 2) -> int:
+    """Write tables side by side under ``root`` and make them its current version together; the number of the version.
+
+    Nothing is renamed: a version is a folder of its own, and becomes current by the creation of one small manifest, so a
+    reader finds the version before or this one and never none, and a failure at any step leaves the one before.  Of
+    writers at the same time each gets a version and the later is current.  ``keep`` versions stay, for readers that have
+    begun; older ones are deleted.  The file system's create has to refuse what exists.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    folder = f"data-{uuid.uuid4().hex}"
+    try:
+        for name, df in tables.items():
+            df.write.format(kind).save(f"{root}/{folder}/{name}")
+        number = _switch(spark, root, folder)
+    except Exception:
+        fs, at = _fs(spark, f"{root}/{folder}")
+        fs.delete(at, True)
+        raise
+    for old, gone in _versions(spark, root)[keep:]:
+        fs, at = _fs(spark, f"{root}/_versions/{old:012d}")
+        fs.delete(at, False)
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{gone}"), True)
+    return number
+
+
+def current(spark: SparkSession, root: str, name: str) -> str | None:
+    """The path of a table in the current version of ``root``; None before the first."""
+    found = _versions(spark, root)
+    return f"{root}/{found[0][1]}/{name}" if found else None
+
+
 def append(df: DataFrame, path: str, kind: str = "json") -> None:
     df.write.mode("append").format(kind).save(path)
 
