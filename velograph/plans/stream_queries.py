@@ -17,6 +17,7 @@ from velograph.plans.materialize import shared_dir
 from velograph.plans.queries import r6, read, width
 from velograph.plans.registry import query
 from velograph.sources.answers import Folder, answered
+from velograph.sources.avi import read_frames, write_frames
 from velograph.streaming.counting import run_in_parts
 from velograph.streaming.frames import Settings, frame_loop, rows_of
 from velograph.streaming.memory import Limits
@@ -147,3 +148,15 @@ def recognized_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     lookups = own.select("run_id", "crop_id", F.when(F.col("p_size") % 4 == 0, known).alias("result"), F.when(F.col("p_size") % 4 == 0, "exact_match").otherwise("no_match").alias("reason"))
     out = recognized(own.drop("p_size"), lookups, plates, _store(spark))
     return out.select("run_id", "crop_id", "via", "asked", "result.make", "accepted", r6(F.col("result.detection_box.x2")).alias("found_x2"))
+
+
+@query("""SELECT CAST(p_size % 3 AS VARCHAR) AS run_id, row_number() OVER (PARTITION BY p_size % 3 ORDER BY p_partkey) - 1 AS frame_index, round((row_number() OVER (PARTITION BY p_size % 3 ORDER BY p_partkey) - 1) / 12.5::DOUBLE, 6) AS t, p_name AS name FROM part
+QUALIFY frame_index >= 100""")
+def video_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of frames that hold the names of parts, read again from the hundredth frame on."""
+    mark = lambda b: F.unhex(F.lit(b))
+    part = read(spark, sf_dir, "part").select((F.col("p_size") % 3).cast("string").alias("run_id"), F.col("p_partkey").alias("frame_index"), F.concat(mark("FFD8"), F.col("p_name").cast("binary"), mark("FFD9")).alias("content"))
+    files = write_frames(part, f"{shared_dir(spark)}/video-{uuid.uuid4().hex}", 12.5, 64, 48).collect()  # a row a run
+    frames = read_frames(spark, [r["path"] for r in files]).where("frame_index >= 100")
+    name = F.expr("substring(content, 3, length(content) - 4)").cast("string")
+    return frames.select(F.regexp_extract("path", r"([^/]*)\.avi$", 1).alias("run_id"), "frame_index", r6("t").alias("t"), name.alias("name"))
