@@ -216,7 +216,7 @@ def test_languages_equal_sets_of_grams(spark):
 def test_nothing_learned_rejects_nothing(spark, labelled):
     """No labels, one class, too few of them, or texts that labels have nothing to do with."""
     docs = spark.createDataFrame([(i, "same words in every text", None, "s", 0.0, 1) for i in range(60)], DOCS)
-    labels = spark.createDataFrame([(i, 1, y, "x") for i, y in enumerate(labelled)], LABELS)
+    labels = spark.createDataFrame([(i, 1, y, "x", 1) for i, y in enumerate(labelled)], LABELS)
     model = op06_toxicity.train(docs, labels)
     assert op06_toxicity.drop_toxic(docs, model).count() == 60
     assert {(r.score, r.predicted) for r in op06_toxicity.toxicity_scores(docs, model).collect()} == {(0.0, 0)}
@@ -225,7 +225,7 @@ def test_nothing_learned_rejects_nothing(spark, labelled):
 def test_held_out_labels_change_nothing(spark):
     """The model is the same whatever the labels of held-out documents say: settings are chosen by the others."""
     docs, labels = corpus(200)
-    other = [(i, q, 1 - t if held(i, 4) == 2 else t, *rest) for i, q, t, *rest in labels]
+    other = [(i, q, 1 - t if t is not None and held(i, 4) == 2 else t, *rest) for i, q, t, *rest in labels]
     d = spark.createDataFrame(docs, DOCS)
     one, two = (op06_toxicity.train(d, spark.createDataFrame(x, LABELS)) for x in (labels, other))
     assert one.lexicon == two.lexicon and all((a == b).all() for a, b in zip(one.trees[:3], two.trees[:3], strict=True))

@@ -68,6 +68,19 @@ def test_contaminated_documents_go(spark):
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "None"]
 
 
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_items_of_every_length_count(spark, monkeypatch, most):
+    """The stage drops what the operator reports, with the hashes broadcast or shuffled."""
+    from velograph.llm import op08_decontaminate
+
+    monkeypatch.setattr(op08_decontaminate, "BROADCAST_HASHES", most)
+    items = spark.createDataFrame([(1, "one two three"), (2, "solo"), (3, " ".join(f"w{i}" for i in range(8))), (4, "")], "item_id long, text string")
+    rows = [(1, "say one, TWO three!"), (2, "one two four three"), (3, "so lo"), (4, "a solo b"), (5, " ".join(f"w{i}" for i in range(8))), (6, " ".join(f"w{i}" for i in range(7))), (7, None), (7, ""), (7, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bad = {r.doc_id for r in contaminated(docs, items).collect()}
+    assert bad == {1, 4, 5} and sorted(r.doc_id for r in drop_contaminated(docs, items).collect()) == [2, 3, 6, 7, 7, 7]
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)
     assert contaminated(docs, items).count() == 0

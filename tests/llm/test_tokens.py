@@ -35,5 +35,14 @@ def test_spliced_counts_equal_the_library(spark, chunk, overlap):
     assert got == want
 
 
+def test_texts_of_several_chunks_of_the_usual_size(spark):
+    """Spliced at 32,768 characters: words, runs without a space, white space, other scripts, special strings at the seams."""
+    rng = random.Random(5)
+    words = ["ab", "don't", "x1y", "漢字", "é", "\n", "  ", "<|endoftext|>", "-", "🙂", "I'll"]
+    long = [" ".join(rng.choice(words) for _ in range(30_000)), "x" * 100_000, " " * 70_000 + "a", "漢" * 70_000, "a" * 32_760 + "<|endoftext|>" + "b" * 40_000, "".join(rng.choice("ab \n'") for _ in range(140_000)), "1234567 " * 12_000]
+    got = {r.doc_id: r.n_tokens for r in token_counts(spark.createDataFrame([(i, t, 7, 8, 9) for i, t in enumerate(long)], DOCS)).collect()}
+    assert [got[i] for i in range(len(long))] == library(long)
+
+
 def test_empty_table(spark):
     assert token_counts(spark.createDataFrame([], DOCS)).count() == 0
