@@ -86,9 +86,10 @@ def test_linking_a_chain_of_fragments(spark):
     merged = link.merged_vehicles(ends, links)
     assert sorted(tuple(r)[1:] for r in merged.collect()) == [(61, 61, 5), (62, 61, 5), (63, 61, 5), (64, 61, 5)]
     audit = link.link_audit(ends, links, merged).first()
-    assert (audit.input_track_count, audit.input_vehicle_count, audit.output_vehicle_count) == (4, 1, 1) and (audit.merge_group_count, audit.merged_track_count, audit.ambiguous_pair_count) == (1, 4, 0)
-    rows = [r.asDict() for r in link.link_evidence(links, merged).orderBy("from_track_id").collect()]
-    assert [(r["kind"], r["group"], r["canonical_vehicle_index"], r["from_track_id"], r["to_track_id"]) for r in rows] == [("merged", 61, 5, i, i + 1) for i in (61, 62, 63)]
+    assert (audit.input_track_count, audit.input_vehicle_count, audit.output_vehicle_count) == (4, 1, 1) and (audit.merge_group_count, audit.merged_track_count, audit.ambiguous_pair_count) == (1, 4, 3)
+    rows = [r.asDict() for r in link.link_evidence(links, merged).orderBy("from_track_id", "to_track_id").collect()]
+    shown = [(r["kind"], r["group"], r["canonical_vehicle_index"], r["from_track_id"], r["to_track_id"]) for r in rows]
+    assert shown == [("merged" if b == a + 1 else "ambiguous", 61 if b == a + 1 else None, 5 if b == a + 1 else None, a, b) for a in (61, 62, 63) for b in range(a + 1, 65)]
     assert all(abs(r["implied_speed"] - r["distance"] / r["gap_seconds"]) < 1e-9 for r in rows)
 
 

@@ -119,4 +119,22 @@ def test_rescue_events(spark):
     spawns = spark.createDataFrame([("r", 9, 1.0, 1.0, 0.0)], "run_id string, spawn_id long, t double, x double, y double")
     found = {r.old_track_id: r for r in upkeep.rescue_events(tracker.rescue_pairs(spawns, lost)).collect()}
     assert set(found) == {1, 3} and found[1].outcome == "accepted" and found[1].implied_speed == 1.0
-    assert (found[3].outcome, found[3].reason) == ("rejected", "history")
+    assert (found[1].distance, found[1].lateral, found[1].reason) == (0.0, 0.0, None)  # to where it was expected
+    assert tuple(found[3])[1:2] == ("rejected",) and (found[3].reason, found[3].distance, found[3].implied_speed, found[3].lateral) == ("insufficient_history", None, None, None)
+
+
+def test_reasons_of_rescue_events(spark):
+    """What was measured before a test that failed is there, what comes after it is not."""
+    lost = [("r", 1, 0.0, 0.0, 0.0, 2.0, 0.0), ("r", 2, 0.0, 0.0, 50.0, 2.0, 0.0), ("r", 3, 0.0, 3.0, 6.0, 0.0, 0.0), ("r", 4, 0.0, 0.0, 2.5, 2.0, 0.0), ("r", 5, 0.0, 3.0, 0.0, 1.5, 0.0)]
+    lost = spark.createDataFrame(lost, "run_id string, track_id long, t double, x double, y double, vx double, vy double")
+    spawns = spark.createDataFrame([("r", 9, 1.0, 2.0, 0.0, 0.5)], "run_id string, spawn_id long, t double, x double, y double, cosine double")
+    found = {r.old_track_id: (r.reason, r.distance, r.lateral, r.appearance_similarity) for r in upkeep.rescue_events(tracker.rescue_pairs(spawns, lost)).collect()}
+    assert found == {1: ("appearance_mismatch", 0.0, 0.0, 0.5), 2: ("speed_exceeded", 50.0, None, None), 3: ("distance_exceeded", pytest.approx(37**0.5), None, None), 4: ("lateral_exceeded", 2.5, 2.5, None), 5: ("behind_prediction", 2.5, 0.0, None)}
+
+
+def test_duplicate_audit(spark):
+    kind = "run_id string, a_track_id long, b_track_id long, a_vehicle_index long, b_vehicle_index long, identity_match boolean, gap double, error double, width_ratio double, height_ratio double, iou double, speed double, passes boolean"
+    pairs = spark.createDataFrame([("r", 1, 2, 3, 4, True, 0.5, 0.1, 0.9, 0.8, 0.7, None, True), ("r", 1, 5, 3, 6, False, 0.5, 9.0, 0.9, 0.8, 0.0, 1.0, False), ("r", 1, 7, 3, 8, None, None, None, None, None, None, None, None)], kind)
+    rows = [r.asDict() for r in upkeep.duplicate_audit(pairs).collect()]
+    assert rows == [{"run_id": "r", "from_track_id": 1, "to_track_id": 2, "from_vehicle_index": 3, "to_vehicle_index": 4, "identity_match": True, "gap": 0.5, "error": 0.1, "width_ratio": 0.9, "height_ratio": 0.8, "iou": 0.7, "speed": None}]
+    assert upkeep.duplicate_audit(pairs.limit(0)).collect() == []
