@@ -101,3 +101,13 @@ def test_the_plane_can_be_turned_off():
     square = [[0, 0], [1, 0], [1, 1], [0, 1]]
     camera = config.Camera.of({"camera_id": "c", "polygon": square, "homography": {"source_points": square, "target_points": square}})
     assert config.plane_of(camera) is camera.homography and config.plane_of(camera, enabled=False) is None
+
+
+def test_a_calibration_is_kept_only_if_it_found_a_threshold(spark, tmp_path):
+    kind, root = "same_pairs long, conflict_pairs long, max_same double, min_conflict double, threshold double, compared long", f"{tmp_path}/calibration"
+    good, bad = (spark.createDataFrame([row], kind) for row in ((3, 4, 0.1, 0.2, 0.1, 5), (3, 4, 0.3, 0.2, None, 5)))
+    assert sinks.load_calibration(spark, root, "m", 8, 4) is None
+    assert not sinks.save_calibration(bad, root, "m", 8, 4) and sinks.load_calibration(spark, root, "m", 8, 4) is None
+    assert sinks.save_calibration(good, root, "m", 8, 4) and not sinks.save_calibration(bad, root, "m", 8, 4)
+    assert sinks.load_calibration(spark, root, "m", 8, 4) == 0.1
+    assert [sinks.load_calibration(spark, root, *other) for other in (("n", 8, 4), ("m", 9, 4), ("m", 8, None))] == [None] * 3

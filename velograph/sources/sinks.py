@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from velograph.sources.readers import exists
 
 
+CALIBRATION = "created_at string, embedding_model string, embedding_dimensions int, bits int, same_pairs long, conflict_pairs long, max_same double, min_conflict double, threshold double"
+
+
 def _fs(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
@@ -104,6 +107,25 @@ def current(spark: SparkSession, root: str, name: str) -> str | None:
     return f"{root}/{found[0][1]}/{name}" if found else None
 
 
+def save_calibration(stats: DataFrame, root: str, model: str, dimensions: int, bits: int | None) -> bool:
+    """Keep what ``retrieval.calibration`` found as the current version of ``root``, if it found a threshold; else what is there
+    stays.  Whether it was kept."""
+    row = stats.select("same_pairs", "conflict_pairs", "max_same", "min_conflict", "threshold").first()
+    if row is None or row["threshold"] is None:
+        return False
+    made = stats.sparkSession.createDataFrame([(datetime.now(UTC).isoformat(), model, dimensions, bits, *row)], CALIBRATION)
+    publish({"calibration": made}, root)
+    return True
+
+
+def load_calibration(spark: SparkSession, root: str, model: str, dimensions: int, bits: int | None) -> float | None:
+    """The threshold that was kept for this model, number of dimensions and hash gate; None if it is for others or missing."""
+    path = current(spark, root, "calibration")
+    row = spark.read.schema(CALIBRATION).parquet(path).first() if path else None
+    same = row is not None and (row["embedding_model"], row["embedding_dimensions"], row["bits"]) == (model, dimensions, bits)
+    return row["threshold"] if same else None
+
+
 def append(df: DataFrame, path: str, kind: str = "json") -> None:
     df.write.mode("append").format(kind).save(path)
 
