@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from velograph.operators.joins import numbered
+
 
 def histogram(rows: DataFrame, value: Column, edges: Sequence[float]) -> DataFrame:
     """(bin, low, high, n) of half-open bins, the last one closed unless its end is infinite (then ``high`` is null);
@@ -39,8 +41,7 @@ def vehicles_of_tracks(summaries: DataFrame) -> DataFrame:
     own = summaries.where("vehicle_index is not null").groupBy("run_id", "vehicle_index").agg(
         F.min("first_frame").alias("first_frame"), F.min("track_id").alias("least_track"), F.sum("frames_seen").alias("frames_seen"), F.array_sort(F.collect_list(F.struct("first_frame", "track_id"))).alias("tracks")
     )
-    nth = F.row_number().over(Window.partitionBy("run_id").orderBy("first_frame", "least_track"))
-    return own.withColumn("place", nth)
+    return numbered(own, ["run_id"], ["first_frame", "least_track"], "place")
 
 
 def scale_error(width: Column, low: Column, high: Column, target: float = 0.75) -> Column:
@@ -86,9 +87,8 @@ def sibling_overlap(rows: DataFrame) -> DataFrame:
 
 
 def chunks(rows: DataFrame, size: int, *order: str) -> DataFrame:
-    """``chunk`` numbers of ``size`` rows within each run, in order."""
-    nth = F.row_number().over(Window.partitionBy("run_id").orderBy(*order)) - 1
-    return rows.withColumn("chunk", F.floor(nth / size).cast("int"))
+    """``chunk`` numbers of ``size`` rows within each run, in order, which leaves no ties open."""
+    return numbered(rows, ["run_id"], list(order), "chunk").withColumn("chunk", F.floor((F.col("chunk") - 1) / size).cast("int"))
 
 
 #: Bounds of the histograms of confidences and of box widths.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from velograph.plans.materialize import materialize
+
 #: Keys with more than one in so many of all rows, or in as many as a shuffle has partitions if these are more, are
 #: broadcast; there are fewer than this of them.
 HEAVY = 500
@@ -51,6 +53,22 @@ def join_by_share(rows: DataFrame, keyed: DataFrame, on: list[str], count: str,
     return inside.unionByName(rows.where(~name(rows).isin(heavy)).join(keyed.where(~name(keyed).isin(heavy)).drop(count), on, how))
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list[Column | str], name: str) -> DataFrame:
+    """``rows`` with ``name``: the number of each within its ``keys``, from 1, in ``order``, which leaves no ties open.
+
+    A key may have any number of rows: all rows are dealt by ranges of keys and order and written, numbered within a range,
+    and given the rows that the key has in the ranges before, a row a key and range.  Null keys are keys.
+    """
+    keyed = rows.withColumn("_key", F.struct(*keys))
+    dealt = materialize(keyed.repartitionByRange("_key", *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    inside = F.row_number().over(Window.partitionBy("_range", "_key").orderBy(*order))
+    counts = dealt.groupBy(F.col("_range").alias("_r"), F.col("_key").alias("_k")).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_k").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_r", "_k", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    found = dealt.withColumn("_i", inside).join(before, (F.col("_range") == F.col("_r")) & F.col("_key").eqNullSafe(F.col("_k")))
+    return found.select(*rows.columns, (F.col("_i") + F.col("_before")).cast("int").alias(name))
+
+
 def between_neighbours(rows: DataFrame, position: str, keys: list[str], order: list[str], most: int, carried: list[str]) -> DataFrame:
     """A row for each missing position between neighbours that miss 1 to ``most``: keys, position, ratio, prev, next."""
     w = Window.partitionBy(*keys).orderBy(*order)

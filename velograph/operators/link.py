@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velograph.operators.components import connected_components
-from velograph.operators.joins import mutual_best, range_pairs
+from velograph.operators.joins import mutual_best, numbered, range_pairs
 
 
 def link_pairs(ends: DataFrame, *, max_gap: float = 0.4, max_distance: float = 20.0, max_lateral: float = 4.0, max_speed: float = 45.0) -> DataFrame:
@@ -80,4 +80,4 @@ def link_evidence(links: DataFrame, merged: DataFrame) -> DataFrame:
 
 def order_of_tracks(summaries: DataFrame) -> DataFrame:
     """``place`` of each track in its run by (first_frame, track_id)."""
-    return summaries.withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy("first_frame", "track_id")))
+    return numbered(summaries, ["run_id"], ["first_frame", "track_id"], "place")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from velograph.functions import boxes
 from velograph.functions.geometry import side_of_line
+from velograph.operators.joins import numbered
 
 KEYS = ("run_id", "track_id")
 ORDER = ("frame_index", "pos")
@@ -117,13 +118,10 @@ def fitted_velocity(rows: DataFrame, x: Column, y: Column, points: int = 5) -> D
 
 
 def number_vehicles(summaries: DataFrame) -> DataFrame:
-    """``vehicle_index`` from 1 in the order of (first_frame, track_id) of each run, for tracks that have candidates.
-
-    The rank is taken over a row a track, within its run.
-    """
-    have = F.size("candidates") > 0
-    nth = F.row_number().over(Window.partitionBy("run_id", have).orderBy("first_frame", "track_id"))
-    return summaries.withColumn("vehicle_index", F.when(have, nth))
+    """``vehicle_index`` from 1 in the order of (first_frame, track_id) of each run, for tracks that have candidates."""
+    marked = summaries.drop("vehicle_index").withColumn("_have", F.coalesce(F.size("candidates") > 0, F.lit(False)))
+    nth = numbered(marked, ["run_id", "_have"], ["first_frame", "track_id"], "vehicle_index")
+    return nth.withColumn("vehicle_index", F.when(F.col("_have"), F.col("vehicle_index"))).drop("_have")
 
 
 def every_nth(rows: DataFrame, n: int) -> DataFrame:
