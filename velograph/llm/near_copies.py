@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from velograph.llm.op05_simhash import fingerprint_links, one_of_each
 from velograph.llm.simhash_kernel import SEED, majority_bits, shingle_hashes
 from velograph.operators.components import connected_components
-from velograph.operators.joins import join_by_share
+from velograph.operators.joins import SHUFFLED, join_by_share
 from velograph.plans.materialize import materialize, release
 
 WIDTH = 5
@@ -81,7 +81,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), "text")
     # grouped by h too, as the join has dealt the rows by it
-    met = texts.join(nodes.select("s", "one.*"), ["h"]).where(F.col("d").eqNullSafe(F.col("doc_id"))).groupBy("h", "s").agg(F.first("text").alias("text"))
+    met = texts.join(nodes.select("s", "one.*").hint(SHUFFLED), ["h"]).where(F.col("d").eqNullSafe(F.col("doc_id"))).groupBy("h", "s").agg(F.first("text").alias("text"))
     return met.select("s", "text").mapInPandas(run, "s long, n long, shingles array<long>")
 
 
@@ -95,7 +95,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("s").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("xa"))
     right = sets.select(F.col("s").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("xb"))
     common = F.size(F.array_intersect("xa", "xb"))
-    return pairs.distinct().join(left, "a").join(right, "b").where(common * 9 >= (F.col("na") + F.col("nb")) * 4).select("a", "b")
+    return pairs.distinct().join(left.hint(SHUFFLED), "a").join(right.hint(SHUFFLED), "b").where(common * 9 >= (F.col("na") + F.col("nb")) * 4).select("a", "b")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -106,10 +106,10 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def _by_fingerprint(nodes: DataFrame) -> DataFrame:
     """(a, b): candidates of operator 5: nodes of equal fingerprints and a forest of the links between fingerprints."""
     first = nodes.groupBy("fp").agg(F.min("s").alias("x"))
-    same = nodes.join(first, "fp").select("x", F.col("s").alias("y"))
+    same = nodes.join(first.hint(SHUFFLED), "fp").select("x", F.col("s").alias("y"))
     links = fingerprint_links(first.select("fp"))
     name = lambda end, as_: first.select(F.col("fp").alias(end), F.col("x").alias(as_))
-    return _ordered(same.union(links.join(name("a", "x"), "a").join(name("b", "y"), "b").select("x", "y")))
+    return _ordered(same.union(links.join(name("a", "x").hint(SHUFFLED), "a").join(name("b", "y").hint(SHUFFLED), "b").select("x", "y")))
 
 
 def _small_pairs(members: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def _whole(rest: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): links whose components are those of all pairs in each bucket of ``rest`` (key, s, parts)."""
     own = F.pmod(F.xxhash64(F.lit("part"), "s"), F.col("parts")).cast("int")
     dealt = rest.select("key", "s", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
-    placed = dealt.select("key", "s", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).join(sets.select("s", "shingles"), "s")
+    placed = dealt.select("key", "s", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).join(sets.select("s", "shingles").hint(SHUFFLED), "s")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_forest(group["s"].to_numpy(), group["shingles"].tolist()), columns=["a", "b"], dtype="int64")
@@ -170,18 +170,18 @@ def _components(docs: DataFrame, nodes: DataFrame, width: int, bucket_limit: int
     met = materialize(met, "buckets")
     release(counts, held, pivots)
     some = met.select("s").union(near.select("a")).union(near.select("b")).distinct()
-    sets = materialize(_sets(docs, nodes.join(some, "s", "left_semi"), width), "shingles")
+    sets = materialize(_sets(docs, nodes.join(some.hint(SHUFFLED), "s", "left_semi"), width), "shingles")
     links = materialize(_verified(near, sets), "links")
     stars = met.select(F.col("s").alias("x"), "n", F.explode(F.array_distinct(F.transform("buckets", lambda b: F.struct(b["p"].alias("y"), b["np"].alias("m"))))).alias("b")).select("x", "n", "b.*")
-    stars = _ordered(stars.where(_close(F.col("n"), F.col("m")))).distinct().join(links, ["a", "b"], "left_anti")
+    stars = _ordered(stars.where(_close(F.col("n"), F.col("m")))).distinct().join(links.hint(SHUFFLED), ["a", "b"], "left_anti")
     links = materialize(links.union(_verified(stars, sets)), "links")
     parts = connected_components(links)
-    every = met.join(parts, F.col("s") == F.col("node"), "left").select("s", "n", F.coalesce("component", "s").alias("c"), F.explode("buckets").alias("b")).select("s", "n", "c", "b.*")
+    every = met.join(parts.hint(SHUFFLED), F.col("s") == F.col("node"), "left").select("s", "n", F.coalesce("component", "s").alias("c"), F.explode("buckets").alias("b")).select("s", "n", "c", "b.*")
     open_ = every.where("size > 2").groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
     open_ = materialize(open_.select("key", F.ceil(F.greatest(F.col("m") / PART_NODES, F.col("total") / PART_SHINGLES)).cast("int").alias("parts")), "open")
     if open_.isEmpty():
         return parts
-    rest = materialize(every.join(open_, "key"), "left")
+    rest = materialize(every.join(open_.hint(SHUFFLED), "key"), "left")
     small = rest.where(F.col("size") <= bucket_limit).groupBy("key").agg(F.collect_list(F.struct("s", "n", "c")).alias("members")).select("members")
     more = _verified(_small_pairs(small), sets).union(_whole(rest.where(F.col("size") > bucket_limit), sets))
     return connected_components(links.union(more))
@@ -199,5 +199,5 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, bucket_limit: int = 64
     nodes = materialize(own.groupBy("s").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), one.alias("one")), "nodes")
     repeated = own.groupBy("doc_id", "h").agg(F.count("*").alias("rows")).where("rows > 1")
     parts = _components(docs, nodes, width, bucket_limit)
-    root = nodes.select("s", "one").join(parts, F.col("s") == F.col("node"), "left").select("one", F.coalesce("component", "s").alias("root"))
+    root = nodes.select("s", "one").join(parts.hint(SHUFFLED), F.col("s") == F.col("node"), "left").select("one", F.coalesce("component", "s").alias("root"))
     return one_of_each(docs, root, repeated)

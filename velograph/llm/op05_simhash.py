@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from velograph.llm.simhash_kernel import fingerprints
 from velograph.llm.tables import table
 from velograph.operators.components import connected_components
-from velograph.operators.joins import join_by_share
+from velograph.operators.joins import SHUFFLED, join_by_share
 from velograph.plans.materialize import materialize
 
 BITS = 64
@@ -77,7 +77,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, bucket_limit: int = 256)
     masks = covering_masks(radius)
     rows = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(t).cast("tinyint").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(masks)])).alias("c")).select("c.t", "c.k", "fp")
     full = rows.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    met = rows.join(full, ["t", "k"])
+    met = rows.join(full.hint(SHUFFLED), ["t", "k"])
     small = met.where(F.col("n") <= bucket_limit).groupBy("t", "k").agg(F.collect_list("fp").alias("members")).select("members")
 
     def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,7 +100,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, bucket_limit: int = 256)
     links = small.mapInPandas(forest, "a long, b long")
     large = met.where(F.col("n") > bucket_limit).select("t", "fp").mapInPandas(midpoints, "t byte, z long, fp long")
     least = large.groupBy("t", "z").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("t", "z", "a")
-    return links.union(large.join(least, ["t", "z"]).where("a <> fp").select("a", F.col("fp").alias("b")).distinct())
+    return links.union(large.join(least.hint(SHUFFLED), ["t", "z"]).where("a <> fp").select("a", F.col("fp").alias("b")).distinct())
 
 
 def _rooted(docs: DataFrame, radius: int, width: int, bucket_limit: int) -> tuple[DataFrame, DataFrame]:
@@ -110,7 +110,7 @@ def _rooted(docs: DataFrame, radius: int, width: int, bucket_limit: int) -> tupl
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
     distinct = materialize(own.groupBy("fp").agg(F.count("*").alias("rows"), F.min("doc_id").alias("least"), one.alias("one")), "prints")
     parts = connected_components(fingerprint_links(distinct.select("fp"), radius, bucket_limit))
-    return own, distinct.join(parts, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("root"), "rows", "least", "one")
+    return own, distinct.join(parts.hint(SHUFFLED), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("root"), "rows", "least", "one")
 
 
 def simhash_components(docs: DataFrame, radius: int = 4, width: int = 4, bucket_limit: int = 256) -> DataFrame:
@@ -136,11 +136,11 @@ def one_of_each(docs: DataFrame, rooted: DataFrame, repeated: DataFrame) -> Data
     """
     keep = rooted.groupBy("root").agg(F.min("one").alias("one")).select(F.col("one.doc_id").alias("_velograph_d"), F.col("one.h").alias("_velograph_h"))
     same = F.col("doc_id").eqNullSafe(F.col("_velograph_d")) & F.col("h").eqNullSafe(F.col("_velograph_h"))
-    keep = materialize(keep.join(repeated.select("doc_id", "h", F.lit(True).alias("twice")), same, "left").select("_velograph_d", "_velograph_h", F.coalesce("twice", F.lit(False)).alias("twice")), "kept")
+    keep = materialize(keep.join(repeated.select("doc_id", "h", F.lit(True).alias("twice")).hint(SHUFFLED), same, "left").select("_velograph_d", "_velograph_h", F.coalesce("twice", F.lit(False)).alias("twice")), "kept")
     marked = docs.withColumn("_velograph_own", F.xxhash64("text"))
     here = F.col("doc_id").cast("long").eqNullSafe(F.col("_velograph_d")) & F.col("_velograph_own").eqNullSafe(F.col("_velograph_h"))
-    once = marked.join(keep.where("not twice"), here, "left_semi")
-    many = marked.join(keep.where("twice"), here, "left_semi").dropDuplicates(["doc_id", "_velograph_own"])
+    once = marked.join(keep.where("not twice").hint(SHUFFLED), here, "left_semi")
+    many = marked.join(keep.where("twice").hint(SHUFFLED), here, "left_semi").dropDuplicates(["doc_id", "_velograph_own"])
     return once.union(many).drop("_velograph_own")
 
 

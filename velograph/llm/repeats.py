@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from velograph.llm.winnow_kernel import BLOCK, gram_hashes, runs_of
-from velograph.operators.joins import HEAVY, join_by_share
+from velograph.operators.joins import HEAVY, SHUFFLED, join_by_share
 from velograph.plans.materialize import materialize, release
 
 
@@ -192,7 +192,7 @@ def repeated_spans(src: DataFrame, unit: Unit, search: Search, *, key_contents:
         return pd.DataFrame(out, columns=["d", "h", "s", "e"]).astype({"d": "Int64"})
 
     wanted = pieces.groupBy("d", "h").agg(F.collect_list(F.struct("m", "copies", "v", "p", "n")).alias("want"))
-    found = src.withColumnsRenamed({"d": "_d", "h": "_h"}).join(wanted, F.col("_d").eqNullSafe(F.col("d")) & F.col("_h").eqNullSafe(F.col("h")))
+    found = src.withColumnsRenamed({"d": "_d", "h": "_h"}).join(wanted.hint(SHUFFLED), F.col("_d").eqNullSafe(F.col("d")) & F.col("_h").eqNullSafe(F.col("h")))
     texts = found.select("d", "h", "text", *[f"want.{c}" for c in ("m", "copies", "v", "p", "n")]).mapInPandas(read, "d long, h long, m long, copies long, v long, p int, content binary")
     columns = [x.split()[0] for x in PIECES.split(", ")]
     texts = materialize(texts, "pieces")
@@ -223,7 +223,7 @@ def repeated_spans(src: DataFrame, unit: Unit, search: Search, *, key_contents:
 def with_spans(src: DataFrame, spans: DataFrame) -> DataFrame:
     """``src`` with begins and ends of its spans, null where it has none; one shuffle of the documents."""
     own = spans.distinct().groupBy(F.col("d").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("s", "e")).alias("_spans"))
-    met = src.join(own, F.col("d").eqNullSafe(F.col("_d")) & F.col("h").eqNullSafe(F.col("_h")), "left")
+    met = src.join(own.hint(SHUFFLED), F.col("d").eqNullSafe(F.col("_d")) & F.col("h").eqNullSafe(F.col("_h")), "left")
     return met.select(*src.columns, F.col("_spans.s").alias("begins"), F.col("_spans.e").alias("ends"))
 
 
