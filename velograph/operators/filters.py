@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,12 +50,64 @@ def edge_flag(b: Column, width: int, height: int, polygon: Polygon, margin: int
     return boxes.touches_frame_edge(b, 0, 0, width, height, margin) | boxes.touches_frame_edge(b, *bounding_box(polygon), margin) | touches_polygon_edge(b, polygon, margin)
 
 
+#: Boxes of a frame, side by side, that meet flagged ones at once, and flagged ones that they meet at once.
+STRIP, MEETING = 512, 256
+CORNERS = ("x1", "y1", "x2", "y2")
+
+
+def _beside(b: np.ndarray, flagged: np.ndarray, least_iou: float) -> np.ndarray:
+    """Which boxes overlap a flagged one by ``least_iou``, by the arithmetic of ``boxes.iou``."""
+    area = lambda x: np.maximum(x[:, 2] - x[:, 0], 0.0) * np.maximum(x[:, 3] - x[:, 1], 0.0)
+    size, of_flagged, near = area(b), area(flagged), np.zeros(len(b), bool)
+    along = np.argsort(b[:, 0], kind="stable")
+    for low in range(0, len(b), STRIP):
+        open_ = along[low : low + STRIP]
+        met = np.arange(len(flagged))
+        if least_iou > 0:  # boxes apart share nothing
+            left, top, right, bottom = b[open_, 0].min(), b[open_, 1].min(), b[open_, 2].max(), b[open_, 3].max()
+            met = np.flatnonzero((flagged[:, 0] < right) & (flagged[:, 2] > left) & (flagged[:, 1] < bottom) & (flagged[:, 3] > top))
+        for at in range(0, len(met), MEETING):
+            o = met[at : at + MEETING]
+            x = np.minimum(b[open_, None, 2], flagged[None, o, 2]) - np.maximum(b[open_, None, 0], flagged[None, o, 0])
+            y = np.minimum(b[open_, None, 3], flagged[None, o, 3]) - np.maximum(b[open_, None, 1], flagged[None, o, 1])
+            shared = np.maximum(x, 0.0) * np.maximum(y, 0.0)
+            union = size[open_, None] + of_flagged[None, o] - shared
+            hit = (np.divide(shared, union, out=np.zeros_like(shared), where=union > 0) >= least_iou).any(axis=1)
+            near[open_[hit]] = True
+            open_ = open_[~hit]
+            if not len(open_):
+                break
+    return near
+
+
 def drop_edge_observations(rows: DataFrame, flagged: DataFrame, is_edge: Column, least_iou: float = 0.5) -> DataFrame:
     """Observations of real tracks that neither touch an edge nor overlap a flagged detection (run_id, frame_index, bbox)
-    of their frame.  The flagged boxes of a frame are few, so they travel as one array."""
-    boxes_of = flagged.groupBy("run_id", "frame_index").agg(F.collect_list("bbox").alias("_edges"))
-    near = F.exists("_edges", lambda e: boxes.iou(F.col("bbox"), e) >= least_iou)
-    return rows.where((F.col("track_id") >= 0) & ~is_edge).join(boxes_of, ["run_id", "frame_index"], "left").where(~F.coalesce(near, F.lit(False))).drop("_edges")
+    of their frame.
+
+    The distinct boxes of a frame meet its flagged ones in one group, only those beside them and no more once one overlaps.
+    Boxes with a missing or boundless corner, if any, are compared as columns instead.
+    """
+    keys = ["run_id", "frame_index"]
+    plain = F.lit(True)
+    for c in CORNERS:
+        plain &= F.coalesce(F.abs(F.col(f"bbox.{c}")) < 1e150, F.lit(False))  # not so for NaN, which is the largest number
+    flat = lambda side: side.where(plain).dropna(subset=keys).select(*keys, *[F.col(f"bbox.{c}").cast("double").alias(c) for c in CORNERS]).distinct()
+
+    def run(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        return own[_beside(own[list(CORNERS)].to_numpy(float), others[list(CORNERS)].to_numpy(float), least_iou)] if len(own) and len(others) else own.iloc[:0]
+
+    def apart(rows: DataFrame, flagged: DataFrame) -> DataFrame:
+        boxes_of = flagged.groupBy(*keys).agg(F.collect_list("bbox").alias("_edges"))
+        near = F.exists("_edges", lambda e: boxes.iou(F.col("bbox"), e) >= least_iou)
+        return rows.join(boxes_of, keys, "left").where(~F.coalesce(near, F.lit(False))).drop("_edges")
+
+    real = rows.where((F.col("track_id") >= 0) & ~is_edge)
+    ours = flat(real)
+    kinds = ", ".join(f"`{c}` {ours.schema[c].dataType.simpleString()}" for c in ours.columns)
+    gone = ours.groupBy(*keys).cogroup(flat(flagged).groupBy(*keys)).applyInPandas(run, kinds)
+    gone = gone.select(*[F.col(c).alias(f"_{c}") for c in gone.columns])
+    same = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col(f"bbox.{c}").cast("double") == F.col(f"_{c}") for c in CORNERS]
+    return apart(real.where(plain).join(gone, same, "left_anti"), flagged.where(~plain)).unionByName(apart(real.where(~plain), flagged))
 
 
 def size_gate(b: Column, width: float = 112, height: float = 56) -> Column:
