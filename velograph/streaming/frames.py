@@ -254,6 +254,10 @@ def summary(track_id: int, track: Track) -> dict:
     return {"kind": "track", "track_id": track_id, **{c: getattr(track, c) for c in COLUMNS["track"][2:]}}
 
 
+#: Rows of a run that are made before they are given on.
+ROWS_AT_ONCE = 10_000
+
+
 class FrameProcessor(StatefulProcessor):
     """``Frames`` with its state in Spark's store; one map entry a track, read when the track turns up."""
 
@@ -309,13 +313,21 @@ class FrameProcessor(StatefulProcessor):
                 self.memory.updateValue((track_id,), (*([float(p[i]) for p in points] for i in range(3)), flat))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        own = pd.concat(list(rows)).sort_values(["frame_index", "pos"], kind="stable")
+        own = pd.concat(list(rows), ignore_index=True)
         for c in ("flagged", "edge", "inside_roi", "ends"):
             own[c] = own[c].eq(True).fillna(False).astype(bool)
         cache: dict[int, Track] = {}
         frames, out = self._loaded(cache), []
-        for _, part in own[~own["ends"]].groupby("frame_index", sort=True):
-            out += frames.frame(part, int(part["at_ms"].max()) if self.ttl_ms else 0)
+        # frames are taken from the rows one by one, and what they give goes on as it comes, so the rows are held once
+        order = own.loc[~own["ends"], ["frame_index", "pos"]].dropna(subset=["frame_index"]).sort_values(["frame_index", "pos"], kind="stable").index.to_numpy()
+        at = own["frame_index"].to_numpy()[order]
+        for places in np.split(order, np.flatnonzero(at[1:] != at[:-1]) + 1) if len(order) else []:
+            part = own.iloc[places]
+            for made in frames.frame(part, int(part["at_ms"].max()) if self.ttl_ms else 0):
+                out.append(made)
+                if len(out) >= ROWS_AT_ONCE:
+                    yield self._table(key, out)
+                    out = []
         self._stored(frames, cache)
         if own["ends"].any():
             out += self._closed(None)
