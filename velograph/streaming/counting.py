@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from velograph.plans.materialize import materialize, shared_dir
 
+#: Stores of state for each run, so that few runs share one, and at most as many as a shuffle has partitions.
+STORES = 4
 OUTPUT = "run_id string, track_id long, frame_index long, pos long, t double, inside_roi boolean, retired boolean, counted boolean, crossing string"
 STATE = "t double, x double, y double, retired boolean, counted boolean, side int"
 
@@ -89,18 +92,24 @@ def run_once(table: DataFrame, operator: Callable[[DataFrame], DataFrame], name:
 
 def run_in_parts(parts: list[DataFrame], operator: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
     """Tables taken through an operator on streams one after the other, each by a query of its own that starts from the
-    state the last one left.  State is kept in RocksDB, with its checkpoints in the shared folder."""
+    state the last one left.  State is kept in RocksDB, with its checkpoints in the shared folder, and by run: where runs
+    are few, so are the stores, as each one is opened and written for every part."""
     spark = parts[0].sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    key, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stores = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    runs = reduce(DataFrame.unionAll, [p.select("run_id") for p in parts]).distinct().limit(stores).count()
+    own = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.shuffle.partitions": str(max(1, min(stores, STORES * runs)))}
+    before = {key: spark.conf.get(key, None) for key in own}
+    for key, value in own.items():
+        spark.conf.set(key, value)
     try:
         for part in parts:
             part.select(parts[0].columns).write.mode("append").parquet(f"{at}-in")
             made = operator(spark.readStream.schema(parts[0].schema).parquet(f"{at}-in"))
             made.writeStream.format("parquet").option("checkpointLocation", f"{at}-state").trigger(availableNow=True).start(at).awaitTermination()
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(made.schema).parquet(at)
 
 

@@ -9,7 +9,7 @@ Everything that a frame alone decides (region, edges, padded crops) comes as col
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
 from dataclasses import astuple, dataclass, fields
 from typing import NamedTuple
 
@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from velograph.operators.tracker import Live, iou_matrix
+from velograph.operators.tracker import PAIRS_AT_ONCE, Live, iou_matrix, shared_matrix
 from velograph.streaming.counting import _side
-from velograph.streaming.memory import Judged, Limits, Memory
+from velograph.streaming.memory import Limits, Lost, Memory
 
 #: What the operator reads; columns that are missing are null.
 INPUT = {
@@ -102,6 +102,28 @@ MEMORY = "t array<double>, x array<double>, y array<double>, looks array<double>
 COUNTS = ("rows", "suppressed", "ids_dropped", "gap_accepted", "tracks_retained", "edge_skipped", "edge_tracks_skipped", "accepted", "counted", "crops", "rescued", "rescues_refused")
 
 
+class Rescues:
+    """What one fresh detection was compared with: rows of the kind ``rescue``, of which there may be very many, as columns and
+    as what all of them have in common."""
+
+    def __init__(self, columns: dict[str, np.ndarray], common: dict):
+        self.columns, self.common = columns, common
+
+    def __len__(self) -> int:
+        return len(self.columns["outcome"])
+
+    def rows(self) -> Iterator[dict]:
+        for n in range(len(self)):
+            row = {c: v[n] if v.dtype == object else v[n].item() for c, v in self.columns.items()}
+            yield {"kind": "rescue", **self.common, **{c: None if c in ("lateral", "similarity") and v != v else v for c, v in row.items()}}
+
+
+def joined(rescues: list[Rescues]) -> dict[str, np.ndarray]:
+    sizes = [len(r) for r in rescues]
+    common = {c: np.repeat([r.common[c] for r in rescues], sizes) for c in rescues[0].common}
+    return common | {c: np.concatenate([r.columns[c] for r in rescues]) for c in rescues[0].columns}
+
+
 class Frames:
     """The loop over frames of one run, on whatever holds its state."""
 
@@ -110,14 +132,18 @@ class Frames:
         self.counts = dict.fromkeys(COUNTS, 0)
 
     def frame(self, rows: pd.DataFrame, at_ms: int) -> Iterator[dict]:
+        for made in self.pieces(rows, at_ms):
+            yield from made.rows() if isinstance(made, Rescues) else [made]
+
+    def pieces(self, rows: pd.DataFrame, at_ms: int) -> Iterator[dict | Rescues]:
+        """What a frame gives, comparisons with lost tracks as columns."""
         flagged = rows[rows["flagged"]][["x1", "y1", "x2", "y2"]].to_numpy(float)
         rows = rows[~rows["flagged"]]
         if not len(rows):
             return
         box = rows[["x1", "y1", "x2", "y2"]].to_numpy(float)
         if self.live:
-            ids, events = self._associate(rows, box)
-            yield from events
+            ids = yield from self._associate(rows, box)
         else:
             ids = rows["track_id"].fillna(-1).to_numpy(np.int64)
         self.counts["rows"] += len(rows)
@@ -136,44 +162,66 @@ class Frames:
         kept = np.flatnonzero(stays & ~touches & (ids >= 0))
         feet = np.stack([(box[:, 0] + box[:, 2]) / 2, box[:, 3]], axis=1)
         sides = _side(feet[:, 0], feet[:, 1], self.s.line)
-        shared = np.clip(np.minimum(box[kept, None, 2:], box[None, kept, 2:]) - np.maximum(box[kept, None, :2], box[None, kept, :2]), 0, None).prod(axis=2) if len(kept) else np.zeros((0, 0))
-        np.fill_diagonal(shared, 0)
+        covered = self._covered(box[kept])
         records = rows.to_dict("records")
         for n, i in enumerate(kept):
             r, track = records[i], self.track(int(ids[i]))
             crossed, event = self._count(track, r, int(sides[i]))
             width, height = box[i, 2] - box[i, 0], box[i, 3] - box[i, 1]
             self._measure(track, int(r["frame_index"]), width, height)
-            self._crop(track, r, width, height, float(shared[n].sum()))
+            self._crop(track, r, width, height, float(covered[n]))
             self.counts["accepted"] += 1
             yield {"kind": "row", "frame_index": int(r["frame_index"]), "pos": int(r["pos"]), "t": float(r["t"]), "track_id": int(ids[i]), "inside_roi": bool(r["inside_roi"]), "counted": track.counted, "crossed_line": event, "direction": crossed if event else None}
 
-    def _associate(self, rows: pd.DataFrame, box: np.ndarray) -> tuple[np.ndarray, list[dict]]:
+    def _covered(self, box: np.ndarray) -> np.ndarray:
+        """The area that each box shares with all others."""
+        out = np.zeros(len(box))
+        step = max(1, PAIRS_AT_ONCE // max(1, len(box)))
+        for low in range(0, len(box), step):
+            own = box[low : low + step]
+            shared = shared_matrix(own, box)
+            shared[np.arange(len(own)), np.arange(low, low + len(own))] = 0
+            out[low : low + step] = shared.sum(axis=1)
+        return out
+
+    def _associate(self, rows: pd.DataFrame, box: np.ndarray) -> Generator[Rescues, None, np.ndarray]:
         """Ids from the tracker; a fresh one that goes on with a lost track takes its id over."""
         t, frame, vectors = float(rows["t"].max()), int(rows["frame_index"].iloc[0]), rows["vector"].tolist()
         ids = self.live.step(frame, box, rows["confidence"].fillna(0.0).to_numpy(float))
         if not self.memory:
-            return ids, []
-        fresh = [i for i in range(len(ids)) if ids[i] >= 0 and self.live.is_fresh(int(ids[i]), frame)]
-        for i in range(len(ids)):
-            if ids[i] >= 0 and i not in fresh:
-                self._saw(int(ids[i]), t, box[i], vectors[i])
-        busy, events = {int(i) for n, i in enumerate(ids) if i >= 0 and n not in fresh}, []
+            return ids
+        begun, pos = self.live.begun(frame), rows["pos"].tolist()
+        fresh = [i for i, k in enumerate(ids.tolist()) if k >= 0 and k in begun]
+        busy = {k for k in ids.tolist() if k >= 0 and k not in begun}
+        for i, k in enumerate(ids.tolist()):
+            if k in busy:
+                self._saw(k, t, box[i], vectors[i])
+        lost, taken = None, []
         for i in fresh:
-            best, refused = self.memory.match(box[i], t, busy, vectors[i])
-            shown = [("rejected", j) for j in refused] + ([("accepted", best)] if best else [])
-            events += [self._event(outcome, j, frame, int(rows["pos"].iloc[i]), t) for outcome, j in shown]
+            if lost is None or lost.gone != self.memory.gone:
+                lost = Lost(self.memory, busy)
+            found, best, refused = self.memory.compare(box[i], t, lost, vectors[i])
+            shown = refused if best is None else np.append(refused, best)
+            if len(shown):
+                yield self._events({c: v[shown] for c, v in found.items()}, best is not None, frame, int(pos[i]), t)
             self.counts["rescued"] += best is not None
             self.counts["rescues_refused"] += len(refused)
-            if best:
-                self.live.take_over(int(ids[i]), best.track_id, frame)
-                ids[i] = best.track_id
+            if best is not None:
+                old = int(found["track_id"][best])
+                taken.append((int(ids[i]), old))
+                ids[i] = old
             self._saw(int(ids[i]), t, box[i], vectors[i])
             busy.add(int(ids[i]))
-        return ids, events
+            lost.take(int(ids[i]))
+        self.live.take_over_all(taken, frame)
+        return ids
 
-    def _event(self, outcome: str, j: Judged, frame: int, pos: int, t: float) -> dict:
-        return {"kind": "rescue", "frame_index": frame, "pos": pos, "t": t, "outcome": outcome, "old_track_id": j.track_id, "mode": "world" if self.s.project else "pixel", "gap_seconds": j.gap, "distance": j.distance, "lateral": j.lateral, "implied_speed": j.speed, "similarity": j.similarity, "reason": j.reason}
+    def _events(self, found: dict[str, np.ndarray], accepted: bool, frame: int, pos: int, t: float) -> Rescues:
+        """Refused tracks and, if one was ``accepted``, that one as the last."""
+        outcome = np.full(len(found["gap"]), "rejected", object)
+        outcome[len(outcome) - accepted :] = "accepted"
+        names = {"old_track_id": "track_id", "gap_seconds": "gap", "distance": "distance", "lateral": "lateral", "implied_speed": "speed", "similarity": "similarity", "reason": "reason"}
+        return Rescues({"outcome": outcome, **{c: found[own] for c, own in names.items()}}, {"frame_index": frame, "pos": pos, "t": t, "mode": "world" if self.s.project else "pixel"})
 
     def _saw(self, track_id: int, t: float, box: np.ndarray, vector) -> None:
         """Keep the place, and every ``embed_every``-th time the look."""
@@ -317,23 +365,28 @@ class FrameProcessor(StatefulProcessor):
         for c in ("flagged", "edge", "inside_roi", "ends"):
             own[c] = own[c].eq(True).fillna(False).astype(bool)
         cache: dict[int, Track] = {}
-        frames, out = self._loaded(cache), []
+        frames, out, rescues, held = self._loaded(cache), [], [], 0
         # frames are taken from the rows one by one, and what they give goes on as it comes, so the rows are held once
         order = own.loc[~own["ends"], ["frame_index", "pos"]].dropna(subset=["frame_index"]).sort_values(["frame_index", "pos"], kind="stable").index.to_numpy()
         at = own["frame_index"].to_numpy()[order]
         for places in np.split(order, np.flatnonzero(at[1:] != at[:-1]) + 1) if len(order) else []:
             part = own.iloc[places]
-            for made in frames.frame(part, int(part["at_ms"].max()) if self.ttl_ms else 0):
-                out.append(made)
-                if len(out) >= ROWS_AT_ONCE:
-                    yield self._table(key, out)
-                    out = []
+            for made in frames.pieces(part, int(part["at_ms"].max()) if self.ttl_ms else 0):
+                if isinstance(made, Rescues):
+                    rescues.append(made)
+                    held += len(made)
+                else:
+                    out.append(made)
+                    held += 1
+                if held >= ROWS_AT_ONCE:
+                    yield self._table(key, out, rescues)
+                    out, rescues, held = [], [], 0
         self._stored(frames, cache)
         if own["ends"].any():
             out += self._closed(None)
         elif self.ttl_ms:
             self.handle.registerTimer(max(int(own["at_ms"].max()), timerValues.getCurrentWatermarkInMs()) + self.ttl_ms)
-        yield self._table(key, out)
+        yield self._table(key, out, rescues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield self._table(key, self._closed(expiredTimerInfo.getExpiryTimeInMs() - self.ttl_ms))
@@ -352,10 +405,15 @@ class FrameProcessor(StatefulProcessor):
                 state.clear()
         return out
 
-    def _table(self, key, rows: list[dict]) -> pd.DataFrame:
-        table = pd.DataFrame([{"run_id": key[0], **r} for r in rows], columns=list(OUTPUT))
+    def _table(self, key, rows: list[dict], rescues: list[Rescues] | tuple = ()) -> pd.DataFrame:
         kind = {"long": "Int64", "double": "Float64", "boolean": "boolean", "string": "object"}
-        return table.astype({c: kind[k] for c, k in OUTPUT.items()})
+        typed = lambda table: table.astype({c: kind[k] for c, k in OUTPUT.items()})
+        tables = []
+        if rescues:
+            tables.append(typed(pd.DataFrame({"kind": "rescue", "run_id": key[0], **joined(rescues)}, columns=list(OUTPUT))))
+        if rows or not rescues:
+            tables.append(typed(pd.DataFrame([{"run_id": key[0], **r} for r in rows], columns=list(OUTPUT))))
+        return tables[0] if len(tables) == 1 else pd.concat(tables, ignore_index=True)
 
     def close(self) -> None:
         pass
