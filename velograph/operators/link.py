@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velograph.operators.components import connected_components
-from velograph.operators.joins import mutual_best, numbered, range_pairs
+from velograph.operators.joins import SHUFFLED, mutual_best, numbered, range_pairs
+from velograph.plans.materialize import materialize
 
 
 def link_pairs(ends: DataFrame, *, max_gap: float = 0.4, max_distance: float = 20.0, max_lateral: float = 4.0, max_speed: float = 45.0) -> DataFrame:
@@ -17,7 +18,7 @@ def link_pairs(ends: DataFrame, *, max_gap: float = 0.4, max_distance: float = 2
     and the distance is 1 or more, b must not lie behind.  Velocities are those of the endpoints' coordinates; give
     endpoints in world coordinates for velocities in metres.
     """
-    a = ends.select("run_id", *[F.col(c).alias(f"a_{c}") for c in ("track_id", "first_frame", "last", "vx", "vy")])
+    a = ends.select("run_id", *[F.col(c).alias(f"a_{c}") for c in ("track_id", "first_frame", "last", "vx", "vy", *[c for c in ends.columns if c == "_next"])])
     b = ends.select("run_id", *[F.col(c).alias(f"b_{c}") for c in ("track_id", "first_frame", "first")])
     pairs = range_pairs(a, b, F.col("a_last.t"), F.col("a_last.t") + max_gap, F.col("b_first.t"), max_gap, ["run_id"])
     dx, dy = F.col("b_first.x") - F.col("a_last.x"), F.col("b_first.y") - F.col("a_last.y")
@@ -28,10 +29,29 @@ def link_pairs(ends: DataFrame, *, max_gap: float = 0.4, max_distance: float = 2
     return pairs.withColumn("passes", F.coalesce(passes, F.lit(False))).drop("_dot")
 
 
+#: Of passing pairs, the first in this order is the best.
+BEST: list[Column | str] = ["gap", "lateral", "dist", "a_first_frame", "a_track_id", "b_first_frame", "b_track_id"]
+
+
 def accepted_links(pairs: DataFrame) -> DataFrame:
     """Passing pairs with accepted: the best of both their tracks by gap, sideways offset and distance."""
-    order: list[Column | str] = ["gap", "lateral", "dist", "a_first_frame", "a_track_id", "b_first_frame", "b_track_id"]
-    return mutual_best(pairs.where("passes"), ["run_id", "a_track_id"], ["run_id", "b_track_id"], order)
+    return mutual_best(pairs.where("passes"), ["run_id", "a_track_id"], ["run_id", "b_track_id"], BEST)
+
+
+def links(ends: DataFrame, **limits: float) -> DataFrame:
+    """``accepted_links`` of the ``link_pairs`` of ``ends``, a row a track, with ``limits``.
+
+    Pairs are as many as tracks begin near each end in time, so they are made twice, once for the best of each track and
+    again to be marked, and never dealt out or sorted as a whole.
+    """
+    ends = materialize(ends, "ends")
+    pairs = link_pairs(ends, **limits).where("passes").withColumn("_order", F.struct(*BEST))
+    sides = F.array(*[F.struct(F.lit(n).alias("side"), F.col(c).alias("own"), F.col("_order").alias("order")) for n, c in enumerate(("a_track_id", "b_track_id"))])
+    best = pairs.select("run_id", F.inline(sides)).groupBy("run_id", "side", "own").agg(F.min("order").alias("o"))
+    # a pair that both its tracks have as their best comes up twice
+    mutual = best.groupBy("run_id", F.col("o.a_track_id").alias("track_id"), F.col("o.b_track_id").alias("_next")).agg(F.count("*").alias("_n")).where("_n = 2").drop("_n")
+    marked = link_pairs(ends.join(mutual.hint(SHUFFLED), ["run_id", "track_id"], "left"), **limits).where("passes")
+    return marked.withColumn("accepted", F.col("a__next").isNotNull() & (F.col("a__next") == F.col("b_track_id"))).drop("a__next")
 
 
 def merged_vehicles(ends: DataFrame, links: DataFrame) -> DataFrame:
@@ -66,10 +86,10 @@ def link_evidence(links: DataFrame, merged: DataFrame) -> DataFrame:
     """A row for each passing pair of a run: kind ``merged`` with its group's first track and vehicle, or ``ambiguous``.
 
     The pair's gap, distance, sideways offset and implied speed are what it was judged by.  Accepted pairs of groups
-    without a vehicle name none.
+    without a vehicle name none.  Only accepted pairs, at most one a track, meet their groups; the others stay where they are.
     """
     group = merged.select("run_id", F.col("track_id").alias("a_track_id"), "component", F.col("vehicle_index").alias("canonical_vehicle_index"))
-    named = links.join(group, ["run_id", "a_track_id"], "left")
+    named = links.where("accepted").join(group, ["run_id", "a_track_id"], "left").unionByName(links.where("not accepted"), allowMissingColumns=True)
     own = lambda c: F.when(F.col("accepted"), F.col(c))
     return named.select(
         "run_id", F.when(F.col("accepted"), "merged").otherwise("ambiguous").alias("kind"), own("component").alias("group"), own("canonical_vehicle_index").alias("canonical_vehicle_index"),
